@@ -9,6 +9,7 @@ from ..plans.registry import Registry
 from ..sources.tables import table
 from .encode import count_tokens, encode_documents
 from .packing import CAPACITY, pack_documents
+from .spans import SharedSpans
 
 registry = Registry()
 
@@ -39,3 +40,13 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("pieces").alias("pieces"),
         F.max("used").alias("fullest"),
     )
+
+
+@registry.add("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").pairs()
+
+
+@registry.add("p9_shared")
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").shared()
