@@ -7,13 +7,38 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
+from .conversations import conversations, judged
 from .encode import count_tokens, encode_documents
 from .packing import CAPACITY, pack_documents
 from .spans import SharedSpans
+from .splitting import split_texts
 
 registry = Registry()
 
 
+@registry.add(
+    "p3_found",
+    "SELECT DISTINCT chunk_id FROM knowledge_chunks WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10) || chr(12288))) > 900",
+)
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_pieces(spark, folder).where("n_pieces > 1").select("chunk_id").distinct()
+
+
+@registry.add("p3_pieces")
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(table(spark, folder, "knowledge_chunks"), "chunk_id", "text")
+
+
+@registry.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "session_events")).where("dropped").select("session_id")
+
+
+@registry.add("p6_conversations")
+def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations(table(spark, folder, "session_events"))
+
+
 @registry.add("p7_ids")
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), "doc_id", "text")
