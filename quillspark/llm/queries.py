@@ -9,6 +9,7 @@ from ..plans.registry import Registry
 from ..sources.tables import table
 from .conversations import conversations, judged
 from .encode import count_tokens, encode_documents
+from .names import NameGroups
 from .packing import CAPACITY, pack_documents
 from .spans import SharedSpans
 from .splitting import split_texts
@@ -16,6 +17,16 @@ from .splitting import split_texts
 registry = Registry()
 
 
+@registry.add("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return NameGroups(table(spark, folder, "ledger_transactions"), "merchant_key").pairs()
+
+
+@registry.add("p2_groups")
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return NameGroups(table(spark, folder, "ledger_transactions"), "merchant_key").groups()
+
+
 @registry.add(
     "p3_found",
     "SELECT DISTINCT chunk_id FROM knowledge_chunks WHERE length(trim(text, chr(32) || chr(9) || chr(13) || chr(10) || chr(12288))) > 900",
