@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ..session import cut
 
 LEAST = 160
-GRAM = 80
+GRAM = 64
 #: Contexts of one hash that are compared pair by pair; beyond it the windows are grouped.
 PAIRED = 64
 #: Code points handled at once in a worker.
