@@ -10,6 +10,7 @@ from ..sources.tables import table
 from .conversations import conversations, judged
 from .encode import count_tokens, encode_documents
 from .names import NameGroups
+from .ocr import ScannedPages
 from .packing import CAPACITY, pack_documents
 from .spans import SharedSpans
 from .splitting import split_texts
@@ -40,6 +41,11 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "knowledge_chunks"), "chunk_id", "text")
 
 
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return ScannedPages(table(spark, folder, "document_parts")).found()
+
+
 @registry.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "session_events")).where("dropped").select("session_id")
