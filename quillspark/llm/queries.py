@@ -9,6 +9,7 @@ from ..plans.registry import Registry
 from ..sources.tables import table
 from .conversations import conversations, judged
 from .encode import count_tokens, encode_documents
+from .linkage import duplicates
 from .names import NameGroups
 from .ocr import ScannedPages
 from .packing import CAPACITY, pack_documents
@@ -18,6 +19,11 @@ from .splitting import split_texts
 registry = Registry()
 
 
+@registry.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates(table(spark, folder, "ledger_transactions"), table(spark, folder, "incoming_transactions"))
+
+
 @registry.add("p2_found")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return NameGroups(table(spark, folder, "ledger_transactions"), "merchant_key").pairs()
