@@ -277,7 +277,8 @@ class NameGroups:
     """
 
     def __init__(self, rows: DataFrame, name: str) -> None:
-        distinct = rows.select(F.col(name).alias("name")).where(F.col("name") != "").distinct()
+        # Cut here, else the planner reads every row's name before it takes the distinct ones.
+        distinct = cut(rows.select(F.col(name).alias("name")).where(F.col("name") != "").distinct())
         read = distinct.withColumn("read", read_names("name")).select("name", "read.line", "read.words").where(F.size("words") > 0)
         self.names = cut(read.withColumn("view", views("line", "words")))
         self.strong = cut(self._strong())
