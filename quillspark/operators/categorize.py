@@ -59,7 +59,7 @@ def per_class(tagged: DataFrame, truth: DataFrame, classes: list[str] = CATEGORI
     """(category, hits, predicted, support, precision, recall) of each class that occurs; 0 over nothing."""
     spark = tagged.sparkSession
     joined = tagged.select("txn_id", F.col("category").alias("got")).join(truth.select("txn_id", F.col("category").alias("want")), "txn_id", "left")
-    both = joined.select(F.explode(F.array(F.struct(F.col("got").alias("category"), F.lit(1).alias("p"), F.lit(0).alias("s")), F.struct(F.col("want"), F.lit(0), F.lit(1)))).alias("c"), (F.col("got") == F.col("want")).alias("hit"))
+    both = joined.select(F.explode(F.array(F.struct(F.col("got").alias("category"), F.lit(1).alias("p"), F.lit(0).alias("s")), F.struct(F.col("want").alias("category"), F.lit(0).alias("p"), F.lit(1).alias("s")))).alias("c"), (F.col("got") == F.col("want")).alias("hit"))
     counted = both.groupBy("c.category").agg(F.sum("c.p").alias("predicted"), F.sum("c.s").alias("support"), F.sum(F.when(F.col("hit"), F.col("c.p")).otherwise(0)).alias("hits"))
     listed = spark.createDataFrame([(c,) for c in classes], "category string")
     share = lambda whole: F.when(F.col(whole) > 0, F.round(F.col("hits") / F.when(F.col(whole) > 0, F.col(whole)), 6)).otherwise(F.lit(0.0))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
@@ -22,8 +22,8 @@ HORIZON_DAYS, MOST_CYCLES = 30, 240
 def coverage(txns: DataFrame, today: date) -> DataFrame:
     """(year_month, first, last, count, lag_days) of each month; ``lag_days`` is that of the whole ledger."""
     months = txns.where(F.col("date").isNotNull()).groupBy(year_month(F.col("date")).alias("year_month")).agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("count"))
-    latest = months.agg(F.max("last").alias("latest"))
-    return months.join(F.broadcast(latest), F.lit(True)).select("year_month", "first", "last", "count", F.datediff(F.lit(today), "latest").alias("lag_days")).orderBy("year_month")
+    latest = F.max("last").over(Window.partitionBy(F.lit(0)))  # over one row for each month
+    return months.select("year_month", "first", "last", "count", F.datediff(F.lit(today), latest).alias("lag_days")).orderBy("year_month")
 
 
 def month_bounds(year_and_month: str) -> tuple[date, date]:

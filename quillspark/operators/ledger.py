@@ -31,16 +31,12 @@ def row_error(amount: str = "amount") -> Column:
     wrong = F.lit(None).cast("string")
     for c in ("merchant", "txn_id", "account"):
         wrong = F.when(text(c), F.lit(c)).otherwise(wrong)
-    exact = F.col(amount).cast("decimal(38,6)")
-    return wrong_or(wrong, F.when(exact.isNull() | (exact != exact.cast("decimal(38,2)")) | (F.abs(exact) >= F.lit(LARGEST_AMOUNT).cast("decimal(38,2)")), F.lit("amount")).when(
+    exact = F.col(amount).cast("decimal(30,6)")  # types that compare without losing digits
+    return F.coalesce(wrong, F.when(exact.isNull() | (exact != exact.cast("decimal(26,2)")) | (F.abs(exact) >= F.lit(LARGEST_AMOUNT).cast("decimal(26,2)")), F.lit("amount")).when(
         F.col("category").isNotNull() & ~known_category(F.col("category")), F.lit("category")
     ))
 
 
-def wrong_or(first: Column, second: Column) -> Column:
-    return F.coalesce(first, second)
-
-
 def classified(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Each incoming row with ``state``: new, repeated (an earlier row agrees) or conflict (one differs).
 

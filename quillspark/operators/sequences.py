@@ -41,8 +41,9 @@ def duplicate_charges(txns: DataFrame, window_days: int = WINDOW_DAYS, keys: tup
     keys = list(keys)
     rows = txns.where(F.col("date").isNotNull())
     clusters = islands(rows, keys, window_days).where("charges >= 2")
-    same = [rows[k].eqNullSafe(clusters[k]) for k in keys]
-    joined = rows.join(clusters, [*same, rows["date"] == clusters["date"]]).select(*(rows[k] for k in keys), rows["date"], rows[tie].alias("__tie"), rows["txn_id"], "island")
+    own = clusters.select(*(F.col(k).alias(f"__{k}") for k in [*keys, "date"]), "island")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = rows.join(own, [F.col("date") == F.col("__date"), *same]).select(*keys, "date", F.col(tie).alias("__tie"), "txn_id", "island")
     grouped = joined.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("date", "__tie", "txn_id"))).alias("c"))
     return grouped.select(*keys, F.size("c").alias("times"), F.col("c.txn_id").alias("txn_ids"), F.col("c.date").alias("dates"))
 
@@ -69,7 +70,7 @@ def recurring(txns: DataFrame, min_occurrences: int = MIN_OCCURRENCES, max_amoun
     dates = rows.groupBy("merchant", "date").agg(F.count("*").alias("n"))
     steps = dates.withColumn("gap", F.datediff("date", F.lag("date").over(order)))
     # Charges of one day are gaps of 0 between them.
-    gaps = steps.select("merchant", F.inline(F.array(F.struct(F.col("gap").cast("long").alias("gap"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long"), F.col("n") - 1)))).where(
+    gaps = steps.select("merchant", F.inline(F.array(F.struct(F.col("gap").cast("long").alias("gap"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("times"))))).where(
         F.col("gap").isNotNull() & (F.col("times") > 0)
     )
     measured = gaps.groupBy("merchant").agg(

@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registries():
     """The core's registries, imported when asked for."""
-    from . import messages
+    from . import ledger, messages
 
-    return [messages.registry]
+    return [messages.registry, ledger.registry]
