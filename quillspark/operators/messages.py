@@ -88,20 +88,8 @@ def message_keys(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def repeated_deliveries(deliveries: DataFrame, receipts: DataFrame) -> DataFrame:
-    """The deliveries to drop: (delivery_id).
-
-    * Same identifier and same content as the first delivery of that identifier,
-      or as a receipt of any consumer.
-    * Same ledger row and same transaction as an earlier event with another identifier.
-    * A known identifier or ledger row with other content is a conflict; it is
-      not reported and never becomes the copy that others are compared with.
-
-    Nulls: a delivery without identifier is known by its ledger row only; one
-    without ledger row by its identifier only; one without either, or without
-    payload and hash, is never a repeat.  Rows that repeat a ``delivery_id``
-    count once.  Empty tables give an empty result.  Other columns are ignored.
-    """
+def _judged(deliveries: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All deliveries as (delivery_id, event, content), and the contents that count with their first delivery."""
     keys = message_keys(deliveries)
     # An event without identifier stands for itself, so that ledger rows can still match it.
     keyed = keys.where(F.col("content").isNotNull() & F.col("delivery_id").isNotNull()).withColumn(
@@ -130,15 +118,38 @@ def repeated_deliveries(deliveries: DataFrame, receipts: DataFrame) -> DataFrame
         .where(F.col("receipted") | ~F.col("clash"))
         .select("event", "content", "first", (F.col("receipted") | F.col("reissued")).alias("all_copies"))
     )
+    return keyed.select("delivery_id", "event", "content"), verdict
+
+
+def repeated_deliveries(deliveries: DataFrame, receipts: DataFrame) -> DataFrame:
+    """The deliveries to drop: (delivery_id).
+
+    * Same identifier and same content as the first delivery of that identifier,
+      or as a receipt of any consumer.
+    * Same ledger row and same transaction as an earlier event with another identifier.
+    * A known identifier or ledger row with other content is a conflict; it is
+      not reported and never becomes the copy that others are compared with.
+
+    Nulls: a delivery without identifier is known by its ledger row only; one
+    without ledger row by its identifier only; one without either, or without
+    payload and hash, is never a repeat.  Rows that repeat a ``delivery_id``
+    count once.  Empty tables give an empty result.  Other columns are ignored.
+    """
+    keyed, verdict = _judged(deliveries, receipts)
     return (
-        keyed.select("delivery_id", "event", "content")
-        .join(verdict, ["event", "content"])
+        keyed.join(verdict, ["event", "content"])
         .where(F.col("all_copies") | (F.col("delivery_id") > F.col("first")))
         .select("delivery_id")
         .distinct()
     )
 
 
+def conflicting_deliveries(deliveries: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(delivery_id) of the deliveries that contradict a known identifier or ledger row; a consumer must stop at them."""
+    keyed, verdict = _judged(deliveries, receipts)
+    return keyed.join(verdict, ["event", "content"], "left_anti").select("delivery_id").distinct()
+
+
 def deliver_once(deliveries: DataFrame, receipts: DataFrame) -> DataFrame:
     """The deliveries with all repeats taken out (columns unchanged); conflicts stay for the consumer to reject."""
     found = repeated_deliveries(deliveries, receipts).select(F.col("delivery_id").alias("__repeat"))

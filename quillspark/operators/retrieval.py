@@ -69,12 +69,15 @@ def load_or_build(docs: DataFrame, fields: dict[str, str], folder: str) -> TextI
     return load_index(spark, folder)[0]
 
 
+def fingerprints(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (docs, high, low): the number of texts and two sums over their hashes, whatever their order."""
+    row = F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), *(F.coalesce(F.col(c), F.lit("\x01")) for c in columns)), 256)
+    part = lambda i: F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)"))
+    return docs.agg(F.count("*").alias("docs"), part(0).alias("high"), part(1).alias("low"))
+
+
 def fingerprint(docs: DataFrame, fields: dict[str, str]) -> str:
-    """A hash of all texts that doesn't depend on their order."""
-    row = F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), *(F.concat(F.lit(f"{n}="), F.coalesce(F.col(c), F.lit("\x01"))) for n, c in fields.items())), 256)
-    half = lambda i: F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
-    sums = docs.agg(F.count("*"), F.sum(half(0)), F.sum(half(1))).first()
-    return "-".join(map(str, sums))
+    return "-".join([*map(str, fingerprints(docs, list(fields.values())).first()), *fields])
 
 
 def query_tokens(spark: SparkSession, query: str) -> list[str]:

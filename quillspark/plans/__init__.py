@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registries():
     """The core's registries, imported when asked for."""
-    from . import ledger, messages
+    from . import evaluation, ledger, messages, retrieval
 
-    return [messages.registry, ledger.registry]
+    return [messages.registry, ledger.registry, retrieval.registry, evaluation.registry]

@@ -222,7 +222,7 @@ def top_misclassified(spark: SparkSession, folder: str) -> DataFrame:
 # --- sequences --------------------------------------------------------------------------------------------------------
 
 
-def _duplicates_sql(source: str, keys: str, tie: str) -> str:
+def duplicates_sql(source: str, keys: str, tie: str) -> str:
     return f"""WITH s AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY {keys} ORDER BY date, {tie}) <= 3 THEN 0 ELSE 1 END AS starts FROM {source} t),
 i AS (SELECT *, sum(starts) OVER (PARTITION BY {keys} ORDER BY date, {tie} ROWS UNBOUNDED PRECEDING) AS island FROM s)
 SELECT {keys}, CAST(count(*) AS INTEGER) AS times, string_agg(txn_id, ',' ORDER BY date, {tie}) AS txn_ids, string_agg(CAST(date AS VARCHAR), ',' ORDER BY date, {tie}) AS dates FROM i GROUP BY {keys}, island HAVING count(*) >= 2"""
@@ -232,17 +232,17 @@ def _flat(found: DataFrame) -> DataFrame:
     return found.withColumn("txn_ids", F.array_join("txn_ids", ",")).withColumn("dates", F.array_join(F.col("dates").cast("array<string>"), ","))
 
 
-@add("dup_charges", _duplicates_sql(S.LEDGER, "merchant, amount", "seq"))
+@add("dup_charges", duplicates_sql(S.LEDGER, "merchant, amount", "seq"))
 def dup_charges(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(sequences.duplicate_charges(stored_ledger(spark, folder)))
 
 
-@add("dup_charges_series", _duplicates_sql(S.SERIES, "merchant, amount", "seq"))
+@add("dup_charges_series", duplicates_sql(S.SERIES, "merchant, amount", "seq"))
 def dup_charges_series(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(sequences.duplicate_charges(series(spark)))
 
 
-@add("dup_charges_account", _duplicates_sql(f"(SELECT * FROM {S.LEDGER} x WHERE amount > 0)", "account, merchant_key, amount", "txn_id"))
+@add("dup_charges_account", duplicates_sql(f"(SELECT * FROM {S.LEDGER} x WHERE amount > 0)", "account, merchant_key, amount", "txn_id"))
 def dup_charges_account(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(sequences.account_duplicates(table(spark, folder, "ledger_transactions")))
 

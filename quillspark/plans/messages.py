@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.messages import deliver_once, repeated_deliveries
+from ..operators.messages import conflicting_deliveries, deliver_once, repeated_deliveries
 from ..sources.tables import table
 from .registry import Registry
 
@@ -20,3 +20,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
     kept = deliver_once(table(spark, folder, "event_deliveries"), table(spark, folder, "processed_finance_events"))
     return kept.select("delivery_id", "event_id", "account", "ledger_id", "received_at")
+
+
+@registry.add("p4_conflicts")
+def p4_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    return conflicting_deliveries(table(spark, folder, "event_deliveries"), table(spark, folder, "processed_finance_events"))
