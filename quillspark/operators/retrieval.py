@@ -71,7 +71,7 @@ def load_or_build(docs: DataFrame, fields: dict[str, str], folder: str) -> TextI
 
 def fingerprints(docs: DataFrame, columns: list[str]) -> DataFrame:
     """One row (docs, high, low): the number of texts and two sums over their hashes, whatever their order."""
-    row = F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), *(F.coalesce(F.col(c), F.lit("\x01")) for c in columns)), 256)
+    row = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), *(F.coalesce(F.col(c), F.lit("\x01")) for c in columns)), 256)
     part = lambda i: F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)"))
     return docs.agg(F.count("*").alias("docs"), part(0).alias("high"), part(1).alias("low"))
 
