@@ -139,7 +139,7 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
     if len(queries) > MOST_QUERIES:
         raise QueryError(f"at most {MOST_QUERIES} queries at once; call in blocks")
     ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), len(queries[0][1]) if queries else 0)
     lengths = np.linalg.norm(matrix, axis=1)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
