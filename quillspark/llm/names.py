@@ -53,7 +53,7 @@ LINES = {
     "travel": ["travel agency", "trvl agcy", "travel", "tours"],
 }
 # Processor prefixes, forms of address, legal forms, and the codes of states.
-PREFIXES = set("pos sq tst qr pp paypal purchase the".split())
+PREFIXES = set("pos sq tst qr pp paypal purchase".split())
 COURTESY = set("mr mrs ms miss dr".split())
 LEGAL = set("llc ltd inc co corp gmbh plc company".split())
 STATES = set(
@@ -124,6 +124,8 @@ def read_name(name: str) -> tuple[str, list[str]]:
     words = re.findall(r"[^\W_]+", text)
     while len(words) > 1 and words[0] in PREFIXES:
         words = words[1:]
+    if len(words) > 3 and words[0] == "the":  # before a shorter name it may be a damaged word of it
+        words = words[1:]
     # What may stand after the name: nothing, a legal form, a town and its state, or both.
     tails = [words]
     if len(words) > 1 and words[-1] in LEGAL:
@@ -162,16 +164,27 @@ def read_names(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_name(n) for n in names], columns=["line", "words"])
 
 
-def compared(line: str, words: list[str]) -> str:
+def compared(line: str, words: list[str]) -> list[str]:
     """The letters that the index is built on: a person's without the given name, which too many share."""
-    return sound(words[1:] if line == "person" and len(words) > 1 else words)
+    return forms(words[1:] if line == "person" and len(words) > 1 else words)
+
+
+def forms(words: list[str]) -> list[str]:
+    """The letters of the words, and with those that spell the same sound made alike."""
+    plain = "".join(words)
+    alike = sound(words)
+    return [plain] if plain == alike else [plain, alike]
 
 
 def sound(words: list[str]) -> str:
-    """The letters of the words, with those that spell the same sound made alike."""
     return "".join(words).replace("ph", "f").translate(SOUNDS)
 
 
+def within(a: list[str], b: list[str], most: int) -> bool:
+    """Whether two owners' words are within ``most`` edits, as written or as they sound."""
+    return swap_distance("".join(a), "".join(b), most) <= most or swap_distance(sound(a), sound(b), most) <= most
+
+
 def cuts(length: int) -> Iterator[tuple[int, int, int]]:
     """(number of segment, start, end) of the segments of a string, for both sets of cuts."""
     for shift in (0, 1):
@@ -209,12 +222,12 @@ ENTRY = T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.St
 
 @F.pandas_udf(ENTRY)
 def index_entries(lines: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([list(dict.fromkeys(indexed(compared(n, list(w))))) for n, w in zip(lines, words)])
+    return pd.Series([list(dict.fromkeys(e for form in compared(n, list(w)) for e in indexed(form))) for n, w in zip(lines, words)])
 
 
 @F.pandas_udf(ENTRY)
 def probe_entries(lines: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([list(dict.fromkeys(p for order in orders(n, list(w)) for p in probed(compared(n, order)))) for n, w in zip(lines, words)])
+    return pd.Series([list(dict.fromkeys(e for order in orders(n, list(w)) for form in compared(n, order) for e in probed(form))) for n, w in zip(lines, words)])
 
 
 def orders(line: str, words: list[str]) -> list[list[str]]:
@@ -228,10 +241,9 @@ def same_owner(lines: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     def one(line, x, y):
         x, y = list(x), list(y)
         if line == "person":  # the given name is compared as well
-            return swap_distance(sound(x), sound(y), EDITS) <= EDITS
-        right = sound(y)
-        most = EDITS if len(right) >= 8 else 1
-        return any(swap_distance(sound(order), right, most) <= most for order in turned(x))
+            return within(x, y, EDITS)
+        most = EDITS if sum(map(len, y)) >= 8 else 1
+        return any(within(order, y, most) for order in turned(x))
 
     return pd.Series([one(*row) for row in zip(lines, a, b)], dtype=bool)
 
