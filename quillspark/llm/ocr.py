@@ -20,7 +20,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,9 +134,6 @@ def decode(lines: list[str], heads: dict[int, float], numbers: dict[int, float])
     return states[::-1]
 
 
-EDGES = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("style", T.StringType()), T.StructField("value", T.IntegerType())]))
-
-
 @F.pandas_udf(T.StructType([T.StructField("style", T.StringType()), T.StructField("value", T.LongType())]))
 def page_numbers(lines: pd.Series) -> pd.DataFrame:
     found = [page_number(x) or (None, None) for x in lines]
@@ -265,7 +262,8 @@ class ScannedPages:
         written = clean.select("part_id", F.explode(words(F.col("line"))).alias("word")).groupBy("word").agg(F.count_distinct("part_id").alias("pages"))
         enough = max(2, clean.select("part_id").distinct().count() * NAME_SHARE)
         usual = written.where(F.col("word").rlike(r"^\p{Ll}") | (F.col("pages") >= enough))
-        forms = usual.select(folded(F.col("word")).alias("form")).distinct()
+        meant = usual.select(F.lower("word").alias("word"), "pages", folded(F.col("word")).alias("form"), F.col("word").rlike(r"^\p{Lu}").alias("capital"))
+        forms = meant.select("form").distinct()
 
         # Broken words: the two parts join to a word, and are no compound.
         asked = scanned.where(F.col("joined").isNotNull()).select(
@@ -287,15 +285,23 @@ class ScannedPages:
         tokens = scanned.select("part_id", "line_no", F.explode(F.array_distinct(words(kept))).alias("token"))
         distinct = tokens.select("token").distinct().withColumn("word", F.lower("token")).withColumn("form", folded(F.col("token")))
         unknown = distinct.join(vocabulary, "word", "left_anti")
-        wrong = unknown.join(forms, "form", "left_semi").select("token")
-        by_word = tokens.join(wrong, "token", "left_semi").select("part_id", "line_no")
+        # A word with a capital must be meant as one that is written so, or it is a name.
+        capital = unknown.withColumn("capital", F.col("token").rlike(r"^\p{Lu}"))
+        best = lambda rows: rows.groupBy("form").agg(F.max_by("word", F.struct("pages", "word")).alias("right"))
+        wrong = (
+            capital.where("capital").join(best(meant.where("capital")), "form").unionByName(capital.where("not capital").join(best(meant), "form"))
+            .select("token", F.when(F.col("capital"), F.initcap("right")).otherwise(F.col("right")).alias("right"))
+        )
+        by_word = tokens.join(wrong, "token").select("part_id", "line_no", "token", "right")
+        self.word_fixes = by_word
         seen = scanned.select("part_id", "line_no", F.explode(F.array_distinct(F.split(F.regexp_replace("line", rf"[{MARKS}]", ""), ""))).alias("character"))
         known = characters.agg(F.count("*")).first()[0]
         strange = seen.where(F.col("character").rlike(r"[^\x00-\x7f]|[@!|$]")).join(characters, "character", "left_anti") if known else seen.limit(0)
         # A name may break within a line of Chinese text, so a letter alone at its ends is no number.
         inner = F.when(F.col("line").rlike(r"\p{IsHan}"), F.regexp_replace("line", r"^[A-Za-z](?!\p{IsLatin})|(?<!\p{IsLatin})[A-Za-z]$", "")).otherwise(F.col("line"))
         by_number = scanned.where(F.regexp_replace(inner, r"\b(sav|card|chk)-", "").rlike(ODD_NUMBER)).select("part_id", "line_no")
-        misread = by_word.unionByName(strange.select("part_id", "line_no")).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
+        self.near = near
+        misread = by_word.select("part_id", "line_no").unionByName(strange.select("part_id", "line_no")).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
 
         labelled = self.lines.where("scanned").select("part_id", "line_no", "label").distinct()
         found = labelled.join(hyphen.distinct(), ["part_id", "line_no"], "left").join(misread, ["part_id", "line_no"], "left")
@@ -308,3 +314,107 @@ class ScannedPages:
     def found(self) -> DataFrame:
         """(part_id, line_no from 1, kind) of the lines that are no clean body text."""
         return self.kinds.where(F.col("kind").isNotNull()).select("part_id", (F.col("line_no") + 1).cast("int").alias("line_no"), "kind")
+
+    def _character_fixes(self) -> DataFrame:
+        """(part_id, line_no, pos, right): characters that no clean page has, and what clean pages have between the same neighbours."""
+        spread = self.near.select("part_id", "line_no", "scanned", F.posexplode(F.split("line", "")).alias("pos", "character"), "line")
+        around = spread.select(
+            "part_id", "line_no", "scanned", "pos", "character",
+            F.expr("substring(line, pos, 1)").alias("before"), F.expr("substring(line, pos + 2, 1)").alias("after"),
+        ).where((F.col("pos") > 0) & F.col("character").rlike(r"\p{IsHan}"))
+        known = around.where(~F.col("scanned"))
+        strange = around.where("scanned").join(known.select("character").distinct(), "character", "left_anti")
+        contexts = strange.select("before", "after").distinct()
+        usual = known.join(contexts, ["before", "after"], "left_semi").groupBy("before", "after", "character").agg(F.count("*").alias("n"))
+        best = usual.groupBy("before", "after").agg(F.max_by("character", F.struct("n", "character")).alias("right"))
+        return strange.join(best, ["before", "after"]).select("part_id", "line_no", "pos", "right")
+
+    def paragraphs(self) -> DataFrame:
+        """(source, paragraph_no, page, text): the repaired text of each source in page order.
+
+        Heads and page numbers are left out, broken words joined, misread words,
+        digits and characters put right where clean pages tell how.  A paragraph
+        ends at a break and at a short line, and goes on over the end of a page
+        in the middle of a sentence.
+        """
+        words = self.word_fixes.groupBy("part_id", "line_no").agg(F.collect_set(F.struct("token", "right")).alias("words"))
+        characters = self._character_fixes().groupBy("part_id", "line_no").agg(F.collect_set(F.struct("pos", "right")).alias("characters"))
+        body = self.lines.where(F.col("label").isin("body", "break")).distinct()
+        dressed = body.join(self.kinds, ["part_id", "line_no"], "left").join(words, ["part_id", "line_no"], "left").join(characters, ["part_id", "line_no"], "left")
+        row = F.struct("line_no", "line", "label", "kind", "scanned", "words", "characters")
+        pages = dressed.groupBy("source", "page", "part_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["line_no"] - b["line_no"]).alias("rows"))
+        made = pages.select("source", "page", "part_id", F.posexplode(page_paragraphs("rows")).alias("no", "p")).select("source", "page", "part_id", "no", "p.*")
+        made = cut(made)
+        # Only marks go through the window over a source, not its text.
+        order = Window.partitionBy("source").orderBy("page", "part_id", "no")
+        goes_on = F.col("open_start") & F.coalesce(F.lag("open_end").over(order), F.lit(False)) & (F.col("no") == 0)
+        marks = made.select("source", "page", "part_id", "no", "open_start", "open_end").withColumn("goes_on", goes_on)
+        numbered = marks.withColumn("paragraph_no", F.sum((~F.col("goes_on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        parts = numbered.select("source", "page", "part_id", "no", "paragraph_no").join(made.select("source", "page", "part_id", "no", "text", "joins"), ["source", "page", "part_id", "no"])
+        grouped = parts.groupBy("source", "paragraph_no").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(F.struct("page", "part_id", "no", "text", "joins"))).alias("parts"))
+        text = F.aggregate(
+            "parts", F.struct(F.lit("").alias("text"), F.lit(True).alias("joins")),
+            lambda a, x: F.struct(F.concat(a["text"], F.when(a["joins"], F.lit("")).otherwise(F.lit(" ")), x["text"]).alias("text"), x["joins"].alias("joins")),
+        )["text"]
+        return grouped.select("source", "paragraph_no", "page", text.alias("text"))
+
+
+HAN = re.compile(r"[\u3000-\u303f\u4e00-\u9fff\uff00-\uffef]")
+ODD = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OolISBZ.,/-]*[OolISBZ])(?=[0-9OolISBZ.,/-]*[0-9])[0-9OolISBZ][0-9OolISBZ.,/-]*(?![A-Za-z])")
+
+
+def repaired(line: str, kind: str | None, words: dict[str, str], characters: dict[int, str]) -> str:
+    """A line with its misread words, characters and digits put right, without the mark of a broken word."""
+    text = "".join(characters.get(i, c) for i, c in enumerate(line))
+    for token, right in words.items():
+        text = re.sub(rf"(?<!\w){re.escape(token)}(?!\w)", lambda _, r=right: r, text)
+    text = ODD.sub(lambda m: m[0].translate(DIGIT_LIKE), text)
+    return re.sub(rf"[{MARKS}]\s*$", "", text) if kind == "hyphen" else text.rstrip()
+
+
+PARAGRAPHS = T.ArrayType(
+    T.StructType(
+        [T.StructField("text", T.StringType()), T.StructField("joins", T.BooleanType()), T.StructField("open_start", T.BooleanType()), T.StructField("open_end", T.BooleanType())]
+    )
+)
+
+
+def width(text: str) -> int:
+    return sum(2 if HAN.match(c) else 1 for c in text)
+
+
+@F.pandas_udf(PARAGRAPHS)
+def page_paragraphs(pages: pd.Series) -> pd.Series:
+    def one(rows):
+        rows = list(rows)
+        widest = max((width(r["line"]) for r in rows), default=0)
+        # Chinese pages break lines anywhere, also within numbers and Latin names.
+        dense = 2 * sum(bool(HAN.search(r["line"])) for r in rows) >= sum(r["label"] == "body" for r in rows)
+        done, text, joins, last_break = [], "", True, False
+        for i, r in enumerate(rows):
+            if r["label"] == "break":
+                last_break = True
+                continue
+            line = repaired(r["line"], r["kind"], {w["token"]: w["right"] for w in (r["words"] if r["words"] is not None else [])}, {c["pos"]: c["right"] for c in (r["characters"] if r["characters"] is not None else [])})
+            before = rows[i - 1] if i else None
+            goes_on = text and not last_break and before is not None and before["scanned"] and (before["kind"] == "hyphen" or width(before["line"]) >= 0.6 * widest)
+            if text and not goes_on:
+                done.append((text, joins))
+                text, joins = "", True
+            if text and not joins and not dense and text[-1:] not in MARKS:
+                text += " "
+            text += line.strip() if not text else line.lstrip()
+            joins, last_break = r["kind"] == "hyphen", False
+        if text:
+            done.append((text, joins))
+        body = [r for r in rows if r["label"] == "body"]
+        if not done or not body:
+            return []
+        first, last = body[0], body[-1]
+        full = last["kind"] == "hyphen" or (width(last["line"]) >= 0.6 * widest and not re.search(r"[.。！？!?:：]\s*$", last["line"]))
+        opens = rows[0] is first
+        return [
+            {"text": t, "joins": bool(j or dense), "open_start": bool(opens and k == 0), "open_end": bool(k == len(done) - 1 and full and rows[-1] is last)} for k, (t, j) in enumerate(done)
+        ]
+
+    return pages.map(one)

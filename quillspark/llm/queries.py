@@ -52,6 +52,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return ScannedPages(table(spark, folder, "document_parts")).found()
 
 
+@registry.add("p5_paragraphs")
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return ScannedPages(table(spark, folder, "document_parts")).paragraphs()
+
+
 @registry.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "session_events")).where("dropped").select("session_id")
