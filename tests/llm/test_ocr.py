@@ -91,8 +91,8 @@ def test_nulls_empty_and_long(spark):
     rows = [(1, None, "ocr", 1, True, None), (2, None, "ocr", 1, True, ""), (3, "s", None, 1, True, "the refund"), (4, "s", "ocr", 2, True, long), (4, "s", "ocr", 2, True, long), (5, "s", "ocr", 3, True, "tbe refund"), *clean()]
     scanned = pages(spark, *rows)
     assert [tuple(r) for r in scanned.found().collect()] == [(5, 1, "misread")]
-    # The page ends within a sentence, which the next page's only line goes on with.
-    assert long + " the refund" in {r["text"] for r in scanned.paragraphs().collect()}
+    # The pages end within a sentence, so their lines are one paragraph.
+    assert "the refund " + long + " the refund" in {r["text"] for r in scanned.paragraphs().collect()}
     none = O.ScannedPages(spark.createDataFrame([], SCHEMA))
     assert none.found().count() == 0 and none.paragraphs().count() == 0
     assert pages(spark, (1, "s", "ocr", 1, True, "no clean page here")).found().count() == 0
