@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from .sequences import cumulative
 
 METRICS = ("hit_1", "hit_3", "hit_5", "mrr_10", "candidate_recall_20", "evidence_recall_5")
 
@@ -105,17 +106,23 @@ def first_position(items: Column, wanted: Column) -> Column:
 
 def p95(values: DataFrame, group: str, value: str) -> DataFrame:
     """(group, p95): the value at place min(floor(0.95 n), n - 1) from 0 in each group."""
-    from .sequences import cumulative
-
     ranked = cumulative(values, group, value)
     place = F.least(F.floor(F.col("total") * 95 / 100).cast("long"), F.col("total") - 1)
     return ranked.where((F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))).select(group, F.col(value).alias("p95"))
 
 
 def rate_windows(hits: DataFrame, key: str, stamp: str, seconds: int, most: int) -> DataFrame:
-    """Hits with ``recent``: how many of the key's hits lie in the seconds up to each, and ``limited`` beyond ``most``."""
-    order = Window.partitionBy(key).orderBy(F.col(stamp).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
-    return hits.withColumn("recent", F.count("*").over(order)).withColumn("limited", F.col("recent") > most)
+    """Hits with ``recent``: how many of the key's hits lie in the seconds up to each, and ``limited`` beyond ``most``.
+
+    A hit can see back into the stretch of ``seconds`` before its own, so each
+    is also sent to the next stretch; no task needs all hits of a key.
+    """
+    second = F.floor(F.unix_micros(F.col(stamp).cast("timestamp")) / 1_000_000)
+    timed = hits.withColumn("__second", second).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
+    dealt = timed.withColumn("__stretch", F.floor(F.col("__second") / seconds) + F.when(F.col("__own"), 0).otherwise(1))
+    order = Window.partitionBy(key, "__stretch").orderBy("__second").rangeBetween(-seconds, 0)
+    counted = dealt.withColumn("recent", F.count("*").over(order)).where("__own").drop("__second", "__own", "__stretch")
+    return counted.withColumn("limited", F.col("recent") > most)
 
 
 def status_counts(events: DataFrame, status: str, known: list[str]) -> DataFrame:
