@@ -59,6 +59,8 @@ def load_index(spark: SparkSession, folder: str) -> tuple[TextIndex, str]:
 def load_or_build(docs: DataFrame, fields: dict[str, str], folder: str) -> TextIndex:
     """The stored index where it was built from the same texts, else a new one, stored."""
     spark, current = docs.sparkSession, fingerprint(docs, fields)
+    if not fields:
+        raise QueryError("an index needs a field")
     try:
         stored, known = load_index(spark, folder)
         if known == current:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cosine_distance
 from ..functions.text import CJK, STOPWORDS, tokens
 from ..operators import chunks, retrieval
+from ..session import checkpoint_root
 from ..sources.tables import table
 from .registry import Registry
 
@@ -56,7 +57,9 @@ SELECT p.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (
 
 
 def _index(spark: SparkSession, folder: str) -> retrieval.TextIndex:
-    return retrieval.build_index(docs(spark, folder), {"title": "title", "body": "text"})
+    """The stored index of the corpus, built by the first query that needs it."""
+    texts, fields = docs(spark, folder), {"title": "title", "body": "text"}
+    return retrieval.load_or_build(texts, fields, f"{checkpoint_root(spark)}/index-{retrieval.fingerprint(texts, fields)}")
 
 
 def _scores(name: str, field: str, column: str) -> None:
@@ -107,7 +110,7 @@ def rrf_multi_query(spark: SparkSession, folder: str) -> DataFrame:
 def rerank_stub(spark: SparkSession, folder: str) -> DataFrame:
     """Search, then reorder the pool by a scorer that prefers short texts."""
     texts = docs(spark, folder)
-    hits = retrieval.search(retrieval.build_index(texts, {"title": "title", "body": "text"}), QUESTION, top_k=20).join(texts.select("doc_id", "text"), "doc_id")
+    hits = retrieval.search(_index(spark, folder), QUESTION, top_k=20).join(texts.select("doc_id", "text"), "doc_id")
 
     def shorter(_: pd.Series, text: pd.Series) -> pd.Series:
         return -text.str.len().astype("float64")
