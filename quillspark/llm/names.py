@@ -24,7 +24,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +72,8 @@ NICKNAMES = {
 }
 
 # Letters written for the same sound.
-SOUNDS = str.maketrans("wcyq", "vkjk")
+SOUND_FROM, SOUND_TO = "wcyq", "vkjk"
+SOUNDS = str.maketrans(SOUND_FROM, SOUND_TO)
 
 GIVEN = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()} | {full: full for full in NICKNAMES}
 PHRASES = {tuple(phrase.split()): line for line, phrases in LINES.items() for phrase in phrases}
@@ -182,7 +183,8 @@ def sound(words: list[str]) -> str:
 
 def within(a: list[str], b: list[str], most: int) -> bool:
     """Whether two owners' words are within ``most`` edits, as written or as they sound."""
-    return swap_distance("".join(a), "".join(b), most) <= most or swap_distance(sound(a), sound(b), most) <= most
+    x, y = forms(a), forms(b)
+    return any(swap_distance(p, q, most) <= most for p, q in {(x[0], y[0]), (x[-1], y[-1])})
 
 
 def cuts(length: int) -> Iterator[tuple[int, int, int]]:
@@ -234,12 +236,22 @@ def orders(line: str, words: list[str]) -> list[list[str]]:
     return [words] if line == "person" else turned(words)
 
 
+def nearly(x: str, y: str) -> Column:
+    """Whether some order of the words of column x is within the banded edit distance of those of y; a swap costs two there."""
+    words, size = F.col(x), F.size(x)
+    plain = F.array_join(y, "")
+    orders_of = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.array_join(F.slice(words, i, size), ""), F.array_join(F.slice(words, F.lit(1), i - 1), "")))
+    alike = lambda t: F.translate(F.replace(t, F.lit("ph"), F.lit("f")), SOUND_FROM, SOUND_TO)
+    within_band = lambda p, q: F.levenshtein(p, q, 2 * EDITS) >= 0
+    return F.exists(orders_of, lambda o: within_band(o, plain) | within_band(alike(o), alike(plain)))
+
+
 @F.pandas_udf(T.BooleanType())
 def same_owner(lines: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether some order of the first owner's words is within the allowed edits of the second's."""
+    """Whether some order of one owner's words is within the allowed edits of the other's."""
 
     def one(line, x, y):
-        x, y = list(x), list(y)
+        x, y = sorted((list(x), list(y)), key=len, reverse=True)
         if line == "person":  # the given name is compared as well
             return within(x, y, EDITS)
         most = EDITS if sum(map(len, y)) >= 8 else 1
@@ -313,7 +325,8 @@ class NameGroups:
         both = pairs.join(words.select(F.col("name").alias("a"), "line", F.col("words").alias("x")), "a").join(
             words.select(F.col("name").alias("b"), F.col("line").alias("other"), F.col("words").alias("y")), "b"
         )
-        return both.where((F.col("line") == F.col("other")) & (same_owner("line", "x", "y") | same_owner("line", "y", "x"))).select("a", "b")
+        close = both.where((F.col("line") == F.col("other")) & (nearly("x", "y") | nearly("y", "x")))
+        return close.where(same_owner("line", "x", "y")).select("a", "b")
 
     def _roots(self) -> DataFrame:
         """(name, root): the groups of full names, with shortened ones that fit a single group."""
