@@ -176,8 +176,9 @@ class SharedSpans:
             )
 
         spread = located.select("doc", F.transform("places", context).alias("c")).select("doc", F.explode("c").alias("c")).select("doc", "c.*")
-        #: (hash, pos, doc, context, before, after) of every repeated window; used several times.
-        self.contexts = cut(spread.withColumn("context", F.xxhash64("before", "after")).distinct())
+        #: (hash, pos, doc, context, before, after) of every repeated window, used several times;
+        #: a row more for each row that repeats a record, which changes no result.
+        self.contexts = cut(spread.withColumn("context", F.xxhash64("before", "after")))
         self.links = cut(self._links())
 
     def _links(self) -> DataFrame:
