@@ -240,17 +240,17 @@ class ScannedPages:
         linked = pages.join(follows, ["source", "page"], "left")
         rest = F.concat(F.transform(F.slice("own", 2, F.size("own")), lambda x: x["line"]), F.array("next_page"))
         before = F.concat(F.array(F.lit(None).cast("string")), F.transform("own", lambda x: x["line"]))
-        near = linked.select("part_id", "scanned", F.explode(F.arrays_zip(F.col("own").alias("own"), rest.alias("next"), F.slice(before, 1, F.size("own")).alias("last"))).alias("z")).select(
-            "part_id", "scanned", "z.own.line_no", "z.own.line", "z.next", "z.last"
-        )
         ending = rf"([\p{{L}}\d!|$@†]+)([{MARKS}])[ \t　]*$"
         opening = r"^[ \t　]*([\p{L}\d!|$@†]+)"
-        broken = near.select(
-            "*",
-            F.regexp_extract("line", ending, 1).alias("left"),
-            F.regexp_extract("line", ending, 2).alias("mark"),
-            F.regexp_extract(F.coalesce("next", F.lit("")), opening, 1).alias("right"),
-        ).withColumn("joined", F.when((F.col("left") != "") & (F.col("right") != "") & F.col("right").rlike(r"^\p{Ll}|^[\d!|$@†]+\p{Ll}"), F.concat("left", "right")))
+        found = lambda text, pattern, group: F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group)
+        zipped = F.arrays_zip(F.col("own").alias("own"), rest.alias("next"), F.slice(before, 1, F.size("own")).alias("last"))
+        # Of the neighbours only the parts of words at the line ends are kept.
+        near = linked.select("part_id", "scanned", F.explode(zipped).alias("z")).select(
+            "part_id", "scanned", "z.own.line_no", "z.own.line", found(F.col("z.own.line"), ending, 1).alias("left"), found(F.col("z.own.line"), ending, 2).alias("mark"),
+            found(F.col("z.next"), opening, 1).alias("right"), found(F.col("z.last"), ending, 1).alias("left_before"),
+        )
+        near = cut(near)
+        broken = near.withColumn("joined", F.when((F.col("left") != "") & (F.col("right") != "") & F.col("right").rlike(r"^\p{Ll}|^[\d!|$@†]+\p{Ll}"), F.concat("left", "right")))
         scanned = broken.where("scanned")
 
         words = lambda text: F.regexp_extract_all(text, F.lit(rf"({WORD})"), 1)
@@ -280,7 +280,7 @@ class ScannedPages:
 
         # Misread words and characters. The parts of broken words are not words of their own.
         kept = F.regexp_replace(
-            F.when(F.coalesce(F.col("last").rlike(ending), F.lit(False)), F.regexp_replace("line", opening, "")).otherwise(F.col("line")), ending, ""
+            F.when(F.col("left_before") != "", F.regexp_replace("line", opening, "")).otherwise(F.col("line")), ending, ""
         )
         tokens = scanned.select("part_id", "line_no", F.explode(F.array_distinct(words(kept))).alias("token"))
         distinct = tokens.select("token").distinct().withColumn("word", F.lower("token")).withColumn("form", folded(F.col("token")))
@@ -294,14 +294,18 @@ class ScannedPages:
         )
         by_word = tokens.join(wrong, "token").select("part_id", "line_no", "token", "right")
         self.word_fixes = by_word
+        # The second part of a broken word is misread if the word that is meant doesn't end in it.
+        tails = scanned.where("left_before <> ''").select("part_id", "line_no", F.lower(found(F.col("line"), opening, 1)).alias("tail"), "left_before").where("tail <> ''")
+        whole = tails.withColumn("word", F.lower(F.concat("left_before", "tail"))).withColumn("form", folded(F.col("word"))).join(vocabulary, "word", "left_anti")
+        by_tail = whole.join(best(meant), "form").where(~F.endswith("right", F.col("tail"))).select("part_id", "line_no")
         seen = scanned.select("part_id", "line_no", F.explode(F.array_distinct(F.split(F.regexp_replace("line", rf"[{MARKS}]", ""), ""))).alias("character"))
         known = characters.agg(F.count("*")).first()[0]
         strange = seen.where(F.col("character").rlike(r"[^\x00-\x7f]|[@!|$]")).join(characters, "character", "left_anti") if known else seen.limit(0)
         # A name may break within a line of Chinese text, so a letter alone at its ends is no number.
-        inner = F.when(F.col("line").rlike(r"\p{IsHan}"), F.regexp_replace("line", r"^[A-Za-z](?!\p{IsLatin})|(?<!\p{IsLatin})[A-Za-z]$", "")).otherwise(F.col("line"))
+        inner = F.when(F.col("line").rlike(r"\p{IsHan}"), F.regexp_replace("line", r"^[A-Za-z](?![\p{IsLatin}\d.,])|(?<![\p{IsLatin}\d.,])[A-Za-z]$", "")).otherwise(F.col("line"))
         by_number = scanned.where(F.regexp_replace(inner, r"\b(sav|card|chk)-", "").rlike(ODD_NUMBER)).select("part_id", "line_no")
         self.near = near
-        misread = by_word.select("part_id", "line_no").unionByName(strange.select("part_id", "line_no")).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
+        misread = by_word.select("part_id", "line_no").unionByName(by_tail).unionByName(strange.select("part_id", "line_no")).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
 
         labelled = self.lines.where("scanned").select("part_id", "line_no", "label").distinct()
         found = labelled.join(hyphen.distinct(), ["part_id", "line_no"], "left").join(misread, ["part_id", "line_no"], "left")
