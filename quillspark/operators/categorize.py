@@ -69,3 +69,10 @@ def per_class(tagged: DataFrame, truth: DataFrame, classes: list[str] = CATEGORI
 def top_misclassified(tagged: DataFrame, truth: DataFrame, limit: int = 10) -> DataFrame:
     joined = tagged.join(truth.select("txn_id", F.col("category").alias("want")), "txn_id", "left").where(~F.col("category").eqNullSafe(F.col("want")))
     return joined.groupBy("merchant").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "merchant").limit(limit)
+
+
+def updated_cache(known: DataFrame, decided: DataFrame) -> DataFrame:
+    """The table of known keys with those that the classifier decided, fallbacks included; one row for each key."""
+    fresh = decided.where(F.col("tier") == "model").select("merchant_key", "category")
+    kept = known.join(fresh.select("merchant_key"), "merchant_key", "left_anti").groupBy("merchant_key").agg(F.max("category").alias("category"))
+    return kept.unionByName(fresh)

@@ -135,3 +135,34 @@ def status_counts(events: DataFrame, status: str, known: list[str]) -> DataFrame
 def inventory(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source, chunks) of each file, null where it has none in the index."""
     return files.select("source").distinct().join(chunks.groupBy("source").agg(F.count("*").alias("chunks")), "source", "left")
+
+
+def agent_summary(runs: DataFrame) -> DataFrame:
+    """By group: planned, succeeded, graded, latencies, and route metrics with a failed run as 0.
+
+    ``runs``: case_group, ok, latency_ms, required_recall, successful_recall, route_correct (null where not graded).
+    """
+    graded = F.col("route_correct").isNotNull()
+    columns = [
+        F.count("*").alias("planned"), F.count(F.when(F.col("ok"), 1)).alias("succeeded"), F.count(F.when(graded, 1)).alias("graded"),
+        six(F.percentile("latency_ms", 0.5)).alias("latency_p50"), six(F.percentile("latency_ms", 0.95)).alias("latency_p95"),
+    ]
+    for m in ("required_recall", "successful_recall", "route_correct"):
+        columns.append(six(F.avg(F.when(graded, F.when(F.col("ok"), F.col(m)).otherwise(0.0)))).alias(m))
+    return runs.groupBy("case_group").agg(*columns)
+
+
+def routing_by_group(samples: DataFrame) -> DataFrame:
+    """By group: cases, those that searched, and those that found every expected source.
+
+    ``samples``: case_group, searches (array), found (array of sources), expected (array).
+    """
+    searched = F.size("searches") > 0
+    every = F.forall("expected", lambda s: F.array_contains("found", s))
+    return samples.groupBy("case_group").agg(F.count("*").alias("cases"), F.count(F.when(searched, 1)).alias("searched"), F.count(F.when(searched & every, 1)).alias("found_all"))
+
+
+def cache_counters(lookups: DataFrame, ttl_seconds: int) -> DataFrame:
+    """(cache, hits, misses): lookups with their entry's age in seconds, null where there was none; older ones miss."""
+    fresh = F.coalesce(F.col("age") <= ttl_seconds, F.lit(False))
+    return lookups.groupBy("cache").agg(F.count(F.when(fresh, 1)).alias("hits"), F.count(F.when(~fresh, 1)).alias("misses"))

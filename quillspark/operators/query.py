@@ -140,3 +140,8 @@ def fetch(txns: DataFrame, filters: Filters = Filters(), limit: int = 50) -> tup
         raise QueryError(f"limit must be 1 to 200, not {limit}")
     matched = txns.where(filters.condition())
     return matched.orderBy("date", "seq").limit(limit), matched.count()
+
+
+def after_cursor(events: DataFrame, session_id: str, after: int, limit: int = 500) -> DataFrame:
+    """The next events of a session beyond a sequence number, in order."""
+    return events.where((F.col("session_id") == session_id) & (F.col("seq") > after)).orderBy("seq").limit(limit)

@@ -163,6 +163,15 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def reset_vectors(vectors: DataFrame, folder: str) -> None:
+    """Replace the stored vectors as a whole; a store never mixes two builds."""
+    vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+
+
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/vectors")
+
+
 def parents(children: DataFrame, owners: DataFrame) -> DataFrame:
     """(query_id, parent_id, rank): children's parents, each at its first place; children without parent go."""
     first = children.join(owners, "id").groupBy("query_id", "parent_id").agg(F.min("rank").alias("child_rank"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_money, half_up, money, shortened
-from ..operators import metrics
+from ..functions.columns import MEMORY_LINE, as_money, half_up, json_object, memory_kind, money, shortened, shown_number, worth_remembering
+from ..operators import metrics, query
 from ..session import checkpoint_root
 from ..sources.ledger import lineitem_ledger, orders_ledger
 from ..sources.tables import table
@@ -212,10 +212,72 @@ _TEXTS = "('1.005', '- 2026-01-05 [偏好] 我不要咖啡 ', 'x {\"a\": 1} y'),
 )
 def scalar_texts(spark: SparkSession, _: str) -> DataFrame:
     rows = spark.createDataFrame([("1.005", "- 2026-01-05 [偏好] 我不要咖啡 ", 'x {"a": 1} y'), ("2.675", "-[事实] no date", "{}"), ("-2.675", "free text", "none"), (" 7 ", "- 2026-02-30 [纠正] bad day", '{"b": {"c": 2}} z')], "n string, m string, j string")
-    line = r"^-\s*(?:(\d{4}-\d{2}-\d{2})\s*)?\[([^\]]+)\]\s*(.+?)\s*$"
+    line = MEMORY_LINE
     return rows.select("n", money(F.col("n")).alias("amount"), F.regexp_extract(F.trim("m"), line, 2).alias("kind"), F.regexp_extract(F.trim("m"), line, 3).alias("said"), F.regexp_extract(shortened(F.col("j")), r"\{.*\}", 0).alias("object"))
 
 
+_SAID = "('我住上海', '12,057.34', 'x {\"a\": 1}'), ('这次帮我看看三月', '308 笔', 'none'), ('咖啡应该归到餐饮', 'abc', '{}'), ('短', '-1,5', '{\"b\": 2} and {\"c\": 3} end'), ('不要再算房租 ', '7.', '')"
+_HAS = lambda words: "(" + " OR ".join(f"contains(said, '{w}')" for w in words) + ")"
+
+
+@add(
+    "scalar_memory",
+    f"SELECT said, length(trim(said)) >= 4 AND NOT {_HAS(['这次', '本次', '今天', '刚刚', '刚才', '眼下', '这一次', '帮我看看', '帮我查'])} AS kept, "
+    f"CASE WHEN {_HAS(['应该', '不是', '改成', '纠正', '归到', '算作', '属于'])} THEN '纠正' WHEN {_HAS(['我喜欢', '我习惯', '我住', '我不用', '我不要', '别把', '不要'])} THEN '偏好' ELSE '事实' END AS kind, "
+    "CASE WHEN regexp_matches(trim(regexp_replace(trim(n), '笔$', '')), '^-?[0-9,]+([.][0-9]+)?$') THEN TRY_CAST(replace(trim(regexp_replace(trim(n), '笔$', '')), ',', '') AS DOUBLE) END AS number, "
+    f"coalesce(nullif(regexp_extract(answer, '\\{{.*\\}}'), ''), '{{}}') AS object FROM (VALUES {_SAID}) t(said, n, answer)",
+)
+def scalar_memory(spark: SparkSession, _: str) -> DataFrame:
+    rows = spark.createDataFrame(
+        [("我住上海", "12,057.34", 'x {"a": 1}'), ("这次帮我看看三月", "308 笔", "none"), ("咖啡应该归到餐饮", "abc", "{}"), ("短", "-1,5", '{"b": 2} and {"c": 3} end'), ("不要再算房租 ", "7.", "")], "said string, n string, answer string"
+    )
+    said = F.col("said")
+    return rows.select("said", worth_remembering(said).alias("kept"), memory_kind(said).alias("kind"), shown_number(F.col("n")).alias("number"), json_object(F.col("answer")).alias("object"))
+
+
+_AGENT = "SELECT event_type AS case_group, event_id % 11 <> 0 AS ok, value AS latency_ms, CASE WHEN event_type <> 'view' THEN (event_id % 4) / 4.0 END AS required_recall, CASE WHEN event_type <> 'view' THEN (event_id % 2) / 2.0 END AS successful_recall, CASE WHEN event_type <> 'view' THEN CAST(event_id % 2 AS DOUBLE) END AS route_correct FROM events"
+
+
+@add(
+    "agent_summary",
+    "SELECT case_group, count(*) AS planned, count(*) FILTER (ok) AS succeeded, count(route_correct) AS graded, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, "
+    + ", ".join(f"round(avg(CASE WHEN route_correct IS NOT NULL THEN CASE WHEN ok THEN CAST({m} AS DOUBLE) ELSE 0 END END), 6) AS {m}" for m in ("required_recall", "successful_recall", "route_correct"))
+    + f" FROM ({_AGENT}) GROUP BY 1",
+)
+def agent_summary(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "events").createOrReplaceTempView("events_of_agents")
+    rows = spark.sql(_AGENT.replace("FROM events", "FROM events_of_agents"))
+    return metrics.agent_summary(rows.select("case_group", "ok", "latency_ms", *(F.col(c).cast("double").alias(c) for c in ("required_recall", "successful_recall", "route_correct"))))
+
+
+SAMPLES = "('literal', 'q', 'a.md,b.md', 'a.md'), ('literal', '', '', 'a.md'), ('paraphrased', 'q,r', 'c.md', 'a.md,c.md'), ('paraphrased', 'q', 'c.md', 'c.md')"
+
+
+@add(
+    "routing_by_group",
+    "SELECT case_group, count(*) AS cases, count(*) FILTER (searches <> '') AS searched, count(*) FILTER (searches <> '' AND list_has_all(string_split(found, ','), string_split(expected, ','))) AS found_all "
+    f"FROM (VALUES {SAMPLES}) t(case_group, searches, found, expected) GROUP BY 1",
+)
+def routing_by_group(spark: SparkSession, _: str) -> DataFrame:
+    rows = spark.sql(f"SELECT * FROM (VALUES {SAMPLES}) AS t(case_group, searches, found, expected)")
+    listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "").alias(c)
+    return metrics.routing_by_group(rows.select("case_group", listed("searches"), listed("found"), listed("expected")))
+
+
+@add("cache_counters", "SELECT event_type AS cache, count(*) FILTER (event_id % 10 <= 7) AS hits, count(*) FILTER (event_id % 10 > 7) AS misses FROM events GROUP BY 1")
+def cache_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of nine ages, and none for every tenth lookup; seven days are fresh."""
+    day = F.col("event_id") % 10
+    return metrics.cache_counters(table(spark, folder, "events").select(F.col("event_type").alias("cache"), F.when(day != 9, day * 86_400).alias("age")), 7 * 86_400)
+
+
+@add("session_cursor", "SELECT seq, payload FROM session_events WHERE session_id = (SELECT min(session_id) FROM session_events) AND seq > 3 ORDER BY seq LIMIT 500")
+def session_cursor(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "session_events")
+    first = events.agg(F.min("session_id")).first()[0]
+    return query.after_cursor(events, first, 3).select("seq", "payload")
+
+
 # --- events and streams -----------------------------------------------------------------------------------------------
 
 

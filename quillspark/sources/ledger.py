@@ -55,6 +55,10 @@ def write_bill(txns: DataFrame, path: str) -> None:
     ).option("header", True).csv(path)
 
 
+def write_labels(txns: DataFrame, path: str) -> None:
+    txns.orderBy("date", "seq").select("txn_id", "category").write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("txn_id string, category string").option("header", True).csv(path)
 

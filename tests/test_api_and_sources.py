@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from quillspark.api import FinanceTools
 from quillspark.errors import QueryError
-from quillspark.operators import metrics, retrieval, sequences
+from quillspark.operators import categorize, metrics, query, retrieval, sequences
+from quillspark.operators import chunks as C
 from quillspark.operators.ledger import LedgerStore
 from quillspark.sources import documents as S
+from quillspark.sources.ledger import read_labels, write_labels
 from quillspark.sources.synthetic import synthetic_bill
 
 
@@ -72,3 +74,25 @@ def test_rate_windows_equal_a_walk(spark):
     rows = spark.createDataFrame([("k", s) for s in seconds] + [("o", 5)], "k string, s long").withColumn("at", F.timestamp_seconds("s"))
     got = {(r["k"], r["s"]): r["recent"] for r in metrics.rate_windows(rows, "k", "at", 60, 3).collect()}
     assert got == {**{("k", s): sum(s - 60 <= t <= s for t in seconds) for s in seconds}, ("o", 5): 1}
+
+
+def test_corpus_of_files(spark):
+    body = "正文内容" * 20
+    files = spark.createDataFrame([("/k/a.md", f"# 预算\n{body}".encode(), "md"), ("/k/b.txt", ("x" * 1000).encode(), "txt"), ("/k/c.pdf", b"", "pdf")], "path string, content binary, suffix string")
+    parts = S.extracted(files, spark.createDataFrame([], f"key string, parts {S.PARTS}"), {"md": S.plain_text, "txt": S.plain_text}).withColumn("suffix", F.regexp_extract("path", r"\.(\w+)$", 1))
+    rows = {(r["breadcrumb"], len(r["text"])) for r in C.load_corpus(parts).collect()}
+    assert rows == {("a.md > 预算", 80), ("b.txt", 900), ("b.txt", 100)}
+
+
+def test_small_helpers(spark, tmp_path, year):
+    events = spark.createDataFrame([("s", i) for i in range(6)] + [("o", 9)], "session_id string, seq int")
+    assert [r["seq"] for r in query.after_cursor(events, "s", 3).collect()] == [4, 5]
+    known = spark.createDataFrame([("a", "咖啡"), ("b", "购物")], "merchant_key string, category string")
+    decided = spark.createDataFrame([("b", "旅行", "model"), ("c", "其他", "model"), ("a", "咖啡", "cache")], "merchant_key string, category string, tier string")
+    assert {tuple(r) for r in categorize.updated_cache(known, decided).collect()} == {("a", "咖啡"), ("b", "旅行"), ("c", "其他")}
+    vectors = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    for _ in range(2):
+        retrieval.reset_vectors(vectors, str(tmp_path))
+    assert retrieval.stored_vectors(spark, str(tmp_path)).count() == 1
+    write_labels(year, str(tmp_path / "labels"))
+    assert read_labels(spark, str(tmp_path / "labels")).count() == year.count()
