@@ -162,7 +162,8 @@ def labels(lines: pd.Series, edges: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(lines, edges)])
 
 
-WORD = r"[\p{L}\d!|$@†'’]*[\p{L}†@][\p{L}\d!|$@†'’]*"
+#: A run of letters, and of characters that stand in for letters; Chinese is judged by character instead.
+WORD = r"[[\p{L}&&[^\p{IsHan}]]\d!|$@†'’]+"
 #: A run of digits and letters read for digits, with at least one of each, or such a letter alone.
 ODD_NUMBER = r"(?<![\p{IsLatin}\d])(?=[\dOolISBZ.,/-]*[OolISBZ])(?=[\dOolISBZ.,/-]*\d)[\dOolISBZ][\dOolISBZ.,/-]*(?![\p{IsLatin}])|(?<![\p{IsLatin}\d'])[OolSBZ](?![\p{IsLatin}\d'])"
 
@@ -190,31 +191,32 @@ class ScannedPages:
     def _edges(self) -> DataFrame:
         """(part_id, line_no, head, number): the chances of the lines at the edges of scanned pages."""
         spread = self.parts.select("source", "part_id", "page", "scanned", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "line"))
-        keyed = spread.withColumn("key", head_key(F.col("line"))).withColumn(
+        keyed = spread.withColumn("key", head_key(F.col("line"))).withColumn("hash", F.xxhash64("key")).withColumn(
             "edge", F.col("scanned") & ((F.col("line_no") < EDGE) | (F.col("line_no") >= F.col("n") - EDGE))
         )
         # A running head stands on two pages or more of nearly every source that has it, at the edge, and on no clean page.
-        by_source = keyed.where("key <> ''").groupBy("key", "source").agg(
-            F.count_distinct(F.when(F.col("edge"), F.col("part_id"))).alias("pages"),
+        page = F.when(F.col("edge"), F.col("part_id"))
+        by_source = keyed.where("key <> ''").groupBy("hash", "source").agg(
+            (F.count_if("edge") > 0).cast("int").alias("there"), (F.min(page) < F.max(page)).alias("again"),
             F.count(F.when(F.col("edge"), 1)).alias("at_edge"), F.count(F.when(~F.col("edge") & F.col("scanned"), 1)).alias("inside"), F.count(F.when(~F.col("scanned"), 1)).alias("clean"),
         )
-        counts = by_source.groupBy("key").agg(
-            F.count(F.when(F.col("pages") >= 2, 1)).alias("repeated"), F.count(F.when(F.col("pages") >= 1, 1)).alias("sources"),
+        counts = by_source.groupBy("hash").agg(
+            F.count(F.when(F.col("again"), 1)).alias("repeated"), F.sum("there").alias("sources"),
             F.sum("at_edge").alias("at_edge"), F.sum("inside").alias("inside"), F.sum("clean").alias("clean"),
         )
         whole = ~F.col("line").rlike(rf"[{MARKS}][ \t]*$")
         running = (F.col("clean") == 0) & (F.col("at_edge") > F.col("inside")) & (F.col("repeated") > 0) & (F.col("repeated") * 3 >= F.col("sources"))
-        heads = counts.where("at_edge > 0").select("key", F.when(running, 0.999).when(F.col("clean") > 0, 0.001).otherwise(0.02).alias("head"))
-        edges = keyed.where("edge").join(heads, "key", "left").withColumn("number", page_numbers("line"))
+        heads = counts.where("at_edge > 0").select("hash", F.when(running, 0.999).when(F.col("clean") > 0, 0.001).otherwise(0.02).alias("head"))
+        edges = keyed.where("edge").join(heads, "hash", "left").withColumn("number", page_numbers("line"))
         known = edges.where("head > 0.5").groupBy("source").agg(F.collect_set("key").alias("heads"))  # a source has a few heads
         steps = edges.where(F.col("number.style").isNotNull()).select("source", "part_id", "number.style", (F.col("number.value") - F.col("page")).alias("step"))
-        steady = steps.groupBy("source", "style", "step").agg(F.count_distinct("part_id").alias("pages"))
+        steady = steps.groupBy("source", "style", "step").agg((F.min("part_id") < F.max("part_id")).alias("again"))
         judged = (
             edges.withColumn("style", F.col("number.style")).withColumn("step", F.col("number.value") - F.col("page"))
             .join(steady, ["source", "style", "step"], "left").join(known, "source", "left")
         )
         sure = F.col("style").isin("pages", "framed")
-        number = F.when(F.col("style").isNull(), 0.0).when(sure | (F.col("pages") >= 2), 0.999).when(F.col("style") == "roman", 0.995).otherwise(0.05)
+        number = F.when(F.col("style").isNull(), 0.0).when(sure | F.col("again"), 0.999).when(F.col("style") == "roman", 0.995).otherwise(0.05)
         head = F.when((F.coalesce("head", F.lit(0.0)) < 0.5) & near_head("key", "heads") & whole & (F.coalesce("head", F.lit(0.0)) != 0.001), 0.99).otherwise(F.coalesce("head", F.lit(0.0)))
         return judged.select("part_id", "line_no", F.when(F.col("style").isNull() & whole, head).otherwise(0.0).alias("head"), number.alias("number")).distinct()
 
@@ -253,7 +255,7 @@ class ScannedPages:
         broken = near.withColumn("joined", F.when((F.col("left") != "") & (F.col("right") != "") & F.col("right").rlike(r"^\p{Ll}|^[\d!|$@†]+\p{Ll}"), F.concat("left", "right")))
         scanned = broken.where("scanned")
 
-        words = lambda text: F.regexp_extract_all(text, F.lit(rf"({WORD})"), 1)
+        words = lambda text: F.filter(F.regexp_extract_all(text, F.lit(rf"({WORD})"), 1), lambda w: w.rlike(r"[\p{L}†@]"))
         clean = near.where(~F.col("scanned"))
         vocabulary = clean.select(F.explode(words(F.lower("line"))).alias("word")).distinct()
         compounds = clean.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+(?:-\p{L}+)+)"), 1)).alias("compound")).distinct()
