@@ -153,7 +153,9 @@ class SharedSpans:
         self.least, self.gram = least, gram
         self.around = least - gram
         named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-        #: (id, doc, n_chars): the class of equal texts of each record of some length.
+        #: (id, doc, n_chars) of every record; ``doc`` is the class of equal texts.
+        self.every = named.select("id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("doc"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+        #: (id, text, doc) of the records of the least length or more.
         self.long = named.where(F.char_length("text") >= least).withColumn("doc", F.xxhash64("text"))
         self.members = self.long.select("id", "doc").distinct()
         rows = anchor_rows(self.long.select("doc", "text"), least, gram)
@@ -240,11 +242,11 @@ class SharedSpans:
         )
 
     def shared(self) -> DataFrame:
-        """(doc_id, class_id, shared_chars, links) of each record of the least length or more.
+        """(doc_id, class_id, n_chars, shared_chars, links): one row for each record and text.
 
-        ``class_id`` is the smallest key with the same text, ``shared_chars`` the
-        number of code points in spans that another record holds too, ``links``
-        the number of other texts that share a span with it.
+        ``class_id`` is the smallest key with the same text (the own one for null),
+        ``shared_chars`` the number of code points in spans that another record
+        holds too, ``links`` the number of other texts that share a span with it.
         """
         either = self.links.select("hash", F.col("a").alias("context"), "left", "right").unionByName(
             self.links.select("hash", F.col("b").alias("context"), "left", "right")
@@ -259,12 +261,10 @@ class SharedSpans:
         covered = spans.withColumn("gain", gain).groupBy("doc").agg(F.sum("gain").alias("covered"))
         pairs = self.class_pairs()
         links = pairs.select(F.col("low").alias("doc")).unionByName(pairs.select(F.col("high").alias("doc"))).groupBy("doc").agg(F.count("*").alias("links"))
-        classes = self.long.groupBy("doc").agg(
-            F.min("id").alias("class_id"), (F.min("id") != F.max("id")).alias("copied"), F.max(F.char_length("text")).cast("long").alias("n_chars")
+        classes = self.every.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min("id").alias("class_id"), (F.min("id") != F.max("id")).alias("copied"))
+        per_class = classes.join(covered, "doc", "left").join(links, "doc", "left")
+        copied = F.col("copied") & (F.col("n_chars") >= self.least)
+        return self.every.distinct().join(per_class, "doc", "left").select(
+            F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), "n_chars",
+            F.when(copied, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared_chars"), F.coalesce("links", F.lit(0)).alias("links"),
         )
-        per_class = classes.join(covered, "doc", "left").join(links, "doc", "left").select(
-            "doc", "class_id",
-            F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared_chars"),
-            F.coalesce("links", F.lit(0)).alias("links"),
-        )
-        return self.members.join(per_class, "doc").select(F.col("id").alias("doc_id"), "class_id", "shared_chars", "links")

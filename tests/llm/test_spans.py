@@ -52,8 +52,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, paired):
     pairs, shared = brute(texts, least)
     assert {tuple(r) for r in found.pairs().collect()} == pairs
     got = {r["doc_id"]: r for r in found.shared().collect()}
-    assert {i: r["shared_chars"] for i, r in got.items()} == {i: n for i, n in shared.items() if len(texts[i]) >= least}
-    assert {got[i]["class_id"] for i in (3, 30, 31)} == {3}
+    assert {i: r["shared_chars"] for i, r in got.items()} == shared | {90: 0, 91: 0}
+    assert {got[i]["class_id"] for i in (3, 30, 31)} == {3} and got[37]["class_id"] == 36 and got[90]["class_id"] == 90
 
 
 def test_production_length(spark):
