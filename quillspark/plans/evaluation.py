@@ -139,7 +139,7 @@ def split_leak_check(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.leaking_families(table(spark, folder, "documents").select(F.col("source").alias("family"), F.coalesce("lang", F.lit("none")).alias("split")))
 
 
-@add("first_position", "SELECT doc_id, nullif(coalesce(list_position(string_split(text, ' '), 'rent'), 0), 0) AS place FROM documents WHERE text IS NOT NULL")
+@add("first_position", "SELECT doc_id, CAST(nullif(coalesce(list_position(string_split(text, ' '), 'rent'), 0), 0) AS BIGINT) AS place FROM documents WHERE text IS NOT NULL")
 def first_position(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", metrics.first_position(F.split("text", " "), F.lit("rent")).alias("place"))
 

@@ -120,7 +120,7 @@ def rerank_stub(spark: SparkSession, folder: str) -> DataFrame:
 
 _VECTORS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _NEAREST = f"""SELECT q.vec_id AS query_id, e.vec_id AS id, 1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))) AS distance FROM {_VECTORS} q, {_VECTORS} e WHERE q.vec_id % 100 = 0"""
-_RANKED = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM ({_NEAREST})"
+_RANKED = f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS INTEGER) AS rank FROM ({_NEAREST})"
 
 
 def _queries(vectors: DataFrame) -> list[tuple[int, list[float]]]:
@@ -144,7 +144,7 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return _nearest(spark, folder, 10).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@add("child_to_parent", f"WITH p AS (SELECT query_id, id // 5 AS parent_id, min(rank) AS r FROM ({_RANKED}) WHERE rank <= 30 AND id % 7 <> 0 GROUP BY 1, 2) SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY r, parent_id) AS rank FROM p")
+@add("child_to_parent", f"WITH p AS (SELECT query_id, id // 5 AS parent_id, min(rank) AS r FROM ({_RANKED}) WHERE rank <= 30 AND id % 7 <> 0 GROUP BY 1, 2) SELECT query_id, parent_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r, parent_id) AS INTEGER) AS rank FROM p")
 def child_to_parent(spark: SparkSession, folder: str) -> DataFrame:
     """Five vectors make a parent; those divisible by 7 have lost theirs."""
     owners = table(spark, folder, "embeddings").where(F.col("vec_id") % 7 != 0).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 5).alias("parent_id"))
