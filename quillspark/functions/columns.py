@@ -15,6 +15,11 @@ STATES = (
 DATE_FORMATS = ("y-M-d", "y/M/d", "M/d/y")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends, tabs and wide spaces included."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def money(value: Column) -> Column:
     """Two decimals, half up; null where the text is no number."""
     return F.trim(value.cast("string")).try_cast(MONEY)

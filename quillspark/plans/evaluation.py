@@ -149,15 +149,14 @@ def p95_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.p95(lineitem_ledger(spark, folder), "category", "amount")
 
 
-_TRAPS = f"""SELECT (SELECT count(*) FROM (SELECT 1 FROM {S.SERIES} t GROUP BY merchant, date, amount HAVING count(*) >= 2)) AS doubled_days,
-(SELECT count(*) FROM {S.SERIES} t WHERE amount < 0) AS refunds, (SELECT count(*) FROM (SELECT merchant FROM {S.SERIES} t GROUP BY merchant HAVING count(*) >= 12 AND max(amount) <= 15)) AS small_regular,
-(SELECT count(*) FROM (SELECT merchant FROM (SELECT merchant, amount, ntile(2) OVER (PARTITION BY merchant ORDER BY date, seq) AS half FROM {S.SERIES} t) GROUP BY merchant HAVING avg(amount) FILTER (half = 2) > 1.2 * avg(amount) FILTER (half = 1) AND avg(amount) FILTER (half = 1) > 0)) AS risen"""
+def _traps_sql(source: str) -> str:
+    return f"""SELECT (SELECT count(*) FROM (SELECT 1 FROM {source} t GROUP BY merchant, date, amount HAVING count(*) >= 2)) AS doubled_days,
+(SELECT count(*) FROM {source} t WHERE amount < 0) AS refunds, (SELECT count(*) FROM (SELECT merchant FROM {source} t GROUP BY merchant HAVING count(*) >= 12 AND max(amount) <= 15)) AS small_regular,
+(SELECT count(*) FROM (SELECT merchant FROM (SELECT merchant, amount, ntile(2) OVER (PARTITION BY merchant ORDER BY date, seq) AS half FROM {source} t) GROUP BY merchant HAVING avg(amount) FILTER (half = 2) > 1.2 * avg(amount) FILTER (half = 1) AND avg(amount) FILTER (half = 1) > 0)) AS risen"""
 
 
-@add("trap_check", _TRAPS)
-def trap_check(spark: SparkSession, _: str) -> DataFrame:
+def _traps(rows: DataFrame) -> DataFrame:
     """What a bill was made to contain, found in the rows alone."""
-    rows = spark.sql(S.SPARK_SERIES)
     halves = rows.withColumn("half", F.ntile(2).over(Window.partitionBy("merchant").orderBy("date", "seq"))).groupBy("merchant").agg(
         F.count("*").alias("n"), F.max("amount").alias("most"), F.avg(F.when(F.col("half") == 1, F.col("amount"))).alias("early"), F.avg(F.when(F.col("half") == 2, F.col("amount"))).alias("late")
     )
@@ -169,6 +168,16 @@ def trap_check(spark: SparkSession, _: str) -> DataFrame:
     return totals.join(merchants, "one").drop("one")
 
 
+@add("trap_check", _traps_sql(S.SERIES))
+def trap_check(spark: SparkSession, _: str) -> DataFrame:
+    return _traps(spark.sql(S.SPARK_SERIES))
+
+
+@add("trap_check_lines", _traps_sql(S.LINES))
+def trap_check_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _traps(lineitem_ledger(spark, folder))
+
+
 @add("rate_limit_window", "SELECT event_id, recent, recent > 3 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events))")
 def rate_limit_window(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.rate_windows(table(spark, folder, "events"), "user_id", "ts", 86_400, 3).select("event_id", "recent", "limited")

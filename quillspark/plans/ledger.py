@@ -131,6 +131,34 @@ def ingest_flip_sign(spark: SparkSession, _: str) -> DataFrame:
     return rows.where(F.size("bad") == 0).select("txn_id", "amount")
 
 
+# The same over all raw lines of the new batches; their identifiers repeat and have placeholders, so the line's ``id`` goes along.
+_STRIPPED = lambda column: f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+_INCOMING = (
+    f"SELECT id, {_STRIPPED('txn_id')} AS txn_id, CAST({_DATE} AS DATE) AS date, {_STRIPPED('merchant')} AS merchant, TRY_CAST(trim(amount) AS DECIMAL(20,2)) AS amount, "
+    f"{_STRIPPED('account')} AS account FROM incoming_transactions"
+)
+
+
+def _incoming(spark: SparkSession, folder: str, flip_sign: bool = False) -> DataFrame:
+    raw = table(spark, folder, "incoming_transactions").select("id", "txn_id", "date", "merchant", "amount", "account")
+    return parsed_rows(raw, flip_sign)
+
+
+@add("ingest_parse_incoming", f"SELECT * FROM ({_INCOMING}) WHERE date IS NOT NULL AND amount IS NOT NULL")
+def ingest_parse_incoming(spark: SparkSession, folder: str) -> DataFrame:
+    return _incoming(spark, folder).where(F.size("bad") == 0).select("id", "txn_id", "date", "merchant", "amount", "account")
+
+
+@add("ingest_reject_incoming", f"SELECT id, txn_id, concat_ws(',', CASE WHEN date IS NULL THEN 'date' END, CASE WHEN amount IS NULL THEN 'amount' END) AS bad FROM ({_INCOMING}) WHERE date IS NULL OR amount IS NULL")
+def ingest_reject_incoming(spark: SparkSession, folder: str) -> DataFrame:
+    return _incoming(spark, folder).where(F.size("bad") > 0).select("id", "txn_id", F.array_join("bad", ",").alias("bad"))
+
+
+@add("ingest_flip_sign_incoming", f"SELECT id, txn_id, CAST(-amount AS DECIMAL(20,2)) AS amount FROM ({_INCOMING}) WHERE date IS NOT NULL AND amount IS NOT NULL")
+def ingest_flip_sign_incoming(spark: SparkSession, folder: str) -> DataFrame:
+    return _incoming(spark, folder, flip_sign=True).where(F.size("bad") == 0).select("id", "txn_id", "amount")
+
+
 # --- merchants and categories -----------------------------------------------------------------------------------------
 
 _STATES = "'AL','AK','AZ','AR','CA','CO','CT','DE','DC','FL','GA','HI','ID','IL','IN','IA','KS','KY','LA','ME','MD','MA','MI','MN','MS','MO','MT','NE','NV','NH','NJ','NM','NY','NC','ND','OH','OK','OR','PA','RI','SC','SD','TN','TX','UT','VT','VA','WA','WV','WI','WY'"
@@ -167,6 +195,12 @@ def rule_match(spark: SparkSession, _: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM (VALUES {KEYS}) AS t(merchant_key)").select("merchant_key", rule_category(F.col("merchant_key")).alias("category"))
 
 
+@add("rule_match_ledger", f"SELECT k AS merchant_key, {_RULES} AS category FROM (SELECT DISTINCT merchant_key AS k FROM ledger_transactions) t")
+def rule_match_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    keys = table(spark, folder, "ledger_transactions").select("merchant_key").distinct()
+    return keys.select("merchant_key", rule_category(F.col("merchant_key")).alias("category"))
+
+
 # A cache by key: the first letters of the category that most of a merchant's rows have. Keys of the stored ledger that are named for a trade are known.
 _KNOWN = "SELECT merchant_key, max(category) AS category FROM ledger_transactions WHERE merchant_key LIKE '%coffee' OR merchant_key LIKE '%market' GROUP BY merchant_key"
 _DECIDED = f"""SELECT d.merchant_key, coalesce(ruled, CASE WHEN c.category IN ({", ".join(f"'{c}'" for c in CATEGORIES)}) THEN c.category END, '{FALLBACK}') AS category,
@@ -259,29 +293,55 @@ def recurring_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 _MONTHS = "CAST(greatest((year(last_date) - year(first_date)) * 12 + month(last_date) - month(first_date) + 1, 1) AS HUGEINT)"
 _MONTHLY = S.half_up(f"({S.cents('last_amount')} * occurrences)", _MONTHS)
-_SUBSCRIPTIONS = f"{S.recurring(S.SERIES)} SELECT merchant, last_amount AS amount, occurrences, {S.money(_MONTHLY)} AS monthly, {S.money(_MONTHLY + ' * 12')} AS yearly, first_date AS first_seen, last_date AS last_seen FROM c"
 
 
-@add("subscriptions", _SUBSCRIPTIONS)
+def _subscriptions_sql(source: str) -> str:
+    return f"{S.recurring(source)} SELECT merchant, last_amount AS amount, occurrences, {S.money(_MONTHLY)} AS monthly, {S.money(_MONTHLY + ' * 12')} AS yearly, first_date AS first_seen, last_date AS last_seen FROM c"
+
+
+@add("subscriptions", _subscriptions_sql(S.SERIES))
 def subscriptions(spark: SparkSession, _: str) -> DataFrame:
     return sequences.subscriptions(series(spark))
 
 
-@add("subscription_total", f"SELECT count(*) AS subscriptions, CAST(sum(yearly) AS DECIMAL(20,2)) AS yearly FROM ({_SUBSCRIPTIONS})")
+@add("subscriptions_ledger", _subscriptions_sql(S.LEDGER))
+def subscriptions_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.subscriptions(stored_ledger(spark, folder))
+
+
+def _subscription_total_sql(source: str) -> str:
+    return f"SELECT count(*) AS subscriptions, CAST(sum(yearly) AS DECIMAL(20,2)) AS yearly FROM ({_subscriptions_sql(source)})"
+
+
+@add("subscription_total", _subscription_total_sql(S.SERIES))
 def subscription_total(spark: SparkSession, _: str) -> DataFrame:
     return sequences.subscription_total(series(spark))
 
 
-@add(
-    "price_increases",
-    f"{S.recurring(S.SERIES)} SELECT c.merchant, first_amount AS was, last_amount AS now, min(r.date) AS since, occurrences, "
-    f"{S.money(S.half_up('(' + S.cents('last_amount') + ' * 100)', S.cents('first_amount')))} AS ratio, CAST((last_amount - first_amount) * 12 AS DECIMAL(20,2)) AS yearly_extra "
-    "FROM c JOIN r ON r.merchant = c.merchant AND r.amount = c.last_amount WHERE first_amount > 0 AND last_amount * 100 > first_amount * 105 GROUP BY c.merchant, first_amount, last_amount, occurrences",
-)
+# Without any subscription the total is 0.
+@add("subscription_total_ledger", f"SELECT subscriptions, coalesce(yearly, 0.00) AS yearly FROM ({_subscription_total_sql(S.LEDGER)})")
+def subscription_total_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.subscription_total(stored_ledger(spark, folder))
+
+
+def _price_increases_sql(source: str) -> str:
+    return (
+        f"{S.recurring(source)} SELECT c.merchant, first_amount AS was, last_amount AS now, min(r.date) AS since, occurrences, "
+        f"{S.money(S.half_up('(' + S.cents('last_amount') + ' * 100)', S.cents('first_amount')))} AS ratio, CAST((last_amount - first_amount) * 12 AS DECIMAL(20,2)) AS yearly_extra "
+        "FROM c JOIN r ON r.merchant = c.merchant AND r.amount = c.last_amount WHERE first_amount > 0 AND last_amount * 100 > first_amount * 105 GROUP BY c.merchant, first_amount, last_amount, occurrences"
+    )
+
+
+@add("price_increases", _price_increases_sql(S.SERIES))
 def price_increases(spark: SparkSession, _: str) -> DataFrame:
     return sequences.price_increases(series(spark))
 
 
+@add("price_increases_ledger", _price_increases_sql(S.LEDGER))
+def price_increases_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.price_increases(stored_ledger(spark, folder))
+
+
 def _outliers_sql(source: str, group: str) -> str:
     place = lambda p, step: f'least(({p} * (n - 1)) // 100 + {step}, n - 1)'
     at = lambda p, step: f"max(c) FILTER (i = {place(p, step)})"
@@ -328,16 +388,22 @@ def project_period(spark: SparkSession, folder: str) -> DataFrame:
 _SPAN = "((year(last_date) - year(first_date)) * 12 + month(last_date) - month(first_date))"
 
 
-@add(
-    "upcoming_charges",
-    f"""{S.recurring(S.SERIES)}, m AS (SELECT *, CAST(round_even(median_gap, 0) AS INTEGER) AS interval_days, CASE WHEN {_SPAN} > 0 THEN CAST(round_even({_SPAN} / (occurrences - 1), 0) AS INTEGER) ELSE 0 END AS months FROM c),
+def _upcoming_sql(source: str, today: date, days: int) -> str:
+    return f"""{S.recurring(source)}, m AS (SELECT *, CAST(round_even(median_gap, 0) AS INTEGER) AS interval_days, CASE WHEN {_SPAN} > 0 THEN CAST(round_even({_SPAN} / (occurrences - 1), 0) AS INTEGER) ELSE 0 END AS months FROM c),
 e AS (SELECT *, unnest(generate_series(1, 240)) AS n FROM m WHERE interval_days > 0), w AS (SELECT *, CASE WHEN months > 0 THEN CAST(last_date + to_months(CAST(months * n AS INTEGER)) AS DATE) ELSE last_date + CAST(interval_days * n AS INTEGER) END AS due FROM e)
-SELECT merchant, last_amount AS amount, min(due) AS next_date, interval_days, occurrences FROM w WHERE due >= DATE '2026-06-02' GROUP BY merchant, last_amount, interval_days, occurrences HAVING min(due) <= DATE '2026-06-02' + 60""",
-)
+SELECT merchant, last_amount AS amount, min(due) AS next_date, interval_days, occurrences FROM w WHERE due >= DATE '{today}' GROUP BY merchant, last_amount, interval_days, occurrences HAVING min(due) <= DATE '{today}' + {days}"""
+
+
+@add("upcoming_charges", _upcoming_sql(S.SERIES, date(2026, 6, 2), 60))
 def upcoming_charges(spark: SparkSession, _: str) -> DataFrame:
     return forecast.upcoming_charges(series(spark), date(2026, 6, 2), 60)
 
 
+@add("upcoming_charges_ledger", _upcoming_sql(S.LEDGER, TODAY, 60))
+def upcoming_charges_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast.upcoming_charges(stored_ledger(spark, folder), TODAY, 60)
+
+
 @add("month_bounds", "SELECT DISTINCT strftime(date, '%Y-%m') AS month, CAST(date_trunc('month', date) AS DATE) AS first, last_day(date) AS last FROM " + S.ORDERS + " t")
 def month_bounds(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("date")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IngestError
-from ..functions.columns import money, parsed_date
+from ..functions.columns import money, parsed_date, stripped
 from ..schema import MONEY
 from .tables import table
 
@@ -19,12 +19,12 @@ def parsed_rows(raw: DataFrame, flip_sign: bool = False) -> DataFrame:
     Text is trimmed. Rows with the same identifier are kept as they are. A null
     date or amount is unreadable.
     """
-    amount = money(F.col("amount"))
+    amount = money(stripped(F.col("amount").cast("string")))
     typed = raw.select(
-        "*", parsed_date(F.col("date")).alias("__date"), (-amount if flip_sign else amount).cast(MONEY).alias("__amount")
+        "*", parsed_date(stripped(F.col("date"))).alias("__date"), (-amount if flip_sign else amount).cast(MONEY).alias("__amount")
     )
     bad = F.filter(F.array(F.when(F.col("__date").isNull(), F.lit("date")), F.when(F.col("__amount").isNull(), F.lit("amount"))), lambda x: x.isNotNull())
-    others = [F.trim(F.col(c)).alias(c) if c in ("txn_id", "merchant", "account") else F.col(c) for c in raw.columns if c not in ("date", "amount")]
+    others = [stripped(F.col(c)).alias(c) if c in ("txn_id", "merchant", "account") else F.col(c) for c in raw.columns if c not in ("date", "amount")]
     return typed.select(*others, F.col("__date").alias("date"), F.col("__amount").alias("amount"), bad.alias("bad"))
 
 
