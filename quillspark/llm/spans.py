@@ -184,7 +184,10 @@ class SharedSpans:
         self.links = cut(self._links())
 
     def _links(self) -> DataFrame:
-        """(hash, a, b, left, right): pairs of contexts that share a span, with how far it reaches on either side."""
+        """(hash, a, b, left, right): pairs of contexts that share a span, with how far it reaches on either side.
+
+        Two contexts of one and the same text are no link: what a text repeats only within itself isn't shared.
+        """
         kinds = self.contexts.groupBy("hash", "context").agg(
             F.first("before").alias("before"), F.first("after").alias("after"), F.min("doc").alias("low"), F.max("doc").alias("high")
         )
@@ -196,24 +199,25 @@ class SharedSpans:
         many = kinds.join(numbers, "hash")
 
         def side(rows, name):
-            return rows.select("hash", F.col("context").alias(name), F.col("before").alias(f"{name}_before"), F.col("after").alias(f"{name}_after"))
+            return rows.select("hash", F.col("context").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("before", "after", "low", "high")))
 
+        several = F.least("a_low", "b_low") != F.greatest("a_high", "b_high")
         few = many.where(F.col("n") <= PAIRED)
         left, right = common_prefix("a_before", "b_before"), common_prefix("a_after", "b_after")
         paired = (
-            side(few, "a").join(side(few, "b"), "hash").where("a < b")
+            side(few, "a").join(side(few, "b"), "hash").where("a < b").where(several)
             .select("hash", "a", "b", left.alias("left"), right.alias("right"))
             .where((F.col("right") >= self.gram) & (F.col("left") + F.col("right") >= self.least))
         )
         # All windows of the least length around the hash; equal ones are shared spans.
-        windows = many.where(F.col("n") > PAIRED).select("hash", "context", F.explode(F.sequence(F.lit(0), F.lit(self.around))).alias("left"), "before", "after")
+        windows = many.where(F.col("n") > PAIRED).select("hash", "context", F.explode(F.sequence(F.lit(0), F.lit(self.around))).alias("left"), "before", "after", "low", "high")
         whole = windows.where((F.char_length("before") >= F.col("left")) & (F.char_length("after") >= self.least - F.col("left"))).select(
-            "hash", "context", "left",
+            "hash", "context", "left", "low", "high",
             F.md5(F.concat(F.expr("substring(before, 1, left)"), F.lit("\x00"), F.expr(f"substring(after, 1, {self.least} - left)"))).alias("piece"),
         )
-        a, b = whole.select("hash", "left", "piece", F.col("context").alias("a")), whole.select("hash", "left", "piece", F.col("context").alias("b"))
+        a, b = (whole.select("hash", "left", "piece", *(F.col(c).alias(n) for c, n in (("context", name), ("low", f"{name}_low"), ("high", f"{name}_high")))) for name in "ab")
         grouped = (
-            a.join(b, ["hash", "left", "piece"]).where("a < b")
+            a.join(b, ["hash", "left", "piece"]).where("a < b").where(several)
             .groupBy("hash", "a", "b")
             .agg(F.max("left").cast("int").alias("left"), (F.lit(self.least) - F.min("left")).cast("int").alias("right"))
         )

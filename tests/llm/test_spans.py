@@ -79,3 +79,22 @@ def test_every_span_keeps_an_anchor():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(80))) for _ in range(2))
         owner, _, hashes = S.anchors([a + passage + b, b + passage + a], 60, 24)
         assert set(hashes[owner == 0]) & set(hashes[owner == 1])
+
+
+@pytest.mark.parametrize("paired", [64, 1])
+def test_repeats_within_one_text_are_not_shared(spark, monkeypatch, paired):
+    monkeypatch.setattr(S, "PAIRED", paired)
+    rng = random.Random(11)
+    least, gram = 60, 24
+    fresh = lambda n: "".join(rng.choice(ALPHABET) for _ in range(n))
+    passage = fresh(90)
+    # Every window of the repeated passage is in another text too, in pieces that are too short to be shared.
+    pieces = [passage[p : p + least - 1] for p in range(0, 90, 8)]
+    texts = {1: fresh(30) + passage + fresh(30) + passage + fresh(30)} | {i: fresh(50) + piece + fresh(50) for i, piece in enumerate(pieces, 2)}
+    common = fresh(70)
+    texts |= {50: common + fresh(40) + common + fresh(20), 51: fresh(20) + common + fresh(20)}
+    found = S.SharedSpans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", least, gram)
+    pairs, shared = brute(texts, least)
+    assert {tuple(r) for r in found.pairs().collect()} == pairs
+    assert {r["doc_id"]: r["shared_chars"] for r in found.shared().collect()} == shared
+    assert shared[1] == 0 and shared[50] >= 140
