@@ -29,9 +29,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local runs) a temporary folder is
-    made and set, so that no machine-local folder is ever used on a cluster
-    that names a shared one.
+    Where the setting is absent a temporary folder is made and set, but only on
+    a local master (tests, single machine): a cluster whose executors could not
+    see that folder is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -42,6 +42,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
