@@ -1,37 +1,47 @@
 """Deduplicating new batches against all accepted history.
 
-Records are normalised field by field (account, identifier, amount, date,
-merchant) and entered in blocking-key tables: one row for each key with the
-smallest record that has it.  A new batch probes these tables, so history is
-never compared with itself, and a key held by many records is one row.
-
-* ``whole`` keys hold the full identifier.
-* ``part`` keys hold thirds of an identifier and its last characters: an
-  identifier with one wrong character, or two swapped ones, keeps a third, and
-  one that lost its beginning keeps its end.  Running numbers (T and a number)
-  have none, they are never damaged.
-* ``plain`` keys hold date and amount, for records without identifier.
-
-Candidates are scored by a record-linkage model over fields (identifier, date,
-merchant, way of writing the account), whose weights are learned by expectation
-maximisation from the counts of the agreement patterns of all candidates; a few
-hundred patterns at most, whatever the data.  Accepted links close to clusters
-by a union-find mapping of representatives; only clusters with a new record are
-touched.
+``LinkageStore`` keeps the history as a blocking-key table in the shared folder:
+normalised records laid out by account and amount, on which all that is compared
+must agree, in buckets of their hash.  A batch reads the buckets that its own
+accounts and amounts fall into, passes their rows through a bit filter of fixed
+size, and gives the few that stay finer keys:
+
+* ``whole`` keys hold the full identifier,
+* ``part`` keys an identifier with a few neighbouring characters masked, so that
+  one with a wrong character, or two swapped ones, agrees in the key where these
+  are masked; and the last characters, for identifiers that lost their beginning.
+  Running numbers (T and a number) have none, they are never damaged,
+* ``plain`` keys the day, for records without identifier,
+* ``file`` keys the file, for batches whose content hash was seen before,
+* ``block`` keys nothing more: one record of the block, as an example of two
+  records that agree by chance.
+
+Each key is one row for each content and day, so a key held by many records is
+few rows.  Candidates are compared field by field (identifier, date, merchant,
+way of writing the account, file), and the fields' weights are learned by
+expectation maximisation from the counts of the agreement patterns.  A candidate
+is a link if its total weight reaches the threshold and no rule forbids it; of
+several that a record without identifier fits, the one of most weight is taken.
+Links close to clusters by a union-find mapping of representatives; only
+clusters that the batch touches are read and updated.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
+import uuid
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import checkpoint_root, cut
+from ..storage import fingerprint_of, read_mark, write_mark
 from .components import components
 from .names import read_name, sound, swap_distance
 
@@ -39,6 +49,12 @@ from .names import read_name, sound, swap_distance
 DAYS = 3
 #: Last characters kept when an identifier loses its beginning: of 14 digits and of 12 hexadecimal digits.
 TAILS = {"long": 7, "hex": 8}
+#: Neighbouring characters masked at once in a part key; each mask overlaps the one before by a character, so that it holds every swap.
+MASK = 4
+#: Bits of the filter that history passes before anything is shuffled; its size does not depend on the data.
+FILTER_BITS = 1 << 23
+#: Folders that a store's tables are laid out in; fixed when a store is made.
+BUCKETS = 32
 # What stands for a missing identifier, and words before one.
 PLACEHOLDERS = ["", "-", "--", "N/A", "NA", "NONE", "NULL", "?", "0"]
 LABELS = r"^(REF|TXN|ID|NO|TRANSACTION)[\s:.#]+|^#|^0X"
@@ -73,66 +89,81 @@ def amount_cents(raw: Column) -> Column:
 
 
 def normalised(rows: DataFrame) -> DataFrame:
-    """(id, block, style, day, merchant, kind, value) of records in either table's form.
+    """The RECORD fields of records in either table's form.
 
-    ``block`` stands for account and amount, on which all that is compared must
-    agree.  Records whose account has no digits, or whose amount or date can't
-    be read, are left out: they agree with no other record.
+    Records whose account has no digits, or whose amount or date can't be read,
+    are left out: they agree with no other record.
     """
     kind, value = identifier_fields(F.col("txn_id"))
     account = F.regexp_replace("account", r"\P{Nd}", "")
     cents = amount_cents(F.col("amount").cast("string"))
     day = F.datediff(date_value(F.col("date").cast("string")), F.lit("1970-01-01").cast("date"))
-    return rows.where((F.col("id").isNotNull()) & (account != "") & cents.isNotNull() & day.isNotNull()).select(
-        F.col("id").cast("long").alias("id"),
-        F.xxhash64(account, cents).alias("block"),
-        F.hash(F.lower(F.btrim("account"))).alias("style"),
-        day.alias("day"),
-        F.coalesce("merchant", F.lit("")).alias("merchant"),
-        kind.alias("kind"),
-        value.alias("value"),
+    named = rows.select(
+        F.col("id").cast("long").alias("id"), account.alias("account"), cents.alias("cents"), day.alias("day"), kind.alias("kind"), value.alias("value"),
+        F.coalesce("merchant", F.lit("")).alias("merchant"), F.hash(F.lower(F.btrim("account"))).alias("style"), F.col("batch_id").cast("string").alias("batch"),
     )
+    return named.where(F.col("id").isNotNull() & (F.col("account") != "") & F.col("cents").isNotNull() & F.col("day").isNotNull())
+
+
+RECORD = "id long, account string, cents long, day int, kind string, value string, merchant string, style int, batch string"
+FIELDS = ["account", "cents", "day", "kind", "value", "merchant", "style", "file", "resent"]
+BLOCK = ["account", "cents"]
+MAPPING = "node long, root long, named boolean, generation int"
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*BLOCK), F.lit(buckets)).cast("int")
+
+
+def masks(length: int) -> list[tuple[int, int]]:
+    """(begin, end) of the masks of an identifier: every two neighbours are in one of them."""
+    return [(at, min(at + MASK, length)) for at in range(0, max(length - 1, 1), MASK - 1)]
+
+
+#: Lengths of the identifiers that have part keys.
+LENGTHS = (7, 8, 12, 14)
 
 
 def keys(records: DataFrame, probing: bool) -> DataFrame:
-    """The blocking keys of each record: (key, table, content, id, day).
+    """The finer keys of each record: (key, table, content, id, day, reach).
 
-    A key is a hash of its table, block and part of the record; ``content`` is a
-    hash of what a judge looks at, so that repeats of it need one row.  In the ``plain`` table every
-    record is entered for those without identifier to find, and those without
-    once more for all others to find.
-    """
-    length = F.char_length("value")
-    edge = [F.lit(0), *(F.floor(length * i / 3).cast("int") for i in (1, 2)), length]
-    thirds = [F.struct(F.lit("part").alias("table"), F.concat(F.lit(f"third{i}|"), F.substring("value", edge[i] + 1, edge[i + 1] - edge[i])).alias("content")) for i in range(3)]
-    tail = F.when(F.col("kind") == "long", F.substring("value", -TAILS["long"], TAILS["long"])).otherwise(F.substring("value", -TAILS["hex"], TAILS["hex"]))
-    parts = F.array(*thirds, F.struct(F.lit("part").alias("table"), F.concat(F.lit("tail|"), tail).alias("content")))
-    whole = F.array(F.struct(F.lit("whole").alias("table"), F.concat_ws("|", "kind", "value").alias("content")))
-    plain = {who: F.array(F.struct(F.lit("plain").alias("table"), F.concat(F.lit(who), F.col("day").cast("string")).alias("content"))) for who in ("any|", "none|")}
-    nameless = F.col("value").isNull()
-    if probing:
-        dated = F.when(nameless, plain["any|"]).otherwise(plain["none|"])
-    else:
-        dated = F.when(nameless, F.concat(*plain.values())).otherwise(plain["any|"])
-    entries = F.concat(dated, F.when(nameless, F.array()).otherwise(whole), F.when(F.col("kind").isin(*TAILS), parts).otherwise(F.array()))
-    content = F.when(F.col("k.table") == "whole", F.lit(0)).when(F.col("k.table") == "part", F.xxhash64("kind", "value")).otherwise(F.xxhash64("merchant"))
-    rows = records.withColumn("k", F.explode(entries))
-    return rows.select(F.xxhash64("k.table", "block", "k.content").alias("key"), (F.col("k.table") == "plain").alias("plain"), content.alias("content"), "id", "day")
-
-
-FIELDS = ["style", "day", "merchant", "kind", "value"]
-
-
-def index(records: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """The blocking-key tables of accepted records, to be stored and probed: (key, plain, content, first, low, high).
-
-    One row for each key and content, with the smallest record and the range of
-    days; ``wanted`` limits it to the keys of a batch, where it is not stored.
+    ``content`` is a hash of what a judge looks at, so that repeats of it need
+    one row.  In the ``plain`` table every record is entered for those without
+    identifier to find, and those without once more for all others to find.
+    ``reach`` is the number of days by which a partner may be off.
     """
+    named, nameless = F.col("value").isNotNull(), F.col("value").isNull()
+    entry = lambda table, text, reach: F.struct(F.lit(table).alias("table"), text.alias("text"), F.lit(reach).alias("reach"))
+    size = F.char_length("value")
+    masked = F.lit(None)
+    for length in LENGTHS:
+        texts = [F.concat(F.lit(f"mask{begin}|"), F.substring("value", 1, begin), F.lit("*"), F.expr(f"substring(value, {end + 1})")) for begin, end in masks(length)]
+        masked = F.when(size == length, F.array(*(entry("part", t, DAYS) for t in texts))).otherwise(masked)
+    least = F.when(F.col("kind") == "long", TAILS["long"]).otherwise(TAILS["hex"])
+    tail = F.when(F.col("kind") == "long", F.expr(f"right(value, {TAILS['long']})")).otherwise(F.expr(f"right(value, {TAILS['hex']})"))
+    # A whole identifier looks for tails, a tail for whole ones.
+    own, sought = F.when(size > least, "whole|").otherwise("tail|"), F.when(size > least, "tail|").otherwise("whole|")
+    damageable = F.col("kind").isin(*TAILS)
+    parts = F.when(damageable & masked.isNotNull(), F.concat(masked, F.array(entry("part", F.concat(sought if probing else own, tail), DAYS))))
+    none = F.array().cast("array<struct<table:string,text:string,reach:int>>")
+    whole = F.when(named, F.array(entry("whole", F.concat_ws("|", "kind", "value"), DAYS)))
+    plain = {who: F.array(entry("plain", F.lit(who), 0)) for who in ("any", "none")}
+    dated = F.when(nameless, plain["any"]).otherwise(plain["none"]) if probing else F.when(nameless, F.concat(*plain.values())).otherwise(plain["any"])
+    shared = F.col("file").isNotNull() & F.col("resent") if probing else F.col("file").isNotNull()
+    file = F.when(shared, F.array(entry("file", F.col("file"), 0)))
+    block = F.array(entry("block", F.lit(""), 0))
+    rows = records.withColumn("k", F.explode(F.concat(block, dated, *(F.coalesce(x, none) for x in (whole, parts, file)))))
+    name = F.regexp_replace(F.lower("merchant"), r"[^\p{L}\p{Nd}]", "")
+    content = F.when(F.col("k.table").isin("whole", "block"), F.lit(0)).when(F.col("k.table") == "part", F.xxhash64("kind", "value")).otherwise(F.xxhash64(name, "kind", F.when(F.col("k.table") == "file", F.col("value"))))
+    return rows.select(F.xxhash64("k.table", *BLOCK, "k.text").alias("key"), F.col("k.table").alias("table"), content.alias("content"), "id", "day", F.col("k.reach").alias("reach"))
+
+
+def index(records: DataFrame) -> DataFrame:
+    """(key, content, day, first): the smallest record of each key, content and day; of a block any one record."""
     keyed = keys(records, probing=False)
-    if wanted is not None:
-        keyed = keyed.join(wanted.select("key").distinct(), "key", "left_semi")
-    return keyed.groupBy("key", "plain", "content").agg(F.min("id").alias("first"), F.min("day").alias("low"), F.max("day").alias("high"))
+    block = F.col("table") == "block"
+    picked = F.when(block, F.xxhash64("id")).otherwise(F.col("id"))
+    return keyed.groupBy("key", "content", F.when(block, F.lit(None)).otherwise(F.col("day")).alias("day")).agg(F.min_by("id", picked).alias("first"))
 
 
 @F.pandas_udf(T.StringType())
@@ -192,109 +223,271 @@ def merchant_level(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_level(x, y) for x, y in zip(a, b)])
 
 
-PATTERN = ["id_level", "date_level", "merchant_level", "account_level"]
+PATTERN = ["id_level", "date_level", "merchant_level", "account_level", "file_level"]
+#: What is taken for granted before any pair is seen, as numbers of pairs that are the same and of pairs that are not.
+SAME = {
+    "id_level": {"same": 30, "tail": 6, "damaged": 6, "missing": 7, "other": 1}, "date_level": {"same": 35, "near": 14, "far": 1}, "merchant_level": {"same": 35, "similar": 12, "other": 3},
+    "account_level": {"same": 30, "written": 20}, "file_level": {"copied": 10, "apart": 40},
+}
+OTHER = {
+    "id_level": {"same": 0.2, "tail": 0.3, "damaged": 1.5, "missing": 5, "other": 43}, "date_level": {"same": 4, "near": 6, "far": 40}, "merchant_level": {"same": 10, "similar": 5, "other": 35},
+    "account_level": {"same": 30, "written": 20}, "file_level": {"copied": 0.5, "apart": 49.5},
+}
+#: Share of pairs that are the same, before any pair is seen.
+PRIOR = 0.5
+
+
+@dataclass(frozen=True)
+class Weights:
+    """log2(m/u) of each field's levels, and of the odds that a candidate is the same record at all."""
+
+    levels: dict[str, dict[str, float]]
+    odds: float
+
+    def total(self) -> Column:
+        score = F.lit(float(self.odds))
+        for name in PATTERN:
+            known = self.levels.get(name, {})
+            part = F.lit(0.0)
+            for level, weight in known.items():
+                part = F.when(F.col(name) == level, F.lit(float(weight))).otherwise(part)
+            score = score + part
+        return score
 
 
-def learn(counts: pd.DataFrame, rounds: int = 30) -> dict[str, dict[str, float]]:
-    """Weights log2(m/u) of each field's levels, by expectation maximisation over pattern counts.
+def learn(counts: pd.DataFrame, rounds: int = 50) -> Weights:
+    """The weights of the counted agreement patterns (columns PATTERN and n), by expectation maximisation.
 
-    Starts from agreement: identifiers and merchants that agree speak for a match.
+    SAME and OTHER stand for a hundred pairs seen before, so that few patterns
+    don't give wild weights and an empty table gives those of the hundred.
     """
-    if not len(counts):
-        return {f: {} for f in PATTERN}
-    good = {"id_level": {"same": 0.9, "tail": 0.9, "damaged": 0.9, "missing": 0.5, "other": 0.01}, "date_level": {"same": 0.7, "near": 0.4}, "merchant_level": {"same": 0.8, "similar": 0.7, "other": 0.1}, "account_level": {"same": 0.5, "written": 0.5}}
-    chance = counts.apply(lambda r: min(good[f].get(r[f], 0.5) for f in PATTERN), axis=1)
-    weights: dict[str, dict[str, float]] = {}
-    for _ in range(rounds):
-        match, other = counts["n"] * chance, counts["n"] * (1 - chance)
-        prior = match.sum() / counts["n"].sum()
-        weights = {}
-        for field in PATTERN:
-            levels = counts[field].unique()
-            m = {v: (match[counts[field] == v].sum() + 0.5) / (match.sum() + 0.5 * len(levels)) for v in levels}
-            u = {v: (other[counts[field] == v].sum() + 0.5) / (other.sum() + 0.5 * len(levels)) for v in levels}
-            weights[field] = {v: math.log2(m[v] / u[v]) for v in levels}
-        odds = counts.apply(lambda r: sum(weights[f][r[f]] for f in PATTERN) + math.log2(max(prior, 1e-9) / max(1 - prior, 1e-9)), axis=1)
+    def tables(same, other):
+        made = {}
+        for name in PATTERN:
+            m = {v: SAME[name][v] + same[counts[name] == v].sum() for v in SAME[name]}
+            u = {v: OTHER[name][v] + other[counts[name] == v].sum() for v in OTHER[name]}
+            made[name] = {v: math.log2((m[v] / sum(m.values())) / (u[v] / sum(u.values()))) for v in m}
+        held = 50 * PRIOR * 2
+        share = (held + same.sum()) / (100 + same.sum() + other.sum())
+        return Weights(made, math.log2(share / (1 - share)))
+
+    n = counts["n"].astype(float)
+    weights = tables(n * 0, n * 0)
+    for _ in range(rounds if len(counts) else 0):
+        odds = sum((counts[name].map(weights.levels[name]) for name in PATTERN), start=n * 0) + weights.odds
         chance = 1 / (1 + 2.0 ** -odds.clip(-60, 60))
+        weights = tables(n * chance, n * (1 - chance))
     return weights
 
 
-def candidates(new: DataFrame, probe: DataFrame, accepted: DataFrame, records: DataFrame) -> DataFrame:
-    """(id, other, levels): each new record with the earlier ones that its keys lead to; ``records`` holds the fields of both."""
-    asked = probe.select("key", "id", "day")
-    met = accepted.join(asked, "key").where((F.col("first") < F.col("id")) & (F.col("low") <= F.col("day") + DAYS) & (F.col("high") >= F.col("day") - DAYS))
-    pairs = met.groupBy("id", F.col("first").alias("other")).agg(F.min("plain").alias("plain"))
+def candidates(new: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, other, patterns, weak): each new record with the earlier ones that its keys lead to; ``records`` holds old and new ones."""
+    probe = keys(new, probing=True)
+    asked = probe.select("key", "id", "day", "reach")
+    near = F.col("i.day").isNull() | (F.abs(F.col("i.day") - F.col("p.day")) <= F.col("p.reach"))
+    met = index(records).alias("i").join(asked.alias("p"), F.col("i.key") == F.col("p.key")).where((F.col("i.first") < F.col("p.id")) & near)
+    pairs = met.select(F.col("p.id").alias("id"), F.col("i.first").alias("other")).distinct()
     side = lambda rows, key, name: rows.select(F.col("id").alias(key), F.struct(*FIELDS).alias(name))
     both = pairs.join(side(records, "other", "b"), "other").join(side(new, "id", "a"), "id")
+    # Keys are hashes; what they stand for is compared here.
+    both = both.where((F.col("a.account") == F.col("b.account")) & (F.col("a.cents") == F.col("b.cents")))
     gap = F.abs(F.col("a.day") - F.col("b.day"))
     return both.select(
         "id", "other",
-        # A plain key's record stands for all of its merchant, whatever their identifiers.
-        F.when(F.col("plain"), "missing").otherwise(id_level("a.kind", "a.value", "b.kind", "b.value")).alias("id_level"),
+        id_level("a.kind", "a.value", "b.kind", "b.value").alias("id_level"),
         F.when(gap == 0, "same").when(gap <= DAYS, "near").otherwise("far").alias("date_level"),
         merchant_level("a.merchant", "b.merchant").alias("merchant_level"),
         F.when(F.col("a.style") == F.col("b.style"), "same").otherwise("written").alias("account_level"),
+        F.when(F.col("a.resent") & (F.col("a.file") == F.col("b.file")), "copied").otherwise("apart").alias("file_level"),
+        F.col("a.value").isNull().alias("nameless"), F.col("b.value").isNull().alias("other_nameless"),
     )
 
 
-def allowed() -> Column:
-    """What no weight may outvote: other identifiers are other transactions, and without one all fields must agree."""
+def forbidden() -> Column:
+    """What no weight may overrule: other identifiers are other transactions, a far date is another one, and without an identifier date and merchant must agree."""
     agree = (F.col("date_level") == "same") & (F.col("merchant_level") != "other")
-    return (F.col("date_level") != "far") & F.when(F.col("id_level") == "missing", agree).otherwise(F.col("id_level") != "other")
-
-
-def scored(pairs: DataFrame) -> DataFrame:
-    """Accepted pairs with their weight; the weights are learned from all patterns."""
-    counts = pairs.groupBy(*PATTERN).agg(F.count("*").alias("n")).toPandas()  # at most 5 x 3 x 3 x 2 patterns
-    weights = learn(counts)
-    total = F.lit(0.0)
-    for field in PATTERN:
-        score = F.lit(0.0)
-        for level, weight in weights[field].items():
-            score = F.when(F.col(field) == level, F.lit(float(weight))).otherwise(score)
-        total = total + score
-    return pairs.where(allowed()).withColumn("weight", total)
-
-
-def duplicates(history: DataFrame, incoming: DataFrame, accepted: DataFrame | None = None, representatives: DataFrame | None = None) -> DataFrame:
-    """(original_id, duplicate_id): the incoming records that repeat an earlier one, with the smallest of its transaction.
-
-    ``accepted`` may be the stored index of ``history``; it is built where it is
-    not given.  A later batch is served by the union of the stored index and
-    ``index`` of the batches since, and by ``representatives``: what earlier
-    calls found, as (original_id, duplicate_id), so that a record which repeats
-    a repeat is led to its first.  Only records of the new batch are in the
-    result; clusters that it doesn't touch are not looked at.  Nulls and placeholders are no identifiers.
-    Rows that repeat an ``id`` count once.  Empty tables give an empty result.
-    Links of records with identifiers close to clusters first; a record without
-    one then joins the cluster of the smallest record it agrees with, so it
-    can't tie two different transactions together.
+    return (F.col("id_level") == "other") | (F.col("date_level") == "far") | ((F.col("id_level") == "missing") & ~agree)
+
+
+#: Total weight, in bits, from which a candidate is a link: more likely the same record than not.
+THRESHOLD = 0.0
+
+
+@dataclass
+class Linked:
+    """What a batch adds: its repeats, the representatives that changed, its records and what was learned."""
+
+    repeats: DataFrame
+    representatives: DataFrame
+    records: DataFrame
+    weights: Weights
+
+
+class LinkageStore:
+    """Accepted history in a folder that all executors share, as tables by blocking key.
+
+    ``records`` holds the normalised records and ``representatives`` the
+    union-find mapping (node, root), both in folders by bucket.  A mark names the
+    folders that count, so a build or batch that was broken off leaves nothing
+    behind.  There is one writer at a time.
     """
-    new = cut(normalised(incoming).dropDuplicates(["id"]))
-    probe = keys(new, probing=True)
-    # Records of another account or amount are never looked at.
-    related = cut(normalised(history).join(new.select("block").distinct(), "block", "left_semi"))
-    known = accepted if accepted is not None else index(related, probe)
-    pairs = cut(candidates(new, probe, known.unionByName(index(new, probe)), related.unionByName(new)))
-    links = scored(pairs)
-    sure = links.where(F.col("id_level") != "missing")
-    clusters = components(sure, "other", "id")
-    weak = links.where(F.col("id_level") == "missing").select("id", "other")
-    rooted = (
-        weak.join(clusters.withColumnsRenamed({"node": "other", "root": "other_root"}), "other", "left")
-        .join(clusters.withColumnsRenamed({"node": "id", "root": "own_root"}), "id", "left")
-        .select("id", F.coalesce("other_root", "other").alias("other"), "own_root")
-    )
-    # A record that is in a cluster already stays there.
-    joined = rooted.where(F.col("own_root").isNull()).groupBy("id").agg(F.min("other").alias("root"))
-    # Its target may be such a record too, and so on.
-    chained = components(joined, "id", "root")
-    weak_found = chained.where("node <> root").join(joined.select(F.col("id").alias("node")), "node", "left_semi")
-    strong_found = clusters.where("node <> root")
-    found = strong_found.unionByName(weak_found.select("node", "root"))
-    ids = new.select(F.col("id").alias("node"))
-    repeats = found.join(ids, "node", "left_semi").groupBy(F.col("node").alias("duplicate_id")).agg(F.min("root").alias("original_id"))
-    if representatives is not None:
-        known_roots = representatives.groupBy(F.col("duplicate_id").alias("original_id")).agg(F.min("original_id").alias("first"))
-        repeats = repeats.join(known_roots, "original_id", "left").select(F.coalesce("first", "original_id").alias("original_id"), "duplicate_id")
-    return repeats.select("original_id", "duplicate_id")
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        mark = read_mark(spark, f"{self.folder}/mark")
+        self.state = json.loads(mark) if mark else None
+
+    @classmethod
+    def of(cls, history: DataFrame, folder: str, buckets: int = BUCKETS) -> LinkageStore:
+        """The store in a folder; made from ``history`` where there is none yet. History is read only then."""
+        store = cls(history.sparkSession, folder)
+        if store.state is None:
+            store.state = {"buckets": buckets, "records": [], "mapping": [], "weights": None}
+            store._add("records", normalised(history))
+            store._save()
+        return store
+
+    def _save(self) -> None:
+        write_mark(self.spark, f"{self.folder}/mark", json.dumps(self.state))
+
+    def _add(self, table: str, rows: DataFrame) -> None:
+        """Write rows by bucket. Large buckets are split over tasks by size, small ones put together, both at run time."""
+        name = f"{table}-{uuid.uuid4().hex}"
+        laid = rows.withColumn("bucket", bucket_of(self.state["buckets"])).hint("rebalance", "bucket").sortWithinPartitions("bucket", *BLOCK)
+        laid.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        self.state[table].append(name)
+
+    def _read(self, table: str, schema: str, buckets: list[int]) -> DataFrame:
+        rows = self.spark.createDataFrame([], schema + ", bucket int")
+        for name in self.state[table]:
+            part = self.spark.read.schema(schema + ", bucket int").parquet(f"{self.folder}/{name}")
+            rows = part if name == self.state[table][0] else rows.unionByName(part)
+        return rows.where(F.col("bucket").isin(buckets))
+
+    def touched(self, new: DataFrame) -> list[int]:
+        """The buckets of a batch, at most as many as the store has."""
+        return sorted(r[0] for r in new.select(bucket_of(self.state["buckets"])).distinct().collect())
+
+    def related(self, new: DataFrame) -> DataFrame:
+        """The stored records that agree with one of the batch in account and amount, with their representative."""
+        buckets = self.touched(new)
+        blocks = new.select(*BLOCK).distinct()
+        spot = F.pmod(F.xxhash64(*BLOCK), F.lit(FILTER_BITS)).cast("int")
+        # FILTER_BITS / 64 rows at most, whatever the batch.
+        words = blocks.groupBy(F.floor(spot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(account, cents), {FILTER_BITS}) % 64 as int))")).alias("bits"))
+        read = self._read("records", RECORD, buckets).drop("bucket").withColumn("spot", spot).withColumn("word", F.floor(F.col("spot") / 64).cast("int"))
+        kept = read.join(F.broadcast(words), "word").where(F.getbit("bits", F.col("spot") % 64) == 1).select(*(f.split()[0] for f in RECORD.split(", ")))
+        exact = kept.join(blocks, BLOCK, "left_semi")
+        if not self.state["mapping"]:
+            return exact.withColumn("root", F.col("id")).withColumn("named", F.col("value").isNotNull())
+        mapped = self._read("mapping", f"account string, cents long, {MAPPING}", buckets).join(blocks, BLOCK, "left_semi")
+        latest = mapped.groupBy(F.col("node").alias("id")).agg(F.max_by(F.struct("root", "named"), "generation").alias("m"))
+        return exact.join(latest, "id", "left").withColumn("root", F.coalesce("m.root", "id")).withColumn("named", F.coalesce("m.named", F.col("value").isNotNull())).drop("m")
+
+    def link(self, batch: DataFrame, files: DataFrame | None = None, weights: Weights | None = None, threshold: float = THRESHOLD) -> Linked:
+        """Find the repeats of a batch (``incoming_transactions``); nothing is stored yet.
+
+        ``files`` has (id, content_hash, created_at) of the batches known so far:
+        lines of a file whose content was imported before look at that file first.
+        Records that are stored already are found as they were.  Nulls and
+        placeholders are no identifiers.  Rows that repeat an ``id`` count once.
+        Empty tables give an empty result; other columns are ignored.
+
+        Records with identifiers close to clusters by their links.  A record
+        without one joins the earlier record it fits best (of equal ones the
+        smallest), so it can't tie two transactions together.  A record with
+        identifier that follows no other with one joins the smallest earlier
+        record without identifier that it fits, if that belongs to no other
+        transaction.  So batches one after another give what all at once give.
+        """
+        lines = cut(normalised(batch).dropDuplicates(["id"]))
+        related = self.related(lines)
+        both = [rows.withColumn("fresh", F.lit(fresh)) for rows, fresh in ((related, False), (lines.withColumn("root", F.col("id")).withColumn("named", F.col("value").isNotNull()), True))]
+        records = both[0].unionByName(both[1])
+        records = cut(self._filed(records, files))
+        stored = records.where("not fresh")
+        new = records.where("fresh").join(stored.select("id"), "id", "left_anti")
+        known = stored.join(lines.select("id"), "id", "left_semi").where("root <> id").select(F.col("root").alias("original_id"), F.col("id").alias("duplicate_id"))
+        held = stored.unionByName(new)
+        pairs = cut(candidates(new, held))
+        if weights is None:
+            weights = self.weights()
+        if weights is None:
+            weights = learn(pairs.groupBy(*PATTERN).agg(F.count("*").alias("n")).toPandas())  # at most 5 x 3 x 3 x 2 x 2 patterns
+        links = pairs.withColumn("weight", weights.total()).where((F.col("weight") >= threshold) & ~forbidden())
+        clusters = cut(self._clusters(links, held))
+        ids = new.select(F.col("id").alias("node"))
+        found = clusters.where("node <> root").join(ids, "node", "left_semi").select(F.col("root").alias("original_id"), F.col("node").alias("duplicate_id"))
+        return Linked(found.unionByName(known), self._changed(clusters, held), new.select(*(f.split()[0] for f in RECORD.split(", "))), weights)
+
+    def _filed(self, records: DataFrame, files: DataFrame | None) -> DataFrame:
+        """Records with ``file``, the first batch with the same content hash where there are several, and whether theirs is a later one."""
+        if files is None:
+            return records.withColumn("file", F.lit(None).cast("string")).withColumn("resent", F.lit(False))
+        known = files.where(F.col("content_hash").isNotNull() & F.col("id").isNotNull()).select(F.col("id").alias("batch"), "content_hash", "created_at")
+        first = known.groupBy("content_hash").agg(F.min_by("batch", F.struct("created_at", "batch")).alias("file"), (F.min("batch") != F.max("batch")).alias("several")).where("several")
+        shared = known.join(first, "content_hash").groupBy("batch").agg(F.min("file").alias("file"))
+        return records.join(shared, "batch", "left").withColumn("resent", F.coalesce(F.col("file") != F.col("batch"), F.lit(False)))
+
+    def _clusters(self, links: DataFrame, held: DataFrame) -> DataFrame:
+        """(node, root) of every record and representative that a link ties."""
+        roots = held.where("not fresh").select(F.col("id").alias("other"), F.col("root").alias("own"))
+        rooted = links.join(roots, "other", "left").withColumn("head", F.coalesce("own", "other"))
+        rooted = cut(rooted.select("id", "other", "head", "weight", "nameless", "other_nameless"))
+        strong = rooted.where("not nameless and not other_nameless")
+        weak = rooted.where("nameless").groupBy("id").agg(F.max_by("head", F.struct("weight", -F.col("other"))).alias("head"), F.max_by("other_nameless", F.struct("weight", -F.col("other"))).alias("chained"))
+        edges = strong.select("id", "head").unionByName(weak.select("id", "head"))
+        # A record with identifier that follows none, and earlier records without one that it fits.
+        leading = rooted.where("not nameless and other_nameless").join(strong.select("id").distinct(), "id", "left_anti").select("id", "head")
+        if leading.isEmpty():
+            return components(edges, "id", "head")
+        chains = components(weak.where("chained").select("id", "head"), "id", "head").withColumnsRenamed({"node": "head", "root": "top"})
+        taken = weak.where("not chained").select(F.col("id").alias("top")).unionByName(held.where("named").select(F.col("root").alias("top"))).distinct()
+        open_ = cut(leading.join(chains, "head", "left").select("id", F.coalesce("top", "head").alias("top")).join(taken, "top", "left_anti").distinct())
+        claims = []
+        while not open_.isEmpty():  # nearly always once
+            first = open_.groupBy("top").agg(F.min("id").alias("id"))
+            claim = cut(first.groupBy("id").agg(F.min("top").alias("head")))
+            claims.append(claim)
+            open_ = cut(open_.join(claim.select("id"), "id", "left_anti").join(claim.select(F.col("head").alias("top")), "top", "left_anti"))
+        for claim in claims:
+            edges = edges.unionByName(claim)
+        return components(edges, "id", "head")
+
+    def _changed(self, clusters: DataFrame, held: DataFrame) -> DataFrame:
+        """(account, cents, node, root, named) of the records whose representative is new, members of merged clusters included."""
+        of = clusters.withColumnsRenamed({"node": "before", "root": "after"})
+        now = held.withColumnRenamed("root", "before").join(of, "before").select(*BLOCK, F.col("id").alias("node"), "before", F.col("after").alias("root"), "named", "fresh")
+        flags = now.groupBy("root").agg(F.max("named").alias("named"))
+        # Members of an old cluster need a row only where its representative or what it is known by changed.
+        return now.withColumnRenamed("named", "was").join(flags, "root").where("fresh or before <> root or was <> named").select(*BLOCK, "node", "root", "named")
+
+    def weights(self) -> Weights | None:
+        """The weights learned from the first batch that was accepted; they stay, so that later batches are judged alike."""
+        known = self.state["weights"]
+        return Weights(known["levels"], known["odds"]) if known else None
+
+    def accept(self, linked: Linked) -> None:
+        """Store a batch: its records, its representatives and the weights it was judged by."""
+        generation = len(self.state["mapping"]) + 1
+        changed = cut(linked.representatives)
+        self._add("records", linked.records)
+        self._add("mapping", changed.withColumn("generation", F.lit(generation)))
+        self.state["weights"] = {"levels": linked.weights.levels, "odds": linked.weights.odds}
+        self._save()
+
+    def representatives(self) -> DataFrame:
+        """(node, root) of every record that is or has a repeat."""
+        mapped = self._read("mapping", f"account string, cents long, {MAPPING}", list(range(self.state["buckets"])))
+        return mapped.groupBy("node").agg(F.max_by("root", "generation").alias("root"))
+
+
+def store_of(history: DataFrame) -> LinkageStore:
+    """The store of a history below ``spark.checkpoint.dir``, made once for the same files; a table that isn't read from files gets a new one."""
+    spark = history.sparkSession
+    return LinkageStore.of(history, f"{checkpoint_root(spark)}/linkage-{fingerprint_of(history, RECORD) or uuid.uuid4().hex}")
+
+
+def duplicates(history: DataFrame, incoming: DataFrame, files: DataFrame | None = None, weights: Weights | None = None) -> DataFrame:
+    """(original_id, duplicate_id): the incoming records that repeat an earlier one, with the smallest of its transaction."""
+    return store_of(history).link(incoming, files, weights).repeats

@@ -21,7 +21,7 @@ registry = Registry()
 
 @registry.add("p1_found")
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates(table(spark, folder, "ledger_transactions"), table(spark, folder, "incoming_transactions"))
+    return duplicates(table(spark, folder, "ledger_transactions"), table(spark, folder, "incoming_transactions"), table(spark, folder, "import_batches"))
 
 
 @registry.add("p2_found")

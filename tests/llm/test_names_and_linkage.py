@@ -162,24 +162,110 @@ def test_a_record_without_identifier_ties_nothing_together(spark):
     assert link(spark, new) == {100: 5, 101: 6}
 
 
-def test_stored_index_serves_later_batches(spark, tmp_path):
-    ledger = spark.createDataFrame([(*r, "b", "x", 1) for r in STORED], LEDGER)
-    L.index(L.normalised(ledger)).write.parquet(f"{tmp_path}/index")
-    first = [(100, "T000090", "card-7", "2026-05-01", "NEW", "9.00")]
-    more = spark.createDataFrame([(i, "n", 1, t, d, m, a, acc) for i, t, acc, d, m, a in first], INCOMING)
-    L.index(L.normalised(more)).write.mode("append").parquet(f"{tmp_path}/index")
-    later = [(200, "T000012", "card-5550001", "2026-01-05", "STARBUCKS #1", "10.00"), (201, "T90", "card-7", "2026-05-02", "NEW", "9.00")]
-    history = [*STORED, *((i, t, acc, d, m, a) for i, t, acc, d, m, a in first)]
-    assert link(spark, later, history, accepted=spark.read.parquet(f"{tmp_path}/index")) == {200: 2, 201: 100}
-
-
-def test_representatives_lead_to_the_first(spark):
-    first = (100, "FT0130414002-7828", "card-5550001", "2026-01-05", "STARBUCKS #1", "10.00")  # one wrong character
-    assert link(spark, [first]) == {100: 1}
-    again = [(200, "FT0130414002-2828", "card-5550001", "2026-01-05", "STARBUCKS #1", "10.00")]  # near the repeat, not near the first
-    assert link(spark, again, [*STORED, first]) == {200: 100}
-    known = spark.createDataFrame([(1, 100)], "original_id long, duplicate_id long")
-    assert link(spark, again, [*STORED, first], representatives=known) == {200: 1}
+def frames(spark, stored, batches):
+    ledger = spark.createDataFrame([(*r, "b", "x", 1) for r in stored], LEDGER)
+    return ledger, [spark.createDataFrame([(i, "n", 1, t, d, m, a, acc) for i, t, acc, d, m, a in new], INCOMING) for new in batches]
+
+
+def one_by_one(store, batches, files=None, weights=None):
+    found = {}
+    for batch in batches:
+        linked = store.link(batch, files, weights)
+        found |= {r["duplicate_id"]: r["original_id"] for r in linked.repeats.collect()}
+        store.accept(linked)
+    return found
+
+
+def test_batches_one_after_another_equal_all_at_once(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    ledger, incoming, files = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("ledger_transactions", "incoming_transactions", "import_batches"))
+    whole = L.LinkageStore.of(ledger, f"{tmp_path}/whole").link(incoming, files)
+    expected = {r["duplicate_id"]: r["original_id"] for r in whole.repeats.collect()}
+    ids = sorted(r["id"] for r in incoming.select("id").collect())
+    cuts = [ids[len(ids) * i // 3] for i in range(3)] + [ids[-1] + 1]
+    store = L.LinkageStore.of(ledger, f"{tmp_path}/steps")
+    parts = [incoming.where((F.col("id") >= a) & (F.col("id") < b)) for a, b in zip(cuts, cuts[1:])]
+    assert expected and one_by_one(store, parts, files, whole.weights) == expected
+    again = L.LinkageStore(spark, f"{tmp_path}/steps")  # as a later run finds it
+    assert {r["node"]: r["root"] for r in again.representatives().where("node <> root").collect()} == expected
+    # The same batch once more is found as it was, and adds nothing.
+    linked = again.link(parts[1], files)
+    assert {r["duplicate_id"]: r["original_id"] for r in linked.repeats.collect()} == {k: v for k, v in expected.items() if cuts[1] <= k < cuts[2]}
+    assert linked.records.count() == 0 and linked.representatives.count() == 0
+
+
+def test_only_the_buckets_of_a_batch_are_read(spark, tmp_path):
+    ledger = spark.read.parquet("/root/testdata/sf0.001/ledger_transactions.parquet")
+    store = L.LinkageStore.of(ledger, f"{tmp_path}/store", buckets=64)
+    row = ledger.orderBy("id").first()
+    batch = spark.createDataFrame([(10**9, "n", 1, row["txn_id"], str(row["date"]), row["merchant"], str(row["amount"]), row["account"])], INCOMING)
+    touched = store.touched(L.normalised(batch))
+    assert len(touched) == 1
+    for folder in (tmp_path / "store" / store.state["records"][0]).glob("bucket=*"):
+        if folder.name != f"bucket={touched[0]}":
+            for file in folder.iterdir():
+                file.write_bytes(b"unreadable")
+    assert [tuple(r) for r in store.link(batch).repeats.collect()] == [(row["id"], 10**9)]
+    # What was built before isn't built again: the same folder is served without any history.
+    assert L.LinkageStore.of(ledger.limit(0), f"{tmp_path}/store").link(batch).repeats.count() == 1
+
+
+def test_weights_decide(spark):
+    new = [(100, "FT0130414002-7828", "card-5550001", "2026-01-06", "OTHER SHOP", "10.00"), (101, "FT0130414002-7826", "card-5550001", "2026-01-05", "STARBUCKS #1", "10.00")]
+    base = L.learn(pd.DataFrame(columns=[*L.PATTERN, "n"]))
+    strict = L.Weights(base.levels | {"id_level": base.levels["id_level"] | {"damaged": -9.0}}, base.odds)
+    never = L.Weights({f: {v: -1000.0 for v in levels} for f, levels in base.levels.items()}, 0.0)
+    assert link(spark, new, weights=L.Weights(base.levels | {"id_level": base.levels["id_level"] | {"damaged": 9.0}}, base.odds)) == {100: 1, 101: 1}
+    assert link(spark, new, weights=strict) == {101: 1} and link(spark, new, weights=never) == {}
+
+
+def test_a_batch_joins_old_clusters(spark, tmp_path):
+    same = ("card-1", "2026-01-01", "SHOP", "1.00")
+    first, second = [(100, "FT0000000000-0000", *same)], [(200, "FT0000000000-0022", *same)]
+    between = [(300, "FT0000000000-0002", *same)]
+    ledger, batches = frames(spark, [], [first, second, between])
+    store = L.LinkageStore.of(ledger, f"{tmp_path}/store")
+    assert one_by_one(store, batches[:2]) == {}
+    linked = store.link(batches[2])
+    assert [tuple(r) for r in linked.repeats.collect()] == [(100, 300)]
+    assert {r["node"]: r["root"] for r in linked.representatives.collect()} == {100: 100, 200: 100, 300: 100}
+    store.accept(linked)
+    assert {r["node"]: r["root"] for r in store.representatives().where("node <> root").collect()} == {200: 100, 300: 100}
+
+
+def test_same_identifier_on_other_days(spark):
+    stored = [(1, "C186710C7586", "sav-1", "2026-01-01", "SHOP", "1.00"), (2, "C186710C7586", "sav-1", "2026-01-20", "SHOP", "1.00")]
+    assert link(spark, [(100, "C186710C7586", "sav-1", "2026-01-20", "SHOP", "1.00")], stored) == {100: 2}
+
+
+def test_an_earlier_record_without_identifier_is_the_first(spark, tmp_path):
+    same = ("card-1", "2026-01-01", "SHOP", "1.00")
+    rows = [(10, None, *same), (20, "T000001", *same), (30, "T000001", *same), (40, "T000002", *same), (50, "", *same)]
+    expected = {20: 10, 30: 10, 50: 10}  # 40 is another transaction
+    assert link(spark, rows, []) == expected
+    ledger, batches = frames(spark, [], [[r] for r in rows])
+    assert one_by_one(L.LinkageStore.of(ledger, f"{tmp_path}/store"), batches) == expected
+
+
+def test_files_sent_again(spark, tmp_path):
+    ledger = spark.createDataFrame([(1, "C186710C7586", "sav-1", "2026-01-01", "SHOP", "1.00", "old", "x", 1), (2, None, "sav-1", "2026-01-02", "SHOP", "2.00", "old", "x", 1)], LEDGER)
+    lines = [(11, "new", 1, "C186710C7586", "2026-01-01", "SHOP", "1.00", "sav-1"), (12, "new", 2, None, "2026-01-02", "SHOP", "2.00", "sav-1"), (13, "other", 1, "C186710C7586", "2026-01-01", "SHOP", "1.00", "sav-1")]
+    files = spark.createDataFrame([("old", "h", 1), ("new", "h", 2), ("other", "k", 3), ("none", None, 4)], "id string, content_hash string, created_at int")
+    store = L.LinkageStore.of(ledger, f"{tmp_path}/store")
+    batch = spark.createDataFrame(lines, INCOMING)
+    filed = store._filed(L.normalised(batch), files)
+    assert {r["id"]: (r["file"], r["resent"]) for r in filed.collect()} == {11: ("old", True), 12: ("old", True), 13: (None, False)}
+    assert {r["duplicate_id"]: r["original_id"] for r in store.link(batch, files).repeats.collect()} == {11: 1, 12: 2, 13: 1}
+    # The file speaks for a line: its weight alone turns a pair that the others speak against.
+    base = L.learn(pd.DataFrame(columns=[*L.PATTERN, "n"]))
+    doubtful = L.Weights(base.levels | {"file_level": {"copied": 100.0, "apart": -100.0}}, base.odds)
+    assert {r["duplicate_id"]: r["original_id"] for r in store.link(batch, files, doubtful).repeats.collect()} == {11: 1, 12: 2}
+
+
+def test_every_swap_is_inside_a_mask():
+    for length in L.LENGTHS:
+        held = L.masks(length)
+        assert all(any(a <= i and i + 2 <= b for a, b in held) for i in range(length - 1))
 
 
 def test_empty_and_hot(spark):
@@ -189,7 +275,8 @@ def test_empty_and_hot(spark):
 
 
 def test_weights_prefer_agreement():
-    counts = pd.DataFrame([("same", "same", "same", "same", 500), ("damaged", "same", "same", "written", 40), ("other", "same", "other", "same", 300), ("missing", "same", "same", "same", 60), ("missing", "same", "other", "same", 50)], columns=[*L.PATTERN, "n"])
+    rows = [("same", "same", "same", "same", 500), ("damaged", "same", "same", "written", 40), ("other", "far", "other", "same", 300), ("missing", "same", "same", "same", 60), ("missing", "same", "other", "same", 50)]
+    counts = pd.DataFrame([(*r[:4], "apart", r[4]) for r in rows], columns=[*L.PATTERN, "n"])
     weights = L.learn(counts)
-    assert weights["id_level"]["same"] > 0 > weights["id_level"]["other"] and weights["merchant_level"]["same"] > weights["merchant_level"]["other"]
-    assert L.learn(counts.head(0)) == {f: {} for f in L.PATTERN}
+    assert weights.levels["id_level"]["same"] > 0 > weights.levels["id_level"]["other"] and weights.levels["merchant_level"]["same"] > weights.levels["merchant_level"]["other"]
+    assert weights.levels["date_level"]["far"] < L.learn(counts.head(0)).levels["date_level"]["far"] < 0
