@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.api import FinanceTools
-from quillspark.errors import QueryError
+from quillspark.errors import IngestError, QueryError
 from quillspark.operators import categorize, metrics, query, retrieval, sequences
 from quillspark.operators import chunks as C
 from quillspark.operators.ledger import LedgerStore
@@ -78,10 +78,34 @@ def test_rate_windows_equal_a_walk(spark):
 
 def test_corpus_of_files(spark):
     body = "正文内容" * 20
-    files = spark.createDataFrame([("/k/a.md", f"# 预算\n{body}".encode(), "md"), ("/k/b.txt", ("x" * 1000).encode(), "txt"), ("/k/c.pdf", b"", "pdf")], "path string, content binary, suffix string")
+    files = spark.createDataFrame([("/k/a.md", f"# 预算\n{body}".encode(), "md"), ("/k/n/a.md", f"# 预算\n{body}".encode(), "md"), ("/k/b.txt", ("x" * 1000).encode(), "txt"), ("/k/short.txt", b"short", "txt"), ("/k/c.pdf", b"", "pdf")], "path string, content binary, suffix string")
     parts = S.extracted(files, spark.createDataFrame([], f"key string, parts {S.PARTS}"), {"md": S.plain_text, "txt": S.plain_text}).withColumn("suffix", F.regexp_extract("path", r"\.(\w+)$", 1))
-    rows = {(r["breadcrumb"], len(r["text"])) for r in C.load_corpus(parts).collect()}
-    assert rows == {("a.md > 预算", 80), ("b.txt", 900), ("b.txt", 100)}
+    rows = {(r["breadcrumb"], len(r["text"])) for r in C.load_corpus(parts, "/k/").collect()}
+    assert rows == {("a.md > 预算", 80), ("n/a.md > 预算", 80), ("b.txt", 900), ("b.txt （续）", 100), ("short.txt", 5)}
+
+
+def test_pages_slides_and_pictures_are_recognized():
+    from types import SimpleNamespace as N
+
+    seen = S.Reading(lambda raw: raw.decode())
+    page = lambda text, images, picture: N(get_text=lambda *_, **__: text, get_images=lambda: images, rect=N(width=10, height=10), get_pixmap=lambda **_: N(tobytes=lambda _: picture))
+    pages = [page("plain", [], b"never"), page("", [], b"scanned"), page("a b\nc", [1], b"ab\nd"), page("", [], b" ")]
+    assert list(S.page_parts(pages, seen)) == [("plain", "第1页", "native", 1, None), ("scanned", "第2页", "ocr", 2, None), ("a b\nc\nd", "第3页", "native+ocr", 3, None)]
+    with pytest.raises(IngestError):
+        list(S.page_parts([page("", [], b"x")], S.Reading(mode="off")))
+    cells = [N(cells=[N(text="x"), N(text="1")]), N(cells=[N(text="y"), N(text="2")])]
+    inner = [N(has_text_frame=True, has_table=False, text=" 预算 "), N(has_text_frame=False, has_table=True, table=N(rows=cells)), N(has_text_frame=False, has_table=False, image=N(blob=b"chart"))]
+
+    class Shapes(list):
+        title = N(text="题")
+
+    slide = N(shapes=Shapes([N(shapes=inner)]), has_notes_slide=True, notes_slide=N(notes_text_frame=N(text="note")))
+    assert [p[:3] for p in S.slide_parts([slide], seen)] == [
+        ("预算", "幻灯片1：题", "native"), ("x\t1\ny\t2", "幻灯片1：题 > 表格", "table"), ("chart", "幻灯片1：题 > 图片", "ocr"), ("note", "幻灯片1：题 > 备注", "notes")
+    ]
+    assert list(S.frame_parts([(1, 1, b"one"), (1, 1, b" ")], seen)) == [("one", "图片第1页", "ocr", 1, None)]
+    with pytest.raises(IngestError):
+        list(S.frame_parts([(10_000, 10_000, b"")], seen))
 
 
 def test_small_helpers(spark, tmp_path, year):

@@ -110,6 +110,23 @@ def test_sections():
     assert C.sections("", "x") == [] and C.sections("#" * 7 + " x", "x") == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n", min_size=1, max_size=9), max_size=12), st.integers(5, 20))
+def test_long_parts_lose_nothing_but_white_space(paragraphs, most):
+    text = "\n\n".join(paragraphs).strip()
+    parts = C.long_parts(text, most)
+    assert "".join("".join(parts).split()) == "".join(text.split())
+    assert all(len(p) <= most for p in parts) or len(text) <= most
+    words = C.long_parts("\n\n".join("".join(p.split()) or "x" for p in paragraphs), most)
+    # No part could have taken the next one whole.
+    assert all(len(f"{a}\n\n{b}") > most for a, b in zip(words, words[1:]))
+
+
+def test_headings():
+    found = {"# a": (1, "a"), "## a ##": (2, "a"), "###### a # #": (6, "a #"), "# ##": (1, "#"), "#a": None, "# ": None, "a # b": None, "####### a": None}
+    assert {line: C.heading(line) for line in found} == found
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab。；，\n ", max_size=900))
 def test_children_join_to_the_text(text):
@@ -124,10 +141,10 @@ def test_chunk_frames(spark):
 
 
 def test_source_files_and_merge(spark, tmp_path):
-    for name in ("a.md", "b/c.PDF", ".hidden/d.md", "e.txt"):
-        path = tmp_path / name
-        path.parent.mkdir(exist_ok=True)
+    for name in ("a.md", "b/c.PDF", "b/a.md", ".hidden/d.md", "e.txt", "f.tif"):
+        path = tmp_path / ".kept" / name
+        path.parent.mkdir(exist_ok=True, parents=True)
         path.write_text("x")
-    assert sorted(r["path"].rpartition("/")[2] for r in C.source_files(spark, str(tmp_path)).collect()) == ["a.md", "c.PDF"]
+    assert sorted(r["source"] for r in C.source_files(spark, f"{tmp_path}/.kept").collect()) == ["a.md", "b/a.md", "b/c.PDF", "f.tif"]
     row = spark.createDataFrame([("a b\nc", "ab\nd\n ")], "n string, r string").select(C.merged_text("n", "r")).first()
     assert row[0] == "a b\nc\nd"
