@@ -13,8 +13,8 @@ size, and gives the few that stay finer keys:
   Running numbers (T and a number) have none, they are never damaged,
 * ``plain`` keys the day, for records without identifier,
 * ``file`` keys the file, for batches whose content hash was seen before,
-* ``block`` keys nothing more: one record of the block, as an example of two
-  records that agree by chance.
+* ``block`` keys nothing more: one record of the block, in one block of EXAMPLES,
+  as an example of two records that agree by chance.
 
 Each key is one row for each content and day, so a key held by many records is
 few rows.  Candidates are compared field by field (identifier, date, merchant,
@@ -50,9 +50,11 @@ DAYS = 3
 #: Last characters kept when an identifier loses its beginning: of 14 digits and of 12 hexadecimal digits.
 TAILS = {"long": 7, "hex": 8}
 #: Neighbouring characters masked at once in a part key; each mask overlaps the one before by a character, so that it holds every swap.
-MASK = 4
+MASK = 5
 #: Bits of the filter that history passes before anything is shuffled; its size does not depend on the data.
 FILTER_BITS = 1 << 23
+#: One block in so many gives examples of records that agree by chance, for the weights to be learned from.
+EXAMPLES = 16
 #: Folders that a store's tables are laid out in; fixed when a store is made.
 BUCKETS = 32
 # What stands for a missing identifier, and words before one.
@@ -60,31 +62,45 @@ PLACEHOLDERS = ["", "-", "--", "N/A", "NA", "NONE", "NULL", "?", "0"]
 LABELS = r"^(REF|TXN|ID|NO|TRANSACTION)[\s:.#]+|^#|^0X"
 
 
-def identifier_fields(raw: Column) -> tuple[Column, Column]:
-    """(kind, value) of an identifier: ``number``, ``long``, ``hex`` or ``other``; both null where there is none."""
-    text = F.upper(F.btrim(raw, F.lit(" \t\r\n　")))
-    bare = F.regexp_replace(F.regexp_replace(text, LABELS, ""), r"[^\p{L}\p{Nd}]", "")
+def identifier_fields(rows: DataFrame, raw: str) -> DataFrame:
+    """Rows with ``kind`` (``number``, ``long``, ``hex`` or ``other``) and ``value`` of an identifier; both null where there is none."""
+    # Step by step, so that each expression is evaluated once.
+    text = rows.withColumn("__text", F.upper(F.btrim(F.col(raw), F.lit(" \t\r\n　"))))
+    bared = text.withColumn("__bare", F.regexp_replace(F.regexp_replace("__text", LABELS, ""), r"[^\p{L}\p{Nd}]", ""))
+    bare = F.col("__bare")
+    digits = F.when(bare.startswith("FT"), F.substring(bare, 3, 1_000_000)).otherwise(bare)
     # A tail of a long identifier is written with its mark between three digits and four.
-    tail = text.rlike(r"^\d{3}[^\p{L}\p{Nd}]\d{4}$")
-    digits = F.regexp_replace(bare, "^FT", "")
+    tail = F.col("__text").rlike(r"^\d{3}[^\p{L}\p{Nd}]\d{4}$")
     kind = (
-        F.when(text.isin(PLACEHOLDERS) | (bare == ""), None)
-        .when(bare.rlike(r"^FT\d+$") | digits.rlike(r"^\d{14}$") | tail, "long")
-        .when(bare.rlike(r"^T\d+$") | bare.rlike(r"^\d{1,7}$"), "number")
-        .when(bare.rlike(r"^[0-9A-F]{8}$|^[0-9A-F]{12}$"), "hex")
+        F.when(F.col("__text").isNull() | F.col("__text").isin(PLACEHOLDERS) | (bare == ""), None)
+        .when(bare.rlike(r"^FT\d+$|^\d{14}$"), "long")
+        .when(tail, "long")
+        .when(bare.rlike(r"^T\d+$|^\d{1,7}$"), "number")
+        .when(bare.rlike(r"^(?:[0-9A-F]{8}|[0-9A-F]{12})$"), "hex")
         .otherwise("other")
     )
-    value = F.when(kind == "long", digits).when(kind == "number", F.regexp_replace(bare, "^T?0*", "")).otherwise(bare)
-    return kind, F.when(kind.isNotNull(), value)
-
-
-def date_value(raw: Column) -> Column:
-    text = F.btrim(raw, F.lit(" \t\r\n　"))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(form)).cast("date") for form in ("y-M-d", "y/M/d", "M/d/y")))
-
-
-def amount_cents(raw: Column) -> Column:
-    text = F.regexp_replace(F.btrim(raw, F.lit(" \t\r\n　")), r"^\+|,", "")
+    kinds = bared.withColumn("kind", kind)
+    value = F.when(F.col("kind") == "long", digits).when(F.col("kind") == "number", F.regexp_replace(bare, "^T?0*", "")).when(F.col("kind").isNotNull(), bare)
+    return kinds.withColumn("value", value).drop("__text", "__bare")
+
+
+def date_value(rows: DataFrame, name: str) -> Column:
+    """The day of a column of dates, or of texts in one of the accepted forms."""
+    if dict(rows.dtypes)[name] == "date":
+        return F.col(name)
+    text = F.btrim(F.col(name).cast("string"), F.lit(" \t\r\n　"))
+    # The shape chooses the form, since a form that doesn't fit is found out by an exception.
+    made = F.lit(None).cast("date")
+    for shape, form in ((r"^\d+/\d+/\d{3,}$", "M/d/y"), (r"^\d{3,}/\d+/\d+$", "y/M/d"), (r"^\d+-\d+-\d+$", "y-M-d")):
+        made = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form)).cast("date")).otherwise(made)
+    return made
+
+
+def amount_cents(rows: DataFrame, name: str) -> Column:
+    """The cents of a column of decimals, or of texts."""
+    if dict(rows.dtypes)[name].startswith("decimal"):
+        return (F.col(name).cast("decimal(20,2)") * 100).cast("long")
+    text = F.regexp_replace(F.btrim(F.col(name).cast("string"), F.lit(" \t\r\n　")), r"^\+|,", "")
     return (text.try_cast("decimal(20,2)") * 100).cast("long")
 
 
@@ -94,20 +110,22 @@ def normalised(rows: DataFrame) -> DataFrame:
     Records whose account has no digits, or whose amount or date can't be read,
     are left out: they agree with no other record.
     """
-    kind, value = identifier_fields(F.col("txn_id"))
     account = F.regexp_replace("account", r"\P{Nd}", "")
-    cents = amount_cents(F.col("amount").cast("string"))
-    day = F.datediff(date_value(F.col("date").cast("string")), F.lit("1970-01-01").cast("date"))
+    day = F.datediff(date_value(rows, "date"), F.lit("1970-01-01").cast("date"))
     named = rows.select(
-        F.col("id").cast("long").alias("id"), account.alias("account"), cents.alias("cents"), day.alias("day"), kind.alias("kind"), value.alias("value"),
-        F.coalesce("merchant", F.lit("")).alias("merchant"), F.hash(F.lower(F.btrim("account"))).alias("style"), F.col("batch_id").cast("string").alias("batch"),
+        F.col("id").cast("long").alias("id"), account.alias("account"), amount_cents(rows, "amount").alias("cents"), day.alias("day"), "txn_id",
+        F.coalesce("merchant", F.lit("")).alias("merchant"), F.hash(F.regexp_replace(F.lower(F.btrim("account")), r"\p{Nd}+", "9")).alias("style"), F.col("batch_id").cast("string").alias("batch"),
     )
-    return named.where(F.col("id").isNotNull() & (F.col("account") != "") & F.col("cents").isNotNull() & F.col("day").isNotNull())
+    readable = named.where(F.col("id").isNotNull() & (F.col("account") != "") & F.col("cents").isNotNull() & F.col("day").isNotNull())
+    return identifier_fields(readable, "txn_id").select(*COLUMNS)
 
 
 RECORD = "id long, account string, cents long, day int, kind string, value string, merchant string, style int, batch string"
+COLUMNS = [f.split()[0] for f in RECORD.split(", ")]
 FIELDS = ["account", "cents", "day", "kind", "value", "merchant", "style", "file", "resent"]
 BLOCK = ["account", "cents"]
+#: Changes whenever records would be normalised otherwise, so that no store made before is used.
+FORMAT = "2"
 MAPPING = "node long, root long, named boolean, generation int"
 
 
@@ -124,13 +142,20 @@ def masks(length: int) -> list[tuple[int, int]]:
 LENGTHS = (7, 8, 12, 14)
 
 
+def slim(records: DataFrame) -> DataFrame:
+    """What keys are made of: account, amount and merchant as hashes. A collision only adds a candidate; they are compared as they are later."""
+    name = F.regexp_replace(F.lower("merchant"), r"[^\p{L}\p{Nd}]", "")
+    return records.select("id", F.xxhash64(*BLOCK).alias("block"), "day", "kind", "value", F.xxhash64(name).alias("name"), F.when(F.col("value").isNull(), F.xxhash64("file")).alias("file"), "resent", "fresh")
+
+
 def keys(records: DataFrame, probing: bool) -> DataFrame:
-    """The finer keys of each record: (key, table, content, id, day, reach).
+    """The finer keys of each record (``slim``, with what is known of its block): (key, table, content, id, day, reach).
 
     ``content`` is a hash of what a judge looks at, so that repeats of it need
     one row.  In the ``plain`` table every record is entered for those without
     identifier to find, and those without once more for all others to find.
-    ``reach`` is the number of days by which a partner may be off.
+    ``reach`` is the number of days by which a partner may be off.  What is
+    known of the block (``blocks``) tells which tables can lead to anything in it.
     """
     named, nameless = F.col("value").isNotNull(), F.col("value").isNull()
     entry = lambda table, text, reach: F.struct(F.lit(table).alias("table"), text.alias("text"), F.lit(reach).alias("reach"))
@@ -144,26 +169,38 @@ def keys(records: DataFrame, probing: bool) -> DataFrame:
     # A whole identifier looks for tails, a tail for whole ones.
     own, sought = F.when(size > least, "whole|").otherwise("tail|"), F.when(size > least, "tail|").otherwise("whole|")
     damageable = F.col("kind").isin(*TAILS)
-    parts = F.when(damageable & masked.isNotNull(), F.concat(masked, F.array(entry("part", F.concat(sought if probing else own, tail), DAYS))))
+    parts = F.when(F.col("varied") & damageable & masked.isNotNull(), F.concat(masked, F.array(entry("part", F.concat(sought if probing else own, tail), DAYS))))
     none = F.array().cast("array<struct<table:string,text:string,reach:int>>")
     whole = F.when(named, F.array(entry("whole", F.concat_ws("|", "kind", "value"), DAYS)))
     plain = {who: F.array(entry("plain", F.lit(who), 0)) for who in ("any", "none")}
     dated = F.when(nameless, plain["any"]).otherwise(plain["none"]) if probing else F.when(nameless, F.concat(*plain.values())).otherwise(plain["any"])
+    # Lines with an identifier are led to their file's first copy by that.
     shared = F.col("file").isNotNull() & F.col("resent") if probing else F.col("file").isNotNull()
-    file = F.when(shared, F.array(entry("file", F.col("file"), 0)))
-    block = F.array(entry("block", F.lit(""), 0))
-    rows = records.withColumn("k", F.explode(F.concat(block, dated, *(F.coalesce(x, none) for x in (whole, parts, file)))))
-    name = F.regexp_replace(F.lower("merchant"), r"[^\p{L}\p{Nd}]", "")
-    content = F.when(F.col("k.table").isin("whole", "block"), F.lit(0)).when(F.col("k.table") == "part", F.xxhash64("kind", "value")).otherwise(F.xxhash64(name, "kind", F.when(F.col("k.table") == "file", F.col("value"))))
-    return rows.select(F.xxhash64("k.table", *BLOCK, "k.text").alias("key"), F.col("k.table").alias("table"), content.alias("content"), "id", "day", F.col("k.reach").alias("reach"))
+    file = F.when(shared, F.array(entry("file", F.col("file").cast("string"), 0)))
+    block = F.when(F.pmod("block", F.lit(EXAMPLES)) == 0, F.array(entry("block", F.lit(""), 0)))
+    rows = records.withColumn("k", F.explode(F.concat(*(F.coalesce(x, none) for x in (whole, parts, file, F.when(F.col("some_nameless"), dated), block)))))
+    content = F.when(F.col("k.table").isin("whole", "block"), F.lit(0)).when(F.col("k.table") == "part", F.xxhash64("kind", "value")).otherwise(F.col("name"))
+    return rows.select(F.xxhash64("k.table", "block", "k.text").alias("key"), F.col("k.table").alias("table"), content.alias("content"), "id", "day", F.col("k.reach").alias("reach"))
+
+
+def blocks(records: DataFrame) -> DataFrame:
+    """(block, varied, some_nameless) of the blocks with two records or more.
+
+    ``varied`` says that there are different identifiers, ``some_nameless`` that some record has none.
+    """
+    known = F.when(F.col("value").isNotNull(), F.xxhash64("kind", "value"))
+    counted = records.groupBy("block").agg(
+        (F.min("id") != F.max("id")).alias("several"), F.coalesce(F.min(known) != F.max(known), F.lit(False)).alias("varied"), F.max(F.col("value").isNull()).alias("some_nameless"),
+    )
+    return counted.where("several").drop("several")
 
 
 def index(records: DataFrame) -> DataFrame:
-    """(key, content, day, first): the smallest record of each key, content and day; of a block any one record."""
+    """(key, day, first): the smallest record of each key, content and day; of a block any one record."""
     keyed = keys(records, probing=False)
     block = F.col("table") == "block"
     picked = F.when(block, F.xxhash64("id")).otherwise(F.col("id"))
-    return keyed.groupBy("key", "content", F.when(block, F.lit(None)).otherwise(F.col("day")).alias("day")).agg(F.min_by("id", picked).alias("first"))
+    return keyed.groupBy("key", "content", F.when(block, F.lit(None)).otherwise(F.col("day")).alias("day")).agg(F.min_by("id", picked).alias("first")).drop("content")
 
 
 @F.pandas_udf(T.StringType())
@@ -280,27 +317,47 @@ def learn(counts: pd.DataFrame, rounds: int = 50) -> Weights:
     return weights
 
 
-def candidates(new: DataFrame, records: DataFrame) -> DataFrame:
-    """(id, other, patterns, weak): each new record with the earlier ones that its keys lead to; ``records`` holds old and new ones."""
-    probe = keys(new, probing=True)
-    asked = probe.select("key", "id", "day", "reach")
+def candidates(records: DataFrame) -> DataFrame:
+    """(id, other, PATTERN, nameless, other_nameless): each new (``fresh``) record with the earlier ones that its keys lead to."""
+    thin = slim(records)
+    known = thin.join(blocks(thin), "block")
+    asked = keys(known.where("fresh"), probing=True).select("key", "id", "day", "reach")
     near = F.col("i.day").isNull() | (F.abs(F.col("i.day") - F.col("p.day")) <= F.col("p.reach"))
-    met = index(records).alias("i").join(asked.alias("p"), F.col("i.key") == F.col("p.key")).where((F.col("i.first") < F.col("p.id")) & near)
+    met = index(known).alias("i").join(asked.alias("p"), F.col("i.key") == F.col("p.key")).where((F.col("i.first") < F.col("p.id")) & near)
     pairs = met.select(F.col("p.id").alias("id"), F.col("i.first").alias("other")).distinct()
     side = lambda rows, key, name: rows.select(F.col("id").alias(key), F.struct(*FIELDS).alias(name))
-    both = pairs.join(side(records, "other", "b"), "other").join(side(new, "id", "a"), "id")
-    # Keys are hashes; what they stand for is compared here.
+    both = pairs.join(side(records, "other", "b"), "other").join(side(records.where("fresh"), "id", "a"), "id")
     both = both.where((F.col("a.account") == F.col("b.account")) & (F.col("a.cents") == F.col("b.cents")))
+    a, b = F.col("a.value"), F.col("b.value")
+    longer, shorter = F.greatest(F.char_length(a), F.char_length(b)), F.least(F.char_length(a), F.char_length(b))
+    tail = F.when(F.col("a.kind") == "long", TAILS["long"]).otherwise(TAILS["hex"])
+    by_id = (
+        F.when(a.isNull() | b.isNull(), "missing").when((F.col("a.kind") == F.col("b.kind")) & (a == b), "same")
+        .when((F.col("a.kind") != F.col("b.kind")) | ~F.col("a.kind").isin(*TAILS), "other")
+        .when((shorter == tail) & (longer > shorter), F.when(a.endswith(b) | b.endswith(a), "tail").otherwise("other"))
+        .when(longer != shorter, "other")
+    )
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
+    by_name = F.when(plain("a.merchant") == plain("b.merchant"), "same")
     gap = F.abs(F.col("a.day") - F.col("b.day"))
-    return both.select(
-        "id", "other",
-        id_level("a.kind", "a.value", "b.kind", "b.value").alias("id_level"),
+    judged = both.select(
+        "id", "other", by_id.alias("id_level"), by_name.alias("merchant_level"),
         F.when(gap == 0, "same").when(gap <= DAYS, "near").otherwise("far").alias("date_level"),
-        merchant_level("a.merchant", "b.merchant").alias("merchant_level"),
         F.when(F.col("a.style") == F.col("b.style"), "same").otherwise("written").alias("account_level"),
         F.when(F.col("a.resent") & (F.col("a.file") == F.col("b.file")), "copied").otherwise("apart").alias("file_level"),
-        F.col("a.value").isNull().alias("nameless"), F.col("b.value").isNull().alias("other_nameless"),
+        a.isNull().alias("nameless"), b.isNull().alias("other_nameless"),
+        F.when(by_id.isNull() | by_name.isNull(), F.struct("a.kind", F.col("a.value").alias("x"), F.col("b.value").alias("y"), F.col("a.merchant").alias("m"), F.col("b.merchant").alias("n"))).alias("open"),
+    )
+    # Only the pairs that plain comparisons leave open go through Python.
+    judged = cut(judged)
+    kept = ["id", "other", *PATTERN, "nameless", "other_nameless"]
+    asked = judged.where(F.col("open").isNotNull()).withColumns(
+        {
+            "id_level": F.coalesce("id_level", id_level("open.kind", "open.x", "open.kind", "open.y")),
+            "merchant_level": F.coalesce("merchant_level", merchant_level("open.m", "open.n")),
+        }
     )
+    return judged.where(F.col("open").isNull()).select(*kept).unionByName(cut(asked.select(*kept)))
 
 
 def forbidden() -> Column:
@@ -353,8 +410,8 @@ class LinkageStore:
     def _add(self, table: str, rows: DataFrame) -> None:
         """Write rows by bucket. Large buckets are split over tasks by size, small ones put together, both at run time."""
         name = f"{table}-{uuid.uuid4().hex}"
-        laid = rows.withColumn("bucket", bucket_of(self.state["buckets"])).hint("rebalance", "bucket").sortWithinPartitions("bucket", *BLOCK)
-        laid.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        laid = rows.withColumn("bucket", bucket_of(self.state["buckets"])).hint("rebalance", "bucket")
+        laid.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
         self.state[table].append(name)
 
     def _read(self, table: str, schema: str, buckets: list[int]) -> DataFrame:
@@ -376,7 +433,7 @@ class LinkageStore:
         # FILTER_BITS / 64 rows at most, whatever the batch.
         words = blocks.groupBy(F.floor(spot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(account, cents), {FILTER_BITS}) % 64 as int))")).alias("bits"))
         read = self._read("records", RECORD, buckets).drop("bucket").withColumn("spot", spot).withColumn("word", F.floor(F.col("spot") / 64).cast("int"))
-        kept = read.join(F.broadcast(words), "word").where(F.getbit("bits", F.col("spot") % 64) == 1).select(*(f.split()[0] for f in RECORD.split(", ")))
+        kept = read.join(F.broadcast(words), "word").where(F.getbit("bits", F.col("spot") % 64) == 1).select(*COLUMNS)
         exact = kept.join(blocks, BLOCK, "left_semi")
         if not self.state["mapping"]:
             return exact.withColumn("root", F.col("id")).withColumn("named", F.col("value").isNotNull())
@@ -409,7 +466,7 @@ class LinkageStore:
         new = records.where("fresh").join(stored.select("id"), "id", "left_anti")
         known = stored.join(lines.select("id"), "id", "left_semi").where("root <> id").select(F.col("root").alias("original_id"), F.col("id").alias("duplicate_id"))
         held = stored.unionByName(new)
-        pairs = cut(candidates(new, held))
+        pairs = candidates(held)
         if weights is None:
             weights = self.weights()
         if weights is None:
@@ -418,7 +475,7 @@ class LinkageStore:
         clusters = cut(self._clusters(links, held))
         ids = new.select(F.col("id").alias("node"))
         found = clusters.where("node <> root").join(ids, "node", "left_semi").select(F.col("root").alias("original_id"), F.col("node").alias("duplicate_id"))
-        return Linked(found.unionByName(known), self._changed(clusters, held), new.select(*(f.split()[0] for f in RECORD.split(", "))), weights)
+        return Linked(found.unionByName(known), self._changed(clusters, held), new.select(*COLUMNS), weights)
 
     def _filed(self, records: DataFrame, files: DataFrame | None) -> DataFrame:
         """Records with ``file``, the first batch with the same content hash where there are several, and whether theirs is a later one."""
@@ -485,7 +542,7 @@ class LinkageStore:
 def store_of(history: DataFrame) -> LinkageStore:
     """The store of a history below ``spark.checkpoint.dir``, made once for the same files; a table that isn't read from files gets a new one."""
     spark = history.sparkSession
-    return LinkageStore.of(history, f"{checkpoint_root(spark)}/linkage-{fingerprint_of(history, RECORD) or uuid.uuid4().hex}")
+    return LinkageStore.of(history, f"{checkpoint_root(spark)}/linkage-{fingerprint_of(history, RECORD, FORMAT) or uuid.uuid4().hex}")
 
 
 def duplicates(history: DataFrame, incoming: DataFrame, files: DataFrame | None = None, weights: Weights | None = None) -> DataFrame:
