@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .errors import QueryError
 from .operators import forecast, query, retrieval, sequences
-from .operators.ledger import LedgerStore
+from .operators.ledger import Correction, LedgerStore
 from .operators.query import Filters, QueryResult
 from .streaming.projections import Projection
 
@@ -85,10 +85,9 @@ class FinanceTools:
             raise QueryError("there is no index of texts")
         return retrieval.search(self.index, question, retrieval.TOP)
 
-    def correct_category(self, merchant: str, category: str, expected_version: int, request_id: str) -> int:
+    def correct_category(self, merchant: str, category: str, expected_version: int | None = None, request_id: str | None = None) -> Correction:
         if self.ledger is None:
             raise QueryError("corrections need a stored ledger")
-        query.Filters(categories=(category,))  # must be a known one
         return self.ledger.correct_category(merchant, category, expected_version, request_id)
 
     def list_accounts(self) -> DataFrame:

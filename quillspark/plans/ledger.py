@@ -439,7 +439,7 @@ def override_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(
     "category_state",
-    f"SELECT coalesce(s.merchant_key, o.merchant_key) AS merchant_key, coalesce(override, own) AS category, coalesce(version, 0) AS version FROM (SELECT merchant_key, first(category ORDER BY date, id) AS own "
+    f"SELECT coalesce(s.merchant_key, o.merchant_key) AS merchant_key, coalesce(override, own) AS category, coalesce(version, 0) AS version FROM (SELECT merchant_key, first(category ORDER BY id) AS own "
     f"FROM ledger_transactions GROUP BY merchant_key) s FULL JOIN ({_CURRENT}) o ON o.merchant_key = s.merchant_key",
 )
 def category_state(spark: SparkSession, folder: str) -> DataFrame:

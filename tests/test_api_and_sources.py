@@ -49,7 +49,7 @@ def test_tools(spark, year, tmp_path):
             wrong()
     tools.ledger = LedgerStore(spark, str(tmp_path))
     tools.ledger.import_rows(year.limit(20).withColumn("category", F.lit(None).cast("string")), "x.csv")
-    assert tools.correct_category("starbucks", "咖啡", 0, "r1") in (0, 1)
+    assert tools.correct_category("starbucks", "咖啡", 0, "r1").version == 1
     docs = spark.createDataFrame([(1, "t", "税费 预算")], "doc_id long, title string, text string")
     tools.index = retrieval.build_index(docs, {"title": "title", "body": "text"})
     assert tools.search_knowledge("预算").first()["doc_id"] == 1 and tools.events_status() == {}

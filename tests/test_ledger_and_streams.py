@@ -7,7 +7,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.errors import InvalidEvent, LedgerConflict
+from quillspark.errors import IngestError, InvalidEvent, LedgerConflict, QueryError
+from quillspark.operators import ledger as L
 from quillspark.operators.ledger import LedgerStore, category_state, classified, content_hash, monthly_summary, with_overrides
 from quillspark.streaming.projections import CONSUMERS, Projection, event_of, run_projection, validated
 
@@ -22,7 +23,7 @@ def test_import_is_idempotent_at_both_levels(spark, bill, tmp_path):
     one = store.import_rows(first, "one.csv", content_hash(b"1"))
     assert (one.imported, one.skipped, one.repeated_file) == (3, 0, False)
     again = store.import_rows(first, "copy.csv", content_hash(b"1"))
-    assert again.repeated_file and again.batch_id == one.batch_id
+    assert again.repeated_file and again.batch_id == one.batch_id and (again.imported, again.skipped) == (0, 3)
     two = store.import_rows(rows(bill, "a", "new"), "two.csv", content_hash(b"2"))
     assert (two.imported, two.skipped) == (1, 1)
     assert store.rows().count() == 4 and store.batches().count() == 2
@@ -41,7 +42,7 @@ def test_changed_row_refuses_the_batch(spark, bill, tmp_path):
 def test_rows_of_an_unlisted_batch_do_not_count(spark, bill, tmp_path):
     store = LedgerStore(spark, str(tmp_path))
     store.import_rows(rows(bill, "a"), "one.csv")
-    store.rows().withColumn("batch_id", F.lit("torn")).write.mode("append").parquet(f"{tmp_path}/rows")
+    store.rows().withColumn("batch_id", F.lit("torn")).withColumn("bucket", F.lit(1)).write.mode("append").partitionBy("bucket").parquet(f"{tmp_path}/rows")
     assert store.rows().count() == 1
 
 
@@ -51,20 +52,66 @@ def test_repeats_within_a_batch(bill):
     assert states == [("a", "new"), ("a", "repeated"), ("b", "new"), ("b", "conflict")]
 
 
+def test_import_without_hash_and_with_categories(spark, bill, tmp_path):
+    store = LedgerStore(spark, str(tmp_path))
+    batch = rows(bill, "a", "b")
+    one = store.import_rows(batch, "memory")
+    again = store.import_rows(batch, "memory")
+    assert again.repeated_file and again.batch_id == one.batch_id and (again.imported, again.skipped) == (0, 2)
+    assert not store.import_rows(rows(bill, "a", "c"), "memory").repeated_file
+    with pytest.raises(IngestError):
+        store.import_file(rows(bill, "x", "y"), "f.csv", b"f", rows(bill, "x", "z", category="咖啡"))
+    assert store.import_file(rows(bill, "x", "y"), "f.csv", b"f", rows(bill, "x", "y", category="咖啡")).imported == 2
+    assert {r["txn_id"]: r["category"] for r in store.rows().collect()} == {"a": None, "b": None, "c": None, "x": "咖啡", "y": "咖啡"}
+    assert len({r["seq"] for r in store.rows().collect()}) == 5
+
+
+def test_an_import_reads_only_the_folders_of_its_rows(spark, bill, tmp_path):
+    store = LedgerStore(spark, str(tmp_path))
+    store.import_rows(rows(bill, *map(str, range(200))), "one.csv")
+    wanted = rows(bill, "7").select(L.row_bucket().alias("b")).first()["b"]
+    for folder in (tmp_path / "rows").glob("bucket=*"):
+        if folder.name != f"bucket={wanted}":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"unreadable")
+    assert store.import_rows(rows(bill, "7"), "two.csv").skipped == 1
+
+
 def test_corrections_are_versioned(spark, bill, tmp_path):
     store = LedgerStore(spark, str(tmp_path))
     store.import_rows(rows(bill, "a", category="咖啡"), "one.csv")
-    assert store.correct_category("Starbucks #9", "购物", 0, "r1") == 1
-    assert store.correct_category("Starbucks #9", "购物", 0, "r1") == 1  # the same request
-    assert store.correct_category("STARBUCKS", "购物", 1, "r2") == 1  # nothing to change
-    with pytest.raises(LedgerConflict):
-        store.correct_category("STARBUCKS", "旅行", 0, "r3")
+    first = store.correct_category("Starbucks #9", "购物", 0, "r1")
+    assert (first.before_category, first.category, first.before_version, first.version, first.changed) == ("咖啡", "购物", 0, 1, True)
+    assert store.correct_category("Starbucks #9", "购物", 0, "r1") == first  # the same request
+    same = store.correct_category("STARBUCKS", "购物", 1, "r2")
+    assert (same.version, same.changed) == (1, False) and store.correct_category("STARBUCKS", "购物").version == 1
+    for wrong, error in (
+        (("STARBUCKS", "旅行", 0, "r3"), LedgerConflict), (("STARBUCKS", "旅行", 1, "r1"), LedgerConflict), (("STARBUCKS", "旅行", 1, "r2"), LedgerConflict),
+        (("nobody", "旅行", 0, "r4"), QueryError), (("STARBUCKS", "nope", 1, "r5"), QueryError), (("STARBUCKS", "旅行", -1, "r6"), QueryError), (("STARBUCKS", "旅行", 1, " "), QueryError),
+    ):
+        with pytest.raises(error):
+            store.correct_category(*wrong)
     assert store.transactions().first()["category"] == "购物"
+    assert {(r["request_id"], r["changed"], r["version"]) for r in store.audits().collect()} == {("r1", True, 1), ("r2", False, 1)}
+
+
+def test_of_two_corrections_at_once_one_counts(spark, bill, tmp_path):
+    store = LedgerStore(spark, str(tmp_path))
+    store.import_rows(rows(bill, "a", category="咖啡"), "one.csv")
+    late = LedgerStore(spark, str(tmp_path))
+    seen = late.category_of
+    stale = [seen("starbucks")]
+    store.correct_category("starbucks", "购物", 0, "r1")
+    late.category_of = lambda key: stale.pop() if stale else seen(key)  # what it saw before the other was done
+    with pytest.raises(LedgerConflict):
+        late.correct_category("starbucks", "旅行", 0, "r2")
+    assert store.correct_category("starbucks", "旅行", 1, "r3").version == 2
 
 
 def test_overrides_and_state(spark):
     stored = spark.createDataFrame([("x", "咖啡", "2026-01-02", 2), ("x", "购物", "2026-01-01", 1), (None, "其他", "2026-01-01", 3)], "merchant_key string, category string, date string, seq long")
     changes = spark.createDataFrame([("x", "旅行", 1), ("x", "娱乐", 2), ("y", "超市", 1)], "merchant_key string, category string, version long")
+    # The first row is the one with the smallest number, whatever its date.
     assert {(r["merchant_key"], r["category"]) for r in with_overrides(stored, changes).collect()} == {("x", "娱乐"), (None, "其他")}
     assert {(r["merchant_key"], r["category"], r["version"]) for r in category_state(stored, changes).collect()} == {("x", "娱乐", 2), ("y", "超市", 1), (None, "其他", 0)}
     assert ("x", "购物", 0) in {(r["merchant_key"], r["category"], r["version"]) for r in category_state(stored, changes.limit(0)).collect()}
