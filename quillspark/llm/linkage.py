@@ -431,10 +431,11 @@ class LinkageStore:
         blocks = new.select(*BLOCK).distinct()
         spot = F.pmod(F.xxhash64(*BLOCK), F.lit(FILTER_BITS)).cast("int")
         # FILTER_BITS / 64 rows at most, whatever the batch.
-        words = blocks.groupBy(F.floor(spot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(account, cents), {FILTER_BITS}) % 64 as int))")).alias("bits"))
-        read = self._read("records", RECORD, buckets).drop("bucket").withColumn("spot", spot).withColumn("word", F.floor(F.col("spot") / 64).cast("int"))
+        words = blocks.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(account, cents), {FILTER_BITS}) % 64 as int))")).alias("bits"))
+        read = self._read("records", RECORD, buckets).drop("bucket").withColumn("spot", spot).withColumn("word", F.shiftright("spot", 6))
         kept = read.join(F.broadcast(words), "word").where(F.getbit("bits", F.col("spot") % 64) == 1).select(*COLUMNS)
-        exact = kept.join(blocks, BLOCK, "left_semi")
+        # An inner join on distinct keys; the planner would move a semi join before the filter.
+        exact = kept.join(blocks, BLOCK)
         if not self.state["mapping"]:
             return exact.withColumn("root", F.col("id")).withColumn("named", F.col("value").isNotNull())
         mapped = self._read("mapping", f"account string, cents long, {MAPPING}", buckets).join(blocks, BLOCK, "left_semi")
