@@ -1,7 +1,7 @@
 """Exactly one copy of each message from an at-least-once feed.
 
-A message is known by its identifier (32 hexadecimal digits, however written)
-or by the ledger row it carries.  Copies are ranked by delivery number, the
+A message is known by its identifier (32 hexadecimal digits, however written,
+or any other text as it stands) or by the ledger row it carries.  Copies are ranked by delivery number, the
 first one of an identifier stays, and receipts kept from earlier runs take
 precedence over every delivery.  Contents are compared by hash, so no payload
 is shuffled.
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 
 def canonical_json(value) -> str:
     """Sorted keys, no blanks, no escapes beyond those JSON needs."""
@@ -55,10 +57,22 @@ def canonical_sha256(payload: pd.Series) -> pd.Series:
     return payload.map(one, na_action="ignore")
 
 
+#: Digits of an identifier as the producer makes it.
+DIGITS = 32
+
+
 def identifier(raw: Column) -> Column:
-    """Lower-case hexadecimal digits of an identifier; null when there are none."""
-    plain = F.regexp_replace(F.lower(F.trim(raw)), r"^(urn:)?uuid:|^0x", "")
-    return F.nullif(F.regexp_replace(plain, "[^0-9a-f]", ""), F.lit(""))
+    """An identifier as bytes: its 32 hexadecimal digits however written, else the whole text as it stands; null for blank.
+
+    Case, separators, brackets and the marks before a UUID or a hexadecimal
+    number don't count.  A text that isn't 32 digits then is another kind of
+    identifier, and nothing is taken from it but white space at its ends; a zero
+    byte before it keeps it apart from digits.
+    """
+    text = F.trim(raw)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"^(urn:)?uuid:|^0x", ""), r"[\s{}()\[\]:._-]", "")
+    short = F.when(bare.rlike(rf"^[0-9a-f]{{1,{DIGITS}}}$"), F.lpad(bare, DIGITS, "0"))  # zeros at the beginning may be left out
+    return F.coalesce(F.unhex(short), F.when(text != "", F.concat(F.lit(b"\x00"), F.encode(text, "utf-8"))))
 
 
 def message_keys(deliveries: DataFrame) -> DataFrame:
@@ -81,7 +95,7 @@ def message_keys(deliveries: DataFrame) -> DataFrame:
     text = F.to_json(F.try_variant_get("doc", "$.transaction", "variant"))
     return rows.select(
         "delivery_id",
-        F.unhex(F.lpad(F.coalesce(identifier(F.col("event_id")), identifier(F.try_variant_get("doc", "$.event_id", "string"))), 32, "0")).alias("event"),
+        F.coalesce(identifier(F.col("event_id")), identifier(F.try_variant_get("doc", "$.event_id", "string"))).alias("event"),
         F.unhex(F.coalesce("given", canonical_sha256("unhashed"))).alias("content"),
         F.coalesce("ledger_id", F.try_variant_get("doc", "$.transaction.id", "long")).alias("ledger"),
         F.unhex(F.sha2(text, 256)).alias("body"),
@@ -90,14 +104,15 @@ def message_keys(deliveries: DataFrame) -> DataFrame:
 
 def _judged(deliveries: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All deliveries as (delivery_id, event, content), and the contents that count with their first delivery."""
-    keys = message_keys(deliveries)
+    # Payloads are parsed and hashed once; what is kept of each is a few hashes.
+    keys = written(message_keys(deliveries))
     # An event without identifier stands for itself, so that ledger rows can still match it.
     keyed = keys.where(F.col("content").isNotNull() & F.col("delivery_id").isNotNull()).withColumn(
         "event", F.coalesce("event", F.concat(F.lit(b"\x00none"), F.col("content")))
     )
     contents = keyed.groupBy("event", "content").agg(F.min("delivery_id").alias("first"), F.max("body").alias("body"), F.max("ledger").alias("ledger"))
     kept = receipts.select(
-        F.unhex(F.lpad(identifier(F.col("event_id")), 32, "0")).alias("event"), F.unhex(F.lower("payload_hash")).alias("content")
+        identifier(F.col("event_id")).alias("event"), F.unhex(F.lower("payload_hash")).alias("content")
     ).where(F.col("event").isNotNull() & F.col("content").isNotNull())
     # One row per event: the content that counts. Receipts come before any delivery.
     claims = contents.select("event", "content", "first").unionByName(kept.select("event", "content", F.lit(-1).cast("long").alias("first")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
+    forget(spark, context._jsc.sc().getCheckpointDir().get())
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -52,3 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; survives lost executors."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder.
+
+    For wide rows that are read in part, or more than once: it is compressed and
+    read by column, which a checkpoint is not. Gone when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    forget(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the session ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

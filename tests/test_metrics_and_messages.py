@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import QueryError
 from quillspark.operators import metrics as M
-from quillspark.operators.messages import canonical_json, canonical_sha256, conflicting_deliveries, deliver_once, repeated_deliveries
+from quillspark.operators.messages import canonical_json, canonical_sha256, conflicting_deliveries, deliver_once, identifier, repeated_deliveries
 
 DELIVERIES = "delivery_id long, event_id string, ledger_id long, payload string, payload_hash string, account string, event string"
 RECEIPTS = "consumer string, event_id string, payload_hash string"
@@ -148,3 +148,16 @@ def test_entry(spark):
 def test_core_imports_nothing_of_the_optional_package():
     code = "import sys; sys.modules['quillspark.llm'] = None\nimport __spark_entry__ as e\nassert 'p4_found' in e.queries() and 'p7_ids' not in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def test_identifiers_of_other_kinds_stay_whole(spark):
+    digits = "0a" * 16
+    forms = [digits, digits.upper(), f"{{{digits}}}", f" {digits} ", f"urn:uuid:{digits[:8]}-{digits[8:]}", f"0x{digits}", digits[1:]]
+    others = ["a" * 32 + "1111", "a" * 32 + "2222", "zz-ab", "xyab", "ab", ""]
+    rows = spark.createDataFrame([(x,) for x in forms + others], "raw string").select("raw", identifier(F.col("raw")).alias("found")).collect()
+    assert {bytes(r["found"]) for r in rows[: len(forms)]} == {bytes.fromhex(digits)}
+    kept = [r["found"] and bytes(r["found"]) for r in rows[len(forms) :]]
+    assert len(set(kept)) == len(others) and kept[-1] is None and kept[4] == bytes.fromhex("ab".rjust(32, "0"))
+    deliveries = spark.createDataFrame([(i, x, None, '{"a":1}', None) for i, x in enumerate(others[:4] + ["zz-ab"])], "delivery_id long, event_id string, ledger_id long, payload string, payload_hash string")
+    receipts = spark.createDataFrame([], "consumer string, event_id string, payload_hash string")
+    assert [r["delivery_id"] for r in repeated_deliveries(deliveries, receipts).collect()] == [4]
