@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_root, cut
+from ..session import checkpoint_root, cut, written
 from ..storage import fingerprint_of, read_mark, write_mark
 from .components import components
 from .names import read_name, sound, swap_distance
@@ -224,7 +224,7 @@ def id_level(kind_a: pd.Series, a: pd.Series, kind_b: pd.Series, b: pd.Series) -
 
 def name_level(a: str, b: str) -> str:
     """How two merchants as written agree: same, similar or other."""
-    x, y = written(a), written(b)
+    x, y = letters(a), letters(b)
     if x == y:
         return "same"
     short, full = sorted((x, y), key=len)
@@ -241,7 +241,7 @@ def name_level(a: str, b: str) -> str:
     return "similar" if len(shorter) >= 5 and longer.startswith(shorter) else "other"
 
 
-def written(name: str) -> str:
+def letters(name: str) -> str:
     """The letters and digits of a name, without accents, case and processor words."""
     text = unicodedata.normalize("NFKD", name.casefold())
     text = "".join(c for c in text if not unicodedata.combining(c))
@@ -349,7 +349,7 @@ def candidates(records: DataFrame) -> DataFrame:
         F.when(by_id.isNull() | by_name.isNull(), F.struct("a.kind", F.col("a.value").alias("x"), F.col("b.value").alias("y"), F.col("a.merchant").alias("m"), F.col("b.merchant").alias("n"))).alias("open"),
     )
     # Only the pairs that plain comparisons leave open go through Python.
-    judged = cut(judged)
+    judged = written(judged)
     kept = ["id", "other", *PATTERN, "nameless", "other_nameless"]
     asked = judged.where(F.col("open").isNotNull()).withColumns(
         {
@@ -458,11 +458,11 @@ class LinkageStore:
         record without identifier that it fits, if that belongs to no other
         transaction.  So batches one after another give what all at once give.
         """
-        lines = cut(normalised(batch).dropDuplicates(["id"]))
+        lines = written(normalised(batch).dropDuplicates(["id"]))
         related = self.related(lines)
         both = [rows.withColumn("fresh", F.lit(fresh)) for rows, fresh in ((related, False), (lines.withColumn("root", F.col("id")).withColumn("named", F.col("value").isNotNull()), True))]
         records = both[0].unionByName(both[1])
-        records = cut(self._filed(records, files))
+        records = written(self._filed(records, files))
         stored = records.where("not fresh")
         new = records.where("fresh").join(stored.select("id"), "id", "left_anti")
         known = stored.join(lines.select("id"), "id", "left_semi").where("root <> id").select(F.col("root").alias("original_id"), F.col("id").alias("duplicate_id"))

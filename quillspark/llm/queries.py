@@ -103,3 +103,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 @registry.add("p9_shared")
 def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").shared()
+
+
+@registry.add("p9_intervals")
+def p9_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return SharedSpans(table(spark, folder, "documents"), "doc_id", "text").intervals()

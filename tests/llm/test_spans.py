@@ -26,6 +26,37 @@ def brute(texts: dict[int, str], least: int):
     return pairs, shared
 
 
+def runs(texts: dict[int, str], least: int):
+    """The maximal intervals of each text that another one holds, and the smallest record each is linked with."""
+    owners: dict[str, set[int]] = {}
+    for i, t in texts.items():
+        for p in range(len(t) - least + 1):
+            owners.setdefault(t[p : p + least], set()).add(i)
+    intervals = set()
+    group = {i: i for i in texts}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for held in owners.values():
+        for i in held:
+            a, b = sorted((find(i), find(min(held))))
+            group[b] = a
+    for i, t in texts.items():
+        begin = end = None
+        for p in range(len(t) - least + 1):
+            if len(owners[t[p : p + least]]) > 1:
+                if begin is not None and p <= end:
+                    end = p + least
+                else:
+                    intervals |= {(i, begin, end)} if begin is not None else set()
+                    begin, end = p, p + least
+        intervals |= {(i, begin, end)} if begin is not None else set()
+    return intervals, {i: find(i) for i in texts}
+
+
 def corpus(rng, least):
     fresh = lambda n: "".join(rng.choice(ALPHABET) for _ in range(n))
     texts = {i: fresh(rng.randrange(0, 400)) for i in range(30)}
@@ -53,6 +84,10 @@ def test_equals_brute_force(spark, monkeypatch, seed, paired):
     assert {tuple(r) for r in found.pairs().collect()} == pairs
     got = {r["doc_id"]: r for r in found.shared().collect()}
     assert {i: r["shared_chars"] for i, r in got.items()} == shared | {90: 0, 91: 0}
+    intervals, groups = runs(texts, least)
+    assert {tuple(r) for r in found.intervals().collect()} == intervals
+    # Copies shorter than the least length are a class, but not linked by a span.
+    assert {i: r["group_id"] for i, r in got.items()} == groups | {37: 36, 90: 90, 91: 91}
     assert {got[i]["class_id"] for i in (3, 30, 31)} == {3} and got[37]["class_id"] == 36 and got[90]["class_id"] == 90
 
 
@@ -69,7 +104,14 @@ def test_empty_and_copies_only(spark):
     assert S.SharedSpans(none, "doc_id", "text").pairs().count() == 0 and S.SharedSpans(none, "doc_id", "text").shared().count() == 0
     copies = spark.createDataFrame([(i, "abc" * 100) for i in range(40)], "doc_id long, text string")
     found = S.SharedSpans(copies, "doc_id", "text")
-    assert found.pairs().count() == 780 and found.shared().where("shared_chars = 300 and class_id = 0 and links = 0").count() == 40
+    assert found.pairs().count() == 780 and found.shared().where("shared_chars = 300 and class_id = 0 and group_id = 0").count() == 40
+
+
+def test_texts_that_meet_in_a_hash(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "a" * 200), (2, "b" * 200), (3, "a" * 200), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: S.F.length(c[-1] if len(c) > 1 else c[0]).cast("long") if len(c) == 1 else S.F.crc32(S.F.concat_ws("|", *c)))
+    classes = {r["doc_id"]: r["c"] for r in texts.select("doc_id", S.text_classes(texts).alias("c")).collect()}
+    assert classes[1] == classes[3] != classes[2]
 
 
 def test_every_span_keeps_an_anchor():
