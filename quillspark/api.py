@@ -39,6 +39,9 @@ class FinanceTools:
 
     bill: Callable[[], DataFrame]
     index: retrieval.TextIndex | None = None
+    #: Child vectors of the index (``retrieval.dense_index``) and what embeds a question; without them search is lexical.
+    dense: DataFrame | None = None
+    embedder: retrieval.Embedder | None = None
     ledger: LedgerStore | None = None
     projections: dict[str, Projection] | None = None
     today: Callable[[], date] = date.today
@@ -83,7 +86,10 @@ class FinanceTools:
     def search_knowledge(self, question: str) -> DataFrame:
         if self.index is None:
             raise QueryError("there is no index of texts")
-        return retrieval.search(self.index, question, retrieval.TOP)
+        semantic = None
+        if self.dense is not None and self.embedder is not None and question.strip():
+            semantic = retrieval.dense_ranks(self.dense, self.embedder([question])[0])
+        return retrieval.search(self.index, question, retrieval.TOP, semantic=semantic)
 
     def correct_category(self, merchant: str, category: str, expected_version: int | None = None, request_id: str | None = None) -> Correction:
         if self.ledger is None:

@@ -10,6 +10,7 @@ from ..functions.columns import cosine_distance
 from ..functions.text import CJK, STOPWORDS, tokens
 from ..operators import chunks, retrieval
 from ..session import checkpoint_root
+from ..storage import fingerprint_of
 from ..sources.tables import table
 from .registry import Registry
 
@@ -20,9 +21,8 @@ QUESTION = "订阅 budget 提醒"
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with the source and the first characters as their title."""
-    d = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return d.withColumn("title", F.concat_ws(" ", "source", F.substring("text", 1, 40)))
+    """The sections of the knowledge base with their breadcrumb as title."""
+    return table(spark, folder, "knowledge_chunks").select(F.col("chunk_id").alias("doc_id"), "source", "text", F.col("breadcrumb").alias("title"))
 
 
 _CHARS = f"[{CJK}]"
@@ -41,7 +41,7 @@ def _tokens(text: str) -> str:
     return f"list_filter(flatten(list_transform({runs}, lambda r: {of})), lambda t: NOT ({stop}))"
 
 
-_DOCS = "(SELECT doc_id, source, text, concat_ws(' ', source, substring(text, 1, 40)) AS title FROM documents)"
+_DOCS = "(SELECT chunk_id AS doc_id, source, text, breadcrumb AS title FROM knowledge_chunks)"
 
 
 @add("tokenize_docs", f"SELECT doc_id, t AS token, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS t FROM documents) GROUP BY 1, 2")
@@ -49,27 +49,32 @@ def tokenize_docs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
-def _bm25(field: str) -> str:
-    return f"""WITH d AS (SELECT doc_id, {_tokens(field)} AS tokens FROM {_DOCS} x), l AS (SELECT doc_id, len(tokens) AS length FROM d), n AS (SELECT count(*) AS docs, avg(length) AS average FROM l),
-q AS (SELECT DISTINCT unnest({_tokens(f"'{QUESTION}'")}) AS token), p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS token FROM d) JOIN q USING (token) GROUP BY 1, 2),
+def _bm25(field: str, docs: str = _DOCS, question: str = QUESTION) -> str:
+    return f"""WITH d AS (SELECT doc_id, {_tokens(field)} AS tokens FROM {docs} x), l AS (SELECT doc_id, len(tokens) AS length FROM d), n AS (SELECT count(*) AS docs, avg(length) AS average FROM l),
+q AS (SELECT DISTINCT unnest({_tokens(f"'{question}'")}) AS token), p AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS token FROM d) JOIN q USING (token) GROUP BY 1, 2),
 f AS (SELECT token, count(*) AS df FROM p GROUP BY token)
 SELECT p.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))), 6) AS score FROM p JOIN f USING (token) JOIN l USING (doc_id), n GROUP BY p.doc_id"""
 
 
 def _index(spark: SparkSession, folder: str) -> retrieval.TextIndex:
-    """The stored index of the corpus, built by the first query that needs it."""
-    texts, fields = docs(spark, folder), {"title": "title", "body": "text"}
-    return retrieval.load_or_build(texts, fields, f"{checkpoint_root(spark)}/index-{retrieval.fingerprint(texts, fields)}")
+    """The stored index of the knowledge base, built by the first query that needs it."""
+    return _stored(docs(spark, folder), {"title": "title", "body": "text"})
 
 
-def _scores(name: str, field: str, column: str) -> None:
-    @add(name, _bm25(column))
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return retrieval.bm25(_index(spark, folder), field, QUESTION).select("doc_id", F.round("score", 6).alias("score"))
+def _stored(texts: DataFrame, fields: dict[str, str]) -> retrieval.TextIndex:
+    spark = texts.sparkSession
+    return retrieval.load_or_build(texts, fields, f"{checkpoint_root(spark)}/index-{fingerprint_of(texts, *fields)}")
 
 
-_scores("bm25_body", "body", "text")
-_scores("bm25_title", "title", "title")
+@add("bm25_body", _bm25("text", "documents"))
+def bm25_body(spark: SparkSession, folder: str) -> DataFrame:
+    index = _stored(table(spark, folder, "documents").select("doc_id", "text"), {"body": "text"})
+    return retrieval.bm25(index, "body", QUESTION).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@add("bm25_title", _bm25("title"))
+def bm25_title(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.bm25(_index(spark, folder), "title", QUESTION).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @add("index_totals", f"SELECT 'body' AS field, count(*) AS docs, round(avg(len({_tokens('text')})), 6) AS average FROM {_DOCS} x UNION ALL SELECT 'title', count(*), round(avg(len({_tokens('title')})), 6) FROM {_DOCS} x")
@@ -77,8 +82,8 @@ def index_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _index(spark, folder).totals.select("field", "docs", F.round("average", 6).alias("average"))
 
 
-def _channel(field: str, name: str) -> str:
-    return f"SELECT doc_id, '{name}' AS channel, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_bm25(field)}) s ORDER BY rank LIMIT 30"
+def _channel(field: str, name: str, question: str = QUESTION) -> str:
+    return f"SELECT doc_id, '{name}' AS channel, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({_bm25(field, question=question)}) s ORDER BY rank LIMIT 30"
 
 
 _RRF = f"SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM (SELECT * FROM ({_channel('title', 'title')}) UNION ALL SELECT * FROM ({_channel('text', 'body')})) GROUP BY doc_id"
@@ -99,14 +104,19 @@ def search_top(spark: SparkSession, folder: str) -> DataFrame:
     return _fused(retrieval.search(_index(spark, folder), QUESTION))
 
 
-@add("rrf_multi_query")
+ASKED = ("订阅 涨价", "budget rent", "保险费 年缴")
+_MORE = " UNION ALL ".join(f"SELECT * FROM ({_channel('text', f'q{i}', q)})" for i, q in enumerate(ASKED))
+_ORDER = "score DESC, length(channels) - length(replace(channels, ',', '')) DESC, doc_id"
+
+
+@add("rrf_multi_query", f"SELECT * FROM (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(channel, ',' ORDER BY channel) AS channels FROM ({_MORE}) GROUP BY doc_id) ORDER BY {_ORDER} LIMIT 20")
 def rrf_multi_query(spark: SparkSession, folder: str) -> DataFrame:
     index = _index(spark, folder)
-    channels = [retrieval.ranked(retrieval.bm25(index, "body", q), f"q{i}") for i, q in enumerate(("订阅 涨价", "budget rent", "保险费 年缴"))]
+    channels = [retrieval.ranked(retrieval.bm25(index, "body", q), f"q{i}") for i, q in enumerate(ASKED)]
     return _fused(retrieval.fuse(channels, 20))
 
 
-@add("rerank_stub")
+@add("rerank_stub", f"SELECT r.doc_id, CAST(-length(d.text) AS DOUBLE) AS rerank_score, score FROM (SELECT * FROM ({_RRF}) ORDER BY {_ORDER} LIMIT 20) r JOIN {_DOCS} d ON d.doc_id = r.doc_id")
 def rerank_stub(spark: SparkSession, folder: str) -> DataFrame:
     """Search, then reorder the pool by a scorer that prefers short texts."""
     texts = docs(spark, folder)
@@ -115,7 +125,7 @@ def rerank_stub(spark: SparkSession, folder: str) -> DataFrame:
     def shorter(_: pd.Series, text: pd.Series) -> pd.Series:
         return -text.str.len().astype("float64")
 
-    return retrieval.rerank(QUESTION, hits, shorter).select("doc_id", "rerank_score", "score")
+    return retrieval.rerank(QUESTION, hits, shorter).select("doc_id", "rerank_score", F.round("score", 9).alias("score"))
 
 
 _VECTORS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -123,20 +133,10 @@ _NEAREST = f"""SELECT q.vec_id AS query_id, e.vec_id AS id, 1 - list_dot_product
 _RANKED = f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS INTEGER) AS rank FROM ({_NEAREST})"
 
 
-def _queries(vectors: DataFrame) -> list[tuple[int, list[float]]]:
-    """The stated query set, vectors whose id is divisible by 100."""
-    return [(r["vec_id"], list(r["embedding"])) for r in vectors.where(F.col("vec_id") % 100 == 0).select("vec_id", "embedding").toLocalIterator()]
-
-
 def _nearest(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """The stated query set, vectors whose id is divisible by 100, against all vectors."""
     vectors = table(spark, folder, "embeddings")
-    asked = _queries(vectors)
-    size = retrieval.MOST_QUERIES
-    blocks = [retrieval.nearest(vectors, asked[i : i + size], k) for i in range(0, max(1, len(asked)), size)]
-    found = blocks[0]
-    for more in blocks[1:]:
-        found = found.unionByName(more)
-    return found
+    return retrieval.nearest_all(vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
 
 
 @add("knn_cosine", f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_RANKED}) WHERE rank <= 10")

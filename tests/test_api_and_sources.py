@@ -53,6 +53,10 @@ def test_tools(spark, year, tmp_path):
     docs = spark.createDataFrame([(1, "t", "税费 预算")], "doc_id long, title string, text string")
     tools.index = retrieval.build_index(docs, {"title": "title", "body": "text"})
     assert tools.search_knowledge("预算").first()["doc_id"] == 1 and tools.events_status() == {}
+    chunks = spark.createDataFrame([(1, "s", "b", "税费 预算"), (2, "s", "b", "rent")], "doc_id long, source string, breadcrumb string, text string")
+    tools.embedder = lambda texts: [[float("rent" in t or "Miete" in t), 0.5] for t in texts]
+    tools.dense = retrieval.dense_index(chunks, tools.embedder, retrieval.VectorStore(spark, str(tmp_path / "dense")), spark.createDataFrame([], "hash string, vector array<double>"), "m")
+    assert [(r["doc_id"], r["channels"]) for r in tools.search_knowledge("Miete").collect()][0] == (2, ["semantic"])
 
 
 def test_extraction_is_cached_by_content(spark):
@@ -114,9 +118,5 @@ def test_small_helpers(spark, tmp_path, year):
     known = spark.createDataFrame([("a", "咖啡"), ("b", "购物")], "merchant_key string, category string")
     decided = spark.createDataFrame([("b", "旅行", "model"), ("c", "其他", "model"), ("a", "咖啡", "cache")], "merchant_key string, category string, tier string")
     assert {tuple(r) for r in categorize.updated_cache(known, decided).collect()} == {("a", "咖啡"), ("b", "旅行"), ("c", "其他")}
-    vectors = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
-    for _ in range(2):
-        retrieval.reset_vectors(vectors, str(tmp_path))
-    assert retrieval.stored_vectors(spark, str(tmp_path)).count() == 1
     write_labels(year, str(tmp_path / "labels"))
     assert read_labels(spark, str(tmp_path / "labels")).count() == year.count()

@@ -1,17 +1,21 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from quillspark.errors import QueryError
 from quillspark.functions.text import tokens
 from quillspark.operators import chunks as C
 from quillspark.operators import retrieval as R
+from quillspark.storage import write_mark
 
 TEXTS = {1: "税费 与 LPR 利率", 2: "费用 利率 利率", 3: "", 4: None, 5: "LPR lpr Rate", 6: "怎么 的"}
 
@@ -56,26 +60,78 @@ def test_fusion(docs):
     assert R.search(index, "  ").count() == 0
 
 
-def test_index_is_reused_until_the_texts_change(docs, tmp_path):
-    fields = {"title": "title", "body": "text"}
-    R.load_or_build(docs, fields, str(tmp_path))
-    before = (tmp_path / "manifest" / "_SUCCESS").stat().st_mtime_ns
-    R.load_or_build(docs.orderBy(F.desc("doc_id")), fields, str(tmp_path))
-    assert (tmp_path / "manifest" / "_SUCCESS").stat().st_mtime_ns == before
-    changed = R.load_or_build(docs.where("doc_id <> 1"), fields, str(tmp_path))
-    assert changed.totals.first()["docs"] == 5
-
-
-def test_nearest_and_parents(spark):
+def test_index_is_reused_until_the_texts_change(docs, spark, tmp_path):
+    fields, folder = {"title": "title", "body": "text"}, str(tmp_path / "index")
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    R.load_or_build(stored, fields, folder)
+    before = (tmp_path / "index" / "mark").read_text()
+    for file in (tmp_path / "docs").glob("*.parquet"):  # the texts themselves are not read again
+        held = file.stat()
+        file.write_bytes(b"x" * held.st_size)
+        os.utime(file, ns=(held.st_atime_ns, held.st_mtime_ns))
+    assert R.bm25(R.load_or_build(stored, fields, folder), "body", "利率").count() == 2
+    assert (tmp_path / "index" / "mark").read_text() == before
+    # Without files the texts decide, in any order.
+    R.load_or_build(docs, fields, folder)
+    before = (tmp_path / "index" / "mark").read_text()
+    R.load_or_build(docs.orderBy(F.desc("doc_id")), fields, folder)
+    assert (tmp_path / "index" / "mark").read_text() == before
+    assert R.load_or_build(docs.where("doc_id <> 1"), fields, folder).totals.first()["docs"] == 5
+    write_mark(spark, f"{folder}/mark", "gone x")
+    with pytest.raises(AnalysisException):  # a damaged index is an error, not a reason to overwrite it
+        R.load_or_build(docs, fields, folder)
+    assert R.load_index(spark, str(tmp_path / "none")) is None
+
+
+def test_long_and_short_documents_count_alike(docs, monkeypatch):
+    rows = lambda: sorted(map(tuple, R.build_index(docs, {"body": "text"}).postings.collect()))
+    short = rows()
+    monkeypatch.setattr(R, "SHORT", 0)
+    assert rows() == short and ("body", "利率", 2, 2, 8) in short
+
+
+def test_nearest_and_parents(spark, monkeypatch):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [2.0, 0.0]), (5, None)], "vec_id long, embedding array<double>")
-    rows = R.nearest(vectors, [(7, [1.0, 0.0]), (8, [0.0, 3.0])], 2).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["id"], round(r["distance"], 9)) for r in rows] == [(7, 1, 0.0), (7, 4, 0.0), (8, 2, 0.0), (8, 1, 1.0)]
+    asked = [(7, [1.0, 0.0]), (8, [0.0, 3.0])]
+    expected = [(7, 1, 0.0), (7, 4, 0.0), (8, 2, 0.0), (8, 1, 1.0)]
+    found = lambda rows: [(r["query_id"], r["id"], round(r["distance"], 9)) for r in rows.orderBy("query_id", "rank").collect()]
+    assert found(R.nearest(vectors, asked, 2)) == expected
+    table = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    assert found(R.nearest_all(vectors, table, 2)) == expected and R.nearest_all(vectors.limit(0), table, 2).count() == 0
+    monkeypatch.setattr(R, "MOST_ROWS", 1)
+    monkeypatch.setattr(R, "MOST_QUERIES", 1)
+    assert found(R.nearest_all(vectors, table, 2)) == expected  # a grid of many cells
+    monkeypatch.undo()
     owners = spark.createDataFrame([(1, 10), (4, 10), (2, 20)], "id long, parent_id long")
-    found = R.parents(R.nearest(vectors, [(7, [1.0, 0.1])], 4), owners).orderBy("rank").collect()
-    assert [r["parent_id"] for r in found] == [10, 20]
+    assert [r["parent_id"] for r in R.parents(R.nearest(vectors, [(7, [1.0, 0.1])], 4), owners).orderBy("rank").collect()] == [10, 20]
     assert R.nearest(vectors, [], 2).count() == 0
 
 
+def test_dense_index_is_reused_and_searched(spark, tmp_path):
+    rows = [(1, "a.md", "x", "税费"), (2, "a.md", "y", "b" * 250), (3, "a.md", None, None)]
+    chunks = spark.createDataFrame(rows, "doc_id long, source string, breadcrumb string, text string")
+    store, cache = R.VectorStore(spark, str(tmp_path)), spark.createDataFrame([], "hash string, vector array<double>")
+    with pytest.raises(QueryError):
+        store.vectors()
+    embedder = lambda batch: [[float(t.count("b")), 1.0] for t in batch]
+    children = R.dense_index(chunks, embedder, store, cache, "m")
+    assert {(r["parent_id"], tuple(r["vector"])) for r in children.collect()} == {(1, (0.0, 1.0)), (2, (200.0, 1.0)), (2, (50.0, 1.0))}
+    mark = (tmp_path / "mark").read_text()
+    R.dense_index(chunks, embedder, store, cache, "m")
+    assert (tmp_path / "mark").read_text() == mark
+    R.dense_index(chunks.where("doc_id < 2"), embedder, store, cache, "m")
+    assert store.vectors().count() == 1
+    R.dense_index(chunks, embedder, store, cache, "other")
+    children = store.vectors()
+    for way in (False, True):
+        assert [(r["doc_id"], r["rank"]) for r in R.dense_ranks(children, [1.0, 0.0], 30, way).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+    assert R.dense_ranks(children, [1.0, 0.0], 2).count() == 1 and R.dense_ranks(children, [1.0, 0.0], 2, True).count() == 2
+    index = R.build_index(chunks.withColumnRenamed("breadcrumb", "title"), {"title": "title", "body": "text"})
+    fused = {r["doc_id"]: r["channels"] for r in R.search(index, "税费", semantic=R.dense_ranks(children, [1.0, 0.0])).collect()}
+    assert fused == {1: ["body", "semantic"], 2: ["semantic"]}
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(1, "long text", 0.5, ["a"]), (2, "x", 0.4, ["a"]), (3, "skip", 0.9, ["a"])], "doc_id long, text string, score double, channels array<string>")
 
@@ -90,6 +146,21 @@ def test_rerank(spark):
     assert [r["doc_id"] for r in R.rerank("q", hits, broken).collect()] == [3, 1, 2]
 
 
+def test_rerank_is_all_or_nothing_and_cached(spark):
+    hits = spark.createDataFrame([(i, "t" * i, 1.0 / i, ["a"]) for i in range(1, 9)], "doc_id long, text string, score double, channels array<string>").repartition(4)
+
+    def once(_, text):
+        if len(text) < 8:
+            raise RuntimeError("the pool was torn")
+        return text.str.len().astype("float64")
+
+    assert [r["doc_id"] for r in R.rerank("q", hits, once).collect()] == [8, 7, 6, 5, 4, 3, 2, 1]
+    store = spark.createDataFrame([], "hash string, score double")
+    first, fresh = R.rerank_cached("q", hits, once, store, "m")
+    again, none = R.rerank_cached("q", hits, lambda *_: 1 / 0, fresh, "m")
+    assert [r["doc_id"] for r in first.collect()] == [r["doc_id"] for r in again.collect()] and none.count() == 0 and fresh.count() == 8
+
+
 def test_embedding_cache(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "text string")
     store = spark.createDataFrame([("a", [9.0])], "t string, vector array<double>").select(F.sha1("t").alias("hash"), "vector")
