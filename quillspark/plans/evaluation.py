@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import MEMORY_LINE, as_money, half_up, json_object, memory_kind, money, shortened, shown_number, worth_remembering
 from ..operators import metrics, query
-from ..session import checkpoint_root
+from ..session import checkpoint_root, forget
 from ..sources.ledger import lineitem_ledger, orders_ledger
 from ..sources.tables import table
 from ..streaming.projections import CONSUMERS, Projection, event_of, run_projection, validated
@@ -305,6 +305,7 @@ def event_validate(spark: SparkSession, folder: str) -> DataFrame:
 def _streamed(spark: SparkSession, folder: str, consumer: str) -> DataFrame:
     """The projection of the whole stored ledger, its events streamed in micro-batches and then delivered a second time."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    forget(spark, root)
     event_of(table(spark, folder, "ledger_transactions")).select("value").repartition(3).write.parquet(f"{root}/events/first")
     projection = Projection(spark, f"{root}/state", consumer)
     messages = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{root}/events")

@@ -7,12 +7,19 @@ tables in a shared folder.  A micro-batch writes only folders named by its epoch
 overwriting what an interrupted attempt left, so a replay has no second effect.
 Receipts and results are read from epochs that were completed.
 
+The cost of a micro-batch doesn't grow with history: receipts lie in folders by
+the hash of their key and applied rows by account, merchant and amount, and a
+batch reads the folders of its own keys only.  ``compact`` puts the results of
+many epochs together.
+
 An invalid event, or one that contradicts an earlier one, stops the stream; its
-offset isn't committed.
+offset isn't committed.  Where messages have their place (``partition`` and
+``offset``), the events before an invalid one are applied first.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,21 +30,30 @@ from ..functions.columns import normalized_merchant
 from ..operators.ledger import monthly_summary
 from ..operators.sequences import account_duplicates
 from ..schema import EVENT_BYTES, EVENT_TYPE, EVENT_VERSION, LARGEST_AMOUNT, LIMITS, MONEY
+from ..storage import exists, read_mark, write_mark
 
 SOURCE = "id bigint, txn_id string, date string, merchant string, merchant_key string, amount string, category string, batch_id string"
 ENVELOPE = f"event_id string, event_type string, schema_version int, account string, occurred_at double, transaction struct<{SOURCE.replace(' bigint', ':bigint').replace(' string', ':string')}>"
 CONSUMERS = ("summary", "anomalies")
-APPLIED = "event_id string, payload_hash string, source_hash string, ledger_id bigint, account string, txn_id string, date date, merchant string, merchant_key string, amount decimal(20,2), epoch bigint"
+APPLIED = "event_id string, payload_hash string, source_hash string, ledger_id bigint, account string, txn_id string, date date, merchant string, merchant_key string, amount decimal(20,2)"
+RECEIPTS = "kind string, key string, content string"
+GROUP = ["account", "merchant_key", "amount"]
+#: Folders that receipts and applied rows are laid out in.
+BUCKETS = 64
+SUMMARY = "account string, month string, gross_expense decimal(20,2), credits decimal(20,2), net_expense decimal(20,2), transaction_count bigint"
+FINDINGS = "account string, merchant_key string, amount decimal(20,2), times int, txn_ids array<string>, dates array<date>, id string"
 
 
-def event_of(txns: DataFrame) -> DataFrame:
+def event_of(txns: DataFrame, occurred: Column | None = None) -> DataFrame:
     """(key, value) of the event of each stored transaction: JSON, keyed by account."""
+    if occurred is None:
+        occurred = F.unix_timestamp(F.col("date").cast("timestamp")).cast("double")
     row = F.struct(
         F.col("id"), "txn_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "merchant", "merchant_key", F.col("amount").cast("string").alias("amount"), "category", "batch_id"
     )
     envelope = F.struct(
         F.md5(F.concat_ws("|", F.lit("event"), F.col("id").cast("string"))).alias("event_id"), F.lit(EVENT_TYPE).alias("event_type"), F.lit(EVENT_VERSION).alias("schema_version"),
-        "account", F.unix_timestamp(F.col("date").cast("timestamp")).cast("double").alias("occurred_at"), row.alias("transaction"),
+        "account", occurred.alias("occurred_at"), row.alias("transaction"),
     )
     return txns.select(F.col("account").alias("key"), F.to_json(envelope, {"ignoreNullFields": "false"}).alias("value"))
 
@@ -62,15 +78,44 @@ def validated(messages: DataFrame) -> DataFrame:
         ("transaction.date", ~F.coalesce(F.date_format(F.try_to_timestamp(t("date"), F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == t("date"), F.lit(False))),
         ("transaction.amount", F.coalesce((F.char_length(t("amount")) > 64) | exact.isNull() | (exact != exact.cast("decimal(22,2)")) | (F.abs(exact) >= F.lit(LARGEST_AMOUNT).cast("decimal(22,2)")), F.lit(True))),
     ]
+    if "key" in messages.columns:  # events of an account stay in order only if they are keyed by it
+        checks.append(("key", ~F.col("key").cast("string").eqNullSafe(F.col("e.account"))))
+    place = [c for c in ("partition", "offset") if c in messages.columns]
     error = F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in checks))
     source = F.to_json(F.struct(F.col("e.account").alias("account"), *(t(c).alias(c) for c in ("id", "txn_id", "date", "merchant", "merchant_key")), exact.cast(MONEY).cast("string").alias("amount"), t("category").alias("category"), t("batch_id").alias("batch_id")))
     return parsed.select(
         F.col("e.event_id").alias("event_id"), F.hex("hash").alias("payload_hash"), F.sha2(source, 256).alias("source_hash"), t("id").alias("ledger_id"), F.col("e.account").alias("account"),
         t("txn_id").alias("txn_id"), F.try_to_timestamp(t("date"), F.lit("yyyy-MM-dd")).cast("date").alias("date"), t("merchant").alias("merchant"), t("merchant_key").alias("merchant_key"),
-        exact.cast(MONEY).alias("amount"), error.alias("error"),
+        exact.cast(MONEY).alias("amount"), error.alias("error"), *place,
     )
 
 
+def backfill(txns: DataFrame, batches: DataFrame, published: DataFrame) -> DataFrame:
+    """(key, value) of the events that stored transactions lack; they occurred when their batch was imported.
+
+    ``published`` has the ``ledger_id`` of the rows that have an event.  A second
+    run finds nothing more, and the transactions themselves stay as they are.
+    """
+    lacking = missing_events(txns, batches, published)
+    return event_of(lacking.drop("occurred_at"), F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6)
+
+
+def missing_events(txns: DataFrame, batches: DataFrame, published: DataFrame) -> DataFrame:
+    """Transactions of a listed batch that no event stands for, with their batch's ``created_at``."""
+    known = batches.select(F.col("id").alias("batch_id"), "created_at")
+    there = published.where(F.col("ledger_id").isNotNull()).select(F.col("ledger_id").alias("id")).distinct()
+    return txns.join(there, "id", "left_anti").join(known, "batch_id")
+
+
+def buckets_of(rows: DataFrame, *key: str) -> list[int]:
+    """The folders that rows fall into, at most BUCKETS."""
+    return [r[0] for r in rows.select(bucket(*key)).distinct().collect()]
+
+
+def bucket(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
 class Projection:
     """One consumer's receipts and results in a folder."""
 
@@ -80,57 +125,100 @@ class Projection:
         self.spark, self.consumer, self.folder = spark, consumer, f"{folder.rstrip('/')}/{consumer}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        """A table laid out by bucket and epoch."""
+        there = exists(self.spark, f"{self.folder}/{name}")
+        schema += ", bucket int, epoch bigint"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def _write(self, name: str, rows: DataFrame, epoch: int, *key: str) -> None:
+        """Write the rows of an epoch; what an interrupted attempt at it wrote is replaced."""
+        laid = rows.withColumn("bucket", bucket(*key)).withColumn("epoch", F.lit(epoch).cast("long")).hint("rebalance", "bucket")
+        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{self.folder}/{name}")
 
     def applied(self, before: int | None = None) -> DataFrame:
         rows = self._read("applied", APPLIED)
         return rows if before is None else rows.where(F.col("epoch") < before)
 
+    def receipts(self) -> DataFrame:
+        """(kind, key, content) of every event and ledger row that was seen, applied or not."""
+        return self._read("receipts", RECEIPTS)
+
     def process(self, batch: DataFrame, epoch: int) -> None:
         """Apply a micro-batch: events known by id or ledger row are skipped, contradictions raise."""
         events = validated(batch).persist()
         try:
             wrong = events.where(F.col("error").isNotNull()).select("event_id", "error").first()
+            if wrong and {"partition", "offset"} <= set(events.columns):
+                stops = events.where(F.col("error").isNotNull()).groupBy("partition").agg(F.min("offset").alias("stop"))  # a row for each partition of the topic
+                self._apply(events.join(stops, "partition", "left").where(F.col("stop").isNull() | (F.col("offset") < F.col("stop"))), epoch)
             if wrong:
                 raise InvalidEvent(f"event {wrong['event_id']}: {wrong['error']}")
-            earlier = self.applied(epoch)
-            for key, content in (("event_id", "payload_hash"), ("ledger_id", "source_hash")):
-                seen = events.select(key, content).unionByName(earlier.select(key, content)).groupBy(key).agg((F.min(content) != F.max(content)).alias("clash"))
-                bad = seen.join(events.select(key).distinct(), key, "left_semi").where("clash").first()
-                if bad:
-                    raise InvalidEvent(f"{key} {bad[key]} came again with other content")
-            fields = [c for c in events.columns if c != "error"]
-            first = events.groupBy("ledger_id").agg(F.min(F.struct(*fields)).alias("e")).select("e.*")
-            new = first.join(earlier.select("ledger_id"), "ledger_id", "left_anti").withColumn("epoch", F.lit(epoch))
-            new.select(*(f.split()[0] for f in APPLIED.replace("decimal(20,2)", "decimal").split(", "))).write.mode("overwrite").parquet(f"{self.folder}/applied/batch={epoch}")
-            self._project(epoch)
+            self._apply(events, epoch)
         finally:
             events.unpersist()
 
-    def _project(self, epoch: int) -> None:
-        new = self.applied().where(F.col("epoch") == epoch)
+    def _apply(self, events: DataFrame, epoch: int) -> None:
+        claim = lambda kind, key, content: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), F.col(content).alias("content"))
+        claims = events.select(F.explode(F.array(claim("event", "event_id", "payload_hash"), claim("ledger", "ledger_id", "source_hash"))).alias("c")).select("c.*").distinct().persist()
+        try:
+            near = self.receipts().where(F.col("bucket").isin(buckets_of(claims, "kind", "key")) & (F.col("epoch") < epoch))
+            earlier = near.join(claims.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("kind", "key", "content")
+            bad = earlier.unionByName(claims).groupBy("kind", "key").agg((F.min("content") != F.max("content")).alias("clash")).where("clash").first()
+            if bad:
+                raise InvalidEvent(f"{bad['kind']} {bad['key']} came again with other content")
+            fields = [f.split()[0] for f in APPLIED.replace("decimal(20,2)", "decimal").split(", ")]
+            known = earlier.where("kind = 'ledger'").select(F.col("key").cast("long").alias("ledger_id"))
+            new = events.groupBy("ledger_id").agg(F.min(F.struct(*fields)).alias("e")).select("e.*").join(known, "ledger_id", "left_anti").select(*fields).persist()
+            try:
+                self._write("applied", new, epoch, *GROUP)
+                self._project(new, epoch)
+                # Receipts come last: a batch that has them is done.
+                self._write("receipts", claims, epoch, "kind", "key")
+            finally:
+                new.unpersist()
+        finally:
+            claims.unpersist()
+
+    def _project(self, new: DataFrame, epoch: int) -> None:
         if self.consumer == "summary":
             # Sums of the epoch's own rows; readers add epochs up.
-            monthly_summary(new).write.mode("overwrite").parquet(f"{self.folder}/result/batch={epoch}")
-        else:
-            # All rows of the accounts that changed; readers take an account's last epoch.
-            changed = new.select("account").distinct()
-            rows = self.applied(epoch + 1).join(changed, "account", "left_semi")
-            found = account_duplicates(rows).withColumn("id", F.sha2(F.to_json(F.struct("account", "merchant_key", "amount", "txn_ids", "dates")), 256))
-            marked = changed.join(found, "account", "left").withColumn("epoch", F.lit(epoch).cast("long"))
-            marked.write.mode("overwrite").parquet(f"{self.folder}/result/batch={epoch}")
-
-    def result(self) -> DataFrame:
+            self._write("result", monthly_summary(new), epoch, "account", "month")
+            return
+        # All rows of the groups that changed; readers take a group's last epoch.
+        changed = new.select(*GROUP).distinct()
+        rows = self.applied(epoch + 1).where(F.col("bucket").isin(buckets_of(changed, *GROUP))).join(changed, GROUP, "left_semi")
+        found = account_duplicates(rows).withColumn("id", F.sha2(F.to_json(F.struct(*GROUP, "txn_ids", "dates")), 256))
+        self._write("result", changed.join(found, GROUP, "left").select(*(f.split()[0] for f in FINDINGS.replace("decimal(20,2)", "decimal").split(", "))), epoch, *GROUP)
+
+    def _current(self) -> DataFrame:
+        schema = SUMMARY if self.consumer == "summary" else FINDINGS
+        mark = read_mark(self.spark, f"{self.folder}/compacted")
+        rows = self._read("result", schema)
+        if mark is None:
+            return rows.drop("bucket")
+        name, upto = mark.split()
+        together = self.spark.read.schema(f"{schema}, epoch bigint").parquet(f"{self.folder}/{name}")
+        return rows.where(F.col("epoch") > int(upto)).drop("bucket").unionByName(together)
+
+    def _latest(self) -> DataFrame:
+        rows = self._current()
         if self.consumer == "summary":
-            parts = self._read("result", "account string, month string, gross_expense decimal(20,2), credits decimal(20,2), net_expense decimal(20,2), transaction_count bigint")
             money = [F.sum(c).cast(MONEY).alias(c) for c in ("gross_expense", "credits", "net_expense")]
-            return parts.groupBy("account", "month").agg(*money, F.sum("transaction_count").alias("transaction_count"))
-        rows = self._read("result", "account string, merchant_key string, amount decimal(20,2), times int, txn_ids array<string>, dates array<date>, id string, epoch bigint")
-        last = rows.groupBy("account").agg(F.max("epoch").alias("epoch"))
-        return rows.join(last, ["account", "epoch"], "left_semi").where(F.col("id").isNotNull()).drop("epoch")
+            return rows.groupBy("account", "month").agg(*money, F.sum("transaction_count").alias("transaction_count"))
+        last = rows.groupBy(*GROUP).agg(F.max("epoch").alias("epoch"))
+        return rows.join(last, [*GROUP, "epoch"], "left_semi").where(F.col("id").isNotNull()).drop("epoch")
+
+    def result(self) -> DataFrame:
+        return self._latest()
+
+    def compact(self) -> None:
+        """Put the results so far into one table. Run between micro-batches; readers see either state."""
+        last = self._current().agg(F.max("epoch")).first()[0]
+        if last is None:
+            return
+        name = f"compacted-{uuid.uuid4().hex}"
+        self._latest().withColumn("epoch", F.lit(last).cast("long")).write.parquet(f"{self.folder}/{name}")
+        write_mark(self.spark, f"{self.folder}/compacted", f"{name} {last}")
 
 
 def run_projection(messages: DataFrame, projection: Projection, checkpoint: str, available_now: bool = True):
@@ -144,7 +232,7 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """The committed events of a topic; needs the Kafka connector on the class path."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     source = reader.option("startingOffsets", "earliest").option("kafka.isolation.level", "read_committed").load()
-    return source.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    return source.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "partition", "offset")
 
 
 def to_kafka(events: DataFrame, servers: str, topic: str, checkpoint: str):

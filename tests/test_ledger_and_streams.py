@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.errors import IngestError, InvalidEvent, LedgerConflict, QueryError
 from quillspark.operators import ledger as L
 from quillspark.operators.ledger import LedgerStore, category_state, classified, content_hash, monthly_summary, with_overrides
+from quillspark.streaming import projections as P
 from quillspark.streaming.projections import CONSUMERS, Projection, event_of, run_projection, validated
 
 
@@ -171,6 +172,58 @@ def test_validation(spark, value, error):
     assert validated(messages(spark, value)).first()["error"] == error
 
 
+def test_keys_and_places_of_messages(spark, tmp_path):
+    rows = [("card", event(1), 0, 5), ("other", event(2), 0, 6), ("card", event(3), 0, 7), ("card", event(4), 1, 1)]
+    batch = spark.createDataFrame([(k, json.dumps(e), *place) for k, e, *place in rows], "key string, value string, partition int, offset long")
+    assert [r["error"] for r in validated(batch).orderBy("partition", "offset").collect()] == [None, "key", None, None]
+    projection = Projection(spark, str(tmp_path), "summary")
+    for _ in range(2):  # the batch is tried again
+        with pytest.raises(InvalidEvent):
+            projection.process(batch, 0)
+        # What came before the bad one in its partition, and the other partition.
+        assert projection.result().first()["transaction_count"] == 2
+
+
+def test_every_event_leaves_receipts_and_batches_read_their_own_folders(spark, tmp_path):
+    projection = Projection(spark, str(tmp_path), "summary")
+    projection.process(messages(spark, *(event(i) for i in range(1, 40))), 0)
+    again = event(7, event_id="f" * 32)
+    projection.process(messages(spark, again), 1)
+    assert projection.receipts().where("kind = 'event'").count() == 40 and projection.result().agg(F.sum("transaction_count")).first()[0] == 39
+    with pytest.raises(InvalidEvent):  # the second identifier is known too
+        projection.process(messages(spark, event(9, event_id="f" * 32)), 2)
+    wanted = set(P.buckets_of(projection.receipts().where(F.col("key").isin("7", "f" * 32, event(7)["event_id"])), "kind", "key"))
+    for folder in (tmp_path / "summary" / "receipts").glob("bucket=*"):
+        if int(folder.name[7:]) not in wanted:
+            for file in folder.rglob("*.parquet"):
+                file.write_bytes(b"unreadable")
+    projection.process(messages(spark, again, event(7)), 3)
+
+
+@pytest.mark.parametrize("consumer", CONSUMERS)
+def test_compacted_results_are_the_same(spark, tmp_path, consumer):
+    projection = Projection(spark, str(tmp_path), consumer)
+    projection.compact()
+    for epoch in range(3):
+        projection.process(messages(spark, event(2 * epoch + 1, "10.00"), event(2 * epoch + 2, "10.00")), epoch)
+        if epoch == 1:
+            projection.compact()
+    before = sorted(map(str, projection.result().collect()))
+    projection.compact()
+    assert before and sorted(map(str, projection.result().collect())) == before
+
+
+def test_backfill_gives_each_row_one_event(spark, bill):
+    stored = bill([(str(i), date(2026, 1, 1 + i), "TARGET #1", "5.00", "card", None) for i in range(4)]).withColumn("id", F.col("seq") + 1).withColumn("merchant_key", F.lit("target")).withColumn("batch_id", F.when(F.col("seq") < 3, "b").otherwise("unlisted"))
+    batches = spark.createDataFrame([("b", "2026-02-01 00:00:00.5")], "id string, at string").select("id", F.col("at").cast("timestamp_ntz").alias("created_at"))
+    published = spark.createDataFrame([(2,), (None,), (2,)], "ledger_id long")
+    rows = validated(P.backfill(stored, batches, published)).collect()
+    assert sorted(r["ledger_id"] for r in rows) == [1, 3] and all(r["error"] is None for r in rows)
+    assert json.loads(P.backfill(stored, batches, published).first()["value"])["occurred_at"] == 1769904000.5
+    known = published.unionByName(spark.createDataFrame([(1,), (3,)], "ledger_id long"))
+    assert P.backfill(stored, batches, known).count() == 0
+
+
 def test_two_streams_over_files(spark, tmp_path, bill):
     stored = bill([(str(i), date(2026, 1, 1 + i), "TARGET #1", "5.00", "card", None) for i in range(6)]).withColumn("id", F.col("seq") + 1).withColumn("merchant_key", F.lit("target")).withColumn("batch_id", F.lit("b"))
     event_of(stored).select("value").repartition(3).write.parquet(f"{tmp_path}/in")
