@@ -1,11 +1,12 @@
 """Repair of text from scanned pages.
 
-Lines are labelled by a left-to-right hidden Markov model: running heads and
-page numbers may open a page, then body lines and breaks alternate, then heads
-and numbers may close it.  What a line looks like is measured over the whole
-table: how often its letters stand at the edge of a scanned page and how often
-elsewhere, whether a clean page has it, and whether its number moves in step
-with the page.
+Lines are labelled by a left-to-right hidden Markov model (``hmm``): running
+heads and page numbers may open a page, then body lines and breaks alternate,
+then heads and numbers may close it.  Its transitions and emissions are fitted
+by Viterbi training to the pages themselves.  What a line looks like is measured over
+the whole table: how often its letters stand near the ends of scanned pages and
+how often elsewhere, whether a clean page has it, whether its number moves in
+step with the page; and on its page: its length, ending and indent.
 
 Clean pages also give the words and characters that there are.  A line end is a
 word break if the two parts join to such a word and the hyphenated form is none.
@@ -16,7 +17,6 @@ vocabulary is sent to all tasks.
 
 from __future__ import annotations
 
-import math
 import re
 
 import pandas as pd
@@ -24,11 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, written
+from .hmm import BLANK, FEATURES, KINDS, LineModel, batches, packed
 from .names import swap_distance
 
-#: Lines at either end of a page that may be running heads or page numbers.
-EDGE = 2
+#: Lines that aren't blank at either end of a page whose letters and numbers are compared with those of other pages.
+ZONE = 4
+#: One part in so many is a good share: of a source's pages that a head stands on, or that have a number in step.
+SHARE = 5
+#: Pages that the model is fitted to, at most; which ones is decided by a hash of their number.
+FIT_PAGES = 10_000
 # Marks that end a broken word; the last three are never part of a word.
 MARKS = "-‐–¬\xad"
 HARD_MARKS = "¬\xad"
@@ -82,58 +87,6 @@ def head_key(line: Column) -> Column:
     return F.regexp_replace(folded(bare), r"[^\p{L}]", "")
 
 
-STATES = ["top_head", "top_number", "body", "break", "end_head", "end_number"]
-_INSIDE = {"body": {"body": 0.8, "break": 0.17, "end_head": 0.015, "end_number": 0.015}, "break": {"body": 0.8, "break": 0.17, "end_head": 0.015, "end_number": 0.015}}
-_TOP = {"top_head": 0.15, "top_number": 0.15, "body": 0.5, "break": 0.2}
-_END = {"end_head": 0.5, "end_number": 0.4, "break": 0.1}
-START = {"top_head": 0.3, "top_number": 0.2, "body": 0.3, "break": 0.2}
-#: Probabilities of the next line's state; others don't occur.
-NEXT = {"top_head": _TOP, "top_number": _TOP, **_INSIDE, "end_head": _END, "end_number": _END}
-LOG_NEXT = {a: {b: math.log(p) for b, p in row.items()} for a, row in NEXT.items()}
-LOG_START = {a: math.log(p) for a, p in START.items()}
-NEVER = -1e9
-
-
-def emissions(line: str, head: float, number: float) -> dict[str, float]:
-    """Log-likelihood ratio of each state, given how likely the line is a head or a number."""
-    blank = not line.strip()
-    near = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
-    return {
-        "body": NEVER if blank else 0.0,
-        "break": 0.0 if blank else NEVER,
-        **{f"{end}_head": NEVER if blank else near(head) for end in ("top", "end")},
-        **{f"{end}_number": NEVER if blank else near(number) for end in ("top", "end")},
-    }
-
-
-def decode(lines: list[str], heads: dict[int, float], numbers: dict[int, float]) -> list[str]:
-    """The likeliest states of a page's lines (Viterbi)."""
-    paths: list[dict[str, tuple[float, str]]] = []
-    for i, line in enumerate(lines):
-        seen = emissions(line, heads.get(i, 0.0), numbers.get(i, 0.0))
-        row = {}
-        for state in STATES:
-            if seen[state] == NEVER:
-                continue
-            if not paths:
-                if state in LOG_START:
-                    row[state] = (LOG_START[state] + seen[state], "")
-                continue
-            before = [(score + LOG_NEXT[a][state], a) for a, (score, _) in paths[-1].items() if state in LOG_NEXT[a]]
-            if before:
-                score, a = max(before)
-                row[state] = (score + seen[state], a)
-        paths.append(row)
-    if not lines:
-        return []
-    state = max(paths[-1], key=lambda s: paths[-1][s][0])
-    states = [state]
-    for row in reversed(paths[1:]):
-        state = row[state][1]
-        states.append(state)
-    return states[::-1]
-
-
 @F.pandas_udf(T.StructType([T.StructField("style", T.StringType()), T.StructField("value", T.LongType())]))
 def page_numbers(lines: pd.Series) -> pd.DataFrame:
     found = [page_number(x) or (None, None) for x in lines]
@@ -142,24 +95,65 @@ def page_numbers(lines: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def near_head(keys: pd.Series, heads: pd.Series) -> pd.Series:
-    """Whether a line's key is a source's running head up to one wrong character in six."""
+    """Whether a line's key is a source's running head up to one wrong character in five."""
 
     def one(key, known):
         if known is None or not key or len(key) < 4:
             return False
-        most = max(1, len(key) // 6)
+        most = (len(key) + 4) // 5
         return any(swap_distance(key, h, most) <= most for h in known)
 
     return pd.Series([one(k, h) for k, h in zip(keys, heads)], dtype=bool)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def labels(lines: pd.Series, edges: pd.Series) -> pd.Series:
+#: Values of a line's features: its letters and its number.
+OTHER, CLEAN, RUNNING, NEARLY = range(4)
+NO_FIGURE, NAMED, IN_STEP, IN_ROMAN, BARE = range(5)
+
+
+def page_codes(lines: list[str], known: dict[int, tuple[int, int]]) -> list[int]:
+    """The features of each line of a page as one number, BLANK for a blank line; ``known`` has letters and number of the lines near the ends."""
+    widths = {i: width(line.strip()) for i, line in enumerate(lines) if line.strip()}
+    widest = max(widths.values(), default=1)
+    codes = []
+    for i, line in enumerate(lines):
+        if i not in widths:
+            codes.append(BLANK)
+            continue
+        share = widths[i] / widest
+        lead = len(line) - len(line.lstrip())
+        values = (
+            *known.get(i, (OTHER, NO_FIGURE)), (share >= 0.35) + (share >= 0.75),
+            int(line.rstrip()[-1] in MARKS), (lead > 0) + (lead > 4),
+        )
+        code = 0
+        for value, size in zip(reversed(values), reversed(FEATURES.values())):
+            code = code * size + value
+        codes.append(code)
+    return codes
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def coded(lines: pd.Series, zones: pd.Series) -> pd.Series:
     def one(page, known):
-        known = [] if known is None else known
-        return decode(list(page), {e["line_no"]: e["head"] for e in known}, {e["line_no"]: e["number"] for e in known})
+        return page_codes(list(page), {} if known is None else {z["line_no"]: (z["letters"], z["figure"]) for z in known})
+
+    return pd.Series([one(*row) for row in zip(lines, zones)])
+
+
+def labels_by(model: LineModel):
+    """The labels of pages of codes, by a fitted model."""
 
-    return pd.Series([one(*row) for row in zip(lines, edges)])
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def labels(codes: pd.Series) -> pd.Series:
+        pages = [list(c) for c in codes]
+        found: list = [None] * len(pages)
+        for some in batches(pages):
+            for i, states in zip(some, model.decode(packed([pages[i] for i in some]))):
+                found[i] = [KINDS[s] for s in states[: len(pages[i])]]
+        return pd.Series(found)
+
+    return labels
 
 
 #: A run of letters, and of characters that stand in for letters; Chinese is judged by character instead.
@@ -185,47 +179,58 @@ class ScannedPages:
             F.coalesce(F.col("method").contains("ocr"), F.lit(False)).alias("scanned"),
             F.split("text", "\n").alias("lines"),
         )
-        self.lines = cut(self._labelled())
+        self.lines = written(self._labelled())
         self.kinds = cut(self._kinds())
 
-    def _edges(self) -> DataFrame:
-        """(part_id, line_no, head, number): the chances of the lines at the edges of scanned pages."""
-        spread = self.parts.select("source", "part_id", "page", "scanned", F.size("lines").alias("n"), F.posexplode("lines").alias("line_no", "line"))
-        keyed = spread.withColumn("key", head_key(F.col("line"))).withColumn("hash", F.xxhash64("key")).withColumn(
-            "edge", F.col("scanned") & ((F.col("line_no") < EDGE) | (F.col("line_no") >= F.col("n") - EDGE))
-        )
-        # A running head stands on two pages or more of nearly every source that has it, at the edge, and on no clean page.
-        page = F.when(F.col("edge"), F.col("part_id"))
+    def _zones(self) -> DataFrame:
+        """(part_id, line_no, letters, figure): what the lines near the ends of scanned pages are like on other pages."""
+        spread = self.parts.select("source", "part_id", "page", "scanned", "lines", F.posexplode("lines").alias("line_no", "line"))
+        # How many lines that aren't blank stand before and after a line, as far as it matters.
+        shown = lambda part: F.size(F.filter(part, lambda x: F.trim(x) != ""))
+        before = shown(F.slice("lines", 1, F.col("line_no")))
+        after = shown(F.slice("lines", F.col("line_no") + 2, F.greatest(F.size("lines") - F.col("line_no") - 1, F.lit(0))))
+        near = F.col("scanned") & ((before < ZONE) | (after < ZONE))
+        keyed = spread.where(F.trim("line") != "").withColumn("zone", near).drop("lines").withColumn("key", head_key(F.col("line"))).withColumn("hash", F.xxhash64("key"))
+        # A running head stands on a good share of the pages, two or more, of nearly every source that has it, near the end, and on no clean page.
+        page = F.when(F.col("zone"), F.col("part_id"))
+        sizes = self.parts.where("scanned").groupBy("source").agg(F.count("*").alias("pages"))
         by_source = keyed.where("key <> ''").groupBy("hash", "source").agg(
-            (F.count_if("edge") > 0).cast("int").alias("there"), (F.min(page) < F.max(page)).alias("again"),
-            F.count(F.when(F.col("edge"), 1)).alias("at_edge"), F.count(F.when(~F.col("edge") & F.col("scanned"), 1)).alias("inside"), F.count(F.when(~F.col("scanned"), 1)).alias("clean"),
+            (F.count_if("zone") > 0).cast("int").alias("there"), (F.min(page) < F.max(page)).alias("several"),
+            F.count(F.when(F.col("zone"), 1)).alias("near"), F.count(F.when(~F.col("zone") & F.col("scanned"), 1)).alias("inside"), F.count(F.when(~F.col("scanned"), 1)).alias("clean"),
         )
-        counts = by_source.groupBy("hash").agg(
-            F.count(F.when(F.col("again"), 1)).alias("repeated"), F.sum("there").alias("sources"),
-            F.sum("at_edge").alias("at_edge"), F.sum("inside").alias("inside"), F.sum("clean").alias("clean"),
+        again = F.col("several") & (F.col("near") * SHARE >= F.col("pages"))
+        counts = by_source.join(sizes, "source", "left").groupBy("hash").agg(
+            F.count(F.when(again, 1)).alias("repeated"), F.sum("there").alias("sources"), F.sum("near").alias("near"), F.sum("inside").alias("inside"), F.sum("clean").alias("clean"),
         )
-        whole = ~F.col("line").rlike(rf"[{MARKS}][ \t]*$")
-        running = (F.col("clean") == 0) & (F.col("at_edge") > F.col("inside")) & (F.col("repeated") > 0) & (F.col("repeated") * 3 >= F.col("sources"))
-        heads = counts.where("at_edge > 0").select("hash", F.when(running, 0.999).when(F.col("clean") > 0, 0.001).otherwise(0.02).alias("head"))
-        edges = keyed.where("edge").join(heads, "hash", "left").withColumn("number", page_numbers("line"))
-        known = edges.where("head > 0.5").groupBy("source").agg(F.collect_set("key").alias("heads"))  # a source has a few heads
-        steps = edges.where(F.col("number.style").isNotNull()).select("source", "part_id", "number.style", (F.col("number.value") - F.col("page")).alias("step"))
-        steady = steps.groupBy("source", "style", "step").agg((F.min("part_id") < F.max("part_id")).alias("again"))
+        running = (F.col("clean") == 0) & (F.col("near") > F.col("inside")) & (F.col("repeated") > 0) & (F.col("repeated") * 3 >= F.col("sources"))
+        letters = counts.where("near > 0").select("hash", F.when(running, RUNNING).when(F.col("clean") > 0, CLEAN).otherwise(OTHER).alias("letters")).where(F.col("letters") != OTHER)
+        zones = keyed.where("zone").join(letters, "hash", "left").withColumn("number", page_numbers("line"))
+        # A line without letters is no head, like one that a clean page has.
+        zones = zones.withColumn("letters", F.when(F.col("key") == "", CLEAN).otherwise(F.coalesce("letters", F.lit(OTHER))))
+        known = zones.where(F.col("letters") == RUNNING).groupBy("source").agg(F.collect_set("key").alias("heads"))  # a source has a few heads
+        steps = zones.where(F.col("number.style").isNotNull()).select("source", "part_id", "number.style", (F.col("number.value") - F.col("page")).alias("step"))
+        # Numbers of a table are in step with a page or two by chance; those of pages on a good share of the source's pages.
+        met = steps.groupBy("source", "style", "step").agg((F.min("part_id") < F.max("part_id")).alias("several"), F.count("*").alias("n"))
+        steady = met.join(sizes, "source").select("source", "style", "step", (F.col("several") & (F.col("n") * SHARE >= F.col("pages"))).alias("again"))
         judged = (
-            edges.withColumn("style", F.col("number.style")).withColumn("step", F.col("number.value") - F.col("page"))
+            zones.withColumn("style", F.col("number.style")).withColumn("step", F.col("number.value") - F.col("page"))
             .join(steady, ["source", "style", "step"], "left").join(known, "source", "left")
         )
-        sure = F.col("style").isin("pages", "framed")
-        number = F.when(F.col("style").isNull(), 0.0).when(sure | F.col("again"), 0.999).when(F.col("style") == "roman", 0.995).otherwise(0.05)
-        head = F.when((F.coalesce("head", F.lit(0.0)) < 0.5) & near_head("key", "heads") & whole & (F.coalesce("head", F.lit(0.0)) != 0.001), 0.99).otherwise(F.coalesce("head", F.lit(0.0)))
-        return judged.select("part_id", "line_no", F.when(F.col("style").isNull() & whole, head).otherwise(0.0).alias("head"), number.alias("number")).distinct()
+        figure = (
+            F.when(F.col("style").isNull(), NO_FIGURE).when(F.col("style").isin("pages", "framed"), NAMED).when(F.col("again"), IN_STEP).when(F.col("style") == "roman", IN_ROMAN).otherwise(BARE)
+        )
+        like = F.when(F.col("style").isNotNull(), OTHER).when((F.col("letters") == OTHER) & near_head("key", "heads"), NEARLY).otherwise(F.col("letters"))
+        return judged.select("part_id", "line_no", like.alias("letters"), figure.alias("figure")).distinct()
 
     def _labelled(self) -> DataFrame:
         """(part_id, source, page, scanned, line_no, line, label): every line; labels are null on clean pages."""
-        edges = self._edges().groupBy("part_id").agg(F.collect_list(F.struct("line_no", "head", "number")).alias("edges"))
-        scanned = self.parts.where("scanned").join(edges, "part_id", "left").withColumn("labels", labels("lines", "edges"))
+        zones = self._zones().groupBy("part_id").agg(F.collect_list(F.struct("line_no", "letters", "figure")).alias("zones"))  # 2 ZONE lines of a page
+        pages = written(self.parts.where("scanned").join(zones, "part_id", "left").withColumn("codes", coded("lines", "zones")).drop("zones"))
+        some = pages.select("part_id", "codes").orderBy(F.xxhash64("part_id"), "part_id").limit(FIT_PAGES).select("codes").collect()
+        self.model = LineModel.prior().fitted([r["codes"] for r in some])
+        scanned = pages.withColumn("labels", labels_by(self.model)("codes"))
         rows = scanned.select("part_id", "source", "page", "scanned", F.posexplode(F.arrays_zip("lines", "labels")).alias("line_no", "l")).select(
-            "part_id", "source", "page", "scanned", "line_no", F.col("l.lines").alias("line"), F.regexp_replace("l.labels", "^(top|end)_", "").alias("label")
+            "part_id", "source", "page", "scanned", "line_no", F.col("l.lines").alias("line"), F.col("l.labels").alias("label")
         )
         clean = self.parts.where(~F.col("scanned")).select("part_id", "source", "page", "scanned", F.posexplode("lines").alias("line_no", "line")).withColumn(
             "label", F.when(F.trim("line") == "", "break").otherwise("body")
@@ -251,7 +256,7 @@ class ScannedPages:
             "part_id", "scanned", "z.own.line_no", "z.own.line", found(F.col("z.own.line"), ending, 1).alias("left"), found(F.col("z.own.line"), ending, 2).alias("mark"),
             found(F.col("z.next"), opening, 1).alias("right"), found(F.col("z.last"), ending, 1).alias("left_before"),
         )
-        near = cut(near)
+        near = written(near)
         broken = near.withColumn("joined", F.when((F.col("left") != "") & (F.col("right") != "") & F.col("right").rlike(r"^\p{Ll}|^[\d!|$@†]+\p{Ll}"), F.concat("left", "right")))
         scanned = broken.where("scanned")
 
@@ -261,9 +266,9 @@ class ScannedPages:
         compounds = clean.select(F.explode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+(?:-\p{L}+)+)"), 1)).alias("compound")).distinct()
         characters = clean.select(F.explode(F.array_distinct(F.split("line", ""))).alias("character")).distinct()
         # Words that can have been meant: those that clean pages write in lower case, or on many pages with a capital, unlike names.
-        written = clean.select("part_id", F.explode(words(F.col("line"))).alias("word")).groupBy("word").agg(F.count_distinct("part_id").alias("pages"))
+        used = clean.select("part_id", F.explode(words(F.col("line"))).alias("word")).groupBy("word").agg(F.count_distinct("part_id").alias("pages"))
         enough = max(2, clean.select("part_id").distinct().count() * NAME_SHARE)
-        usual = written.where(F.col("word").rlike(r"^\p{Ll}") | (F.col("pages") >= enough))
+        usual = used.where(F.col("word").rlike(r"^\p{Ll}") | (F.col("pages") >= enough))
         meant = usual.select(F.lower("word").alias("word"), "pages", folded(F.col("word")).alias("form"), F.col("word").rlike(r"^\p{Lu}").alias("capital"))
         forms = meant.select("form").distinct()
 
@@ -300,14 +305,16 @@ class ScannedPages:
         tails = scanned.where("left_before <> ''").select("part_id", "line_no", F.lower(found(F.col("line"), opening, 1)).alias("tail"), "left_before").where("tail <> ''")
         whole = tails.withColumn("word", F.lower(F.concat("left_before", "tail"))).withColumn("form", folded(F.col("word"))).join(vocabulary, "word", "left_anti")
         by_tail = whole.join(best(meant), "form").where(~F.endswith("right", F.col("tail"))).select("part_id", "line_no")
-        seen = scanned.select("part_id", "line_no", F.explode(F.array_distinct(F.split(F.regexp_replace("line", rf"[{MARKS}]", ""), ""))).alias("character"))
-        known = characters.agg(F.count("*")).first()[0]
-        strange = seen.where(F.col("character").rlike(r"[^\x00-\x7f]|[@!|$]")).join(characters, "character", "left_anti") if known else seen.limit(0)
+        # The characters there are, at most as many as Unicode has, are taken out of each line at once.
+        known = "".join(sorted(r[0] for r in characters.where("character <> ''").collect()))
+        left = F.translate(F.regexp_replace("line", rf"[{MARKS}]", ""), known, "")
+        strange = scanned.where(left.rlike(r"[^\x00-\x7f]|[@!|$]")).select("part_id", "line_no") if known else scanned.select("part_id", "line_no").limit(0)
         # A name may break within a line of Chinese text, so a letter alone at its ends is no number.
         inner = F.when(F.col("line").rlike(r"\p{IsHan}"), F.regexp_replace("line", r"^[A-Za-z](?![\p{IsLatin}\d.,])|(?<![\p{IsLatin}\d.,])[A-Za-z]$", "")).otherwise(F.col("line"))
-        by_number = scanned.where(F.regexp_replace(inner, r"\b(sav|card|chk)-", "").rlike(ODD_NUMBER)).select("part_id", "line_no")
+        # The letters of a code such as ab-1234 are none of its number.
+        by_number = scanned.where(F.regexp_replace(inner, r"\b\p{Ll}{2,}-(?=\d)", "").rlike(ODD_NUMBER)).select("part_id", "line_no")
         self.near = near
-        misread = by_word.select("part_id", "line_no").unionByName(by_tail).unionByName(strange.select("part_id", "line_no")).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
+        misread = by_word.select("part_id", "line_no").unionByName(by_tail).unionByName(strange).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
 
         labelled = self.lines.where("scanned").select("part_id", "line_no", "label").distinct()
         found = labelled.join(hyphen.distinct(), ["part_id", "line_no"], "left").join(misread, ["part_id", "line_no"], "left")

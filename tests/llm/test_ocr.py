@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
+from quillspark.llm import hmm as H
 from quillspark.llm import ocr as O
 
 SCHEMA = "part_id long, source string, location string, method string, page int, slide int, text string, label string, kind string"
@@ -57,23 +60,52 @@ def test_page_numbers(line, value):
     assert O.page_number(line) == value
 
 
+def code(**values):
+    made = 0
+    for name, size in reversed(H.FEATURES.items()):
+        made = made * size + values.get(name, 0)
+    return made
+
+
 def test_decoding_is_the_best_path():
     rng = random.Random(2)
+    model = H.LineModel.prior()
     for _ in range(30):
-        lines = [rng.choice(["x", ""]) for _ in range(4)]
-        heads, numbers = ({i: rng.random() for i in range(4)} for _ in range(2))
-        seen = [O.emissions(x, heads[i], numbers[i]) for i, x in enumerate(lines)]
+        pages = [[rng.choice([H.BLANK, code(letters=rng.randrange(4), figure=rng.randrange(5), length=rng.randrange(3))]) for _ in range(rng.randrange(1, 5))] for _ in range(3)]
+        packed = H.packed(pages)
+        with np.errstate(divide="ignore"):
+            here, start, step = np.log(model.likelihood(packed)), np.log(model.start), np.log(model.step)
+        found = model.decode(packed)
+
+        def score(p, path, here=here, start=start, step=step):
+            return start[path[0]] + here[p, 0, path[0]] + sum(step[a, b] + here[p, t, b] for t, (a, b) in enumerate(zip(path, path[1:]), 1))
+
+        for p, page in enumerate(pages):
+            best = max(score(p, path) for path in itertools.product(range(len(H.STATES)), repeat=len(page)))
+            assert score(p, list(found[p, : len(page)])) == pytest.approx(best)
+
+
+def test_the_model_follows_the_pages():
+    head, number, body = code(letters=2), code(figure=2), code(length=2)
+    pages = [[head, H.BLANK, body, body, body, number]] * 400 + [[body, body, body, H.BLANK, body, number]] * 100
+    model = H.LineModel.prior().fitted(pages)
+    assert [H.KINDS[s] for s in model.decode(H.packed(pages[:1]))[0]] == ["head", "break", "body", "body", "body", "number"]
+    assert model.start[0] > 0.5 > H.LineModel.prior().start[0] and model.step[2, 5] > H.LineModel.prior().step[2, 5]
+    assert H.LineModel.prior().fitted([]).start[0] == H.START["top_head"]
+    assert sorted(i for some in H.batches(pages, 12) for i in some) == list(range(500))
+
+
+def test_heads_of_three_lines_and_blank_lines_at_the_end(spark):
+    text = "words of the refund that came in June are here\n" * 6
+    rows = [(i, "a", "ocr", i, True, f"Household Guide\nSecond Part\nThird Line\n- {i} -\n{text}{i}\n\n\n") for i in range(1, 7)]
+    found = {(r["part_id"], r["line_no"]): r["kind"] for r in pages(spark, *rows, *clean()).found().where("kind in ('header', 'page_number')").collect()}
+    assert found == {(i, n): k for i in range(1, 7) for n, k in ((1, "header"), (2, "header"), (3, "header"), (4, "page_number"), (11, "page_number"))}
 
-        def score(path, seen=seen):
-            total = O.LOG_START.get(path[0], O.NEVER) + seen[0][path[0]]
-            for i in range(1, len(path)):
-                total += O.LOG_NEXT[path[i - 1]].get(path[i], O.NEVER) + seen[i][path[i]]
-            return total
 
-        from itertools import product
+def test_letters_of_a_code_are_no_digits(spark):
+    rows = [(1, "a", "ocr", 1, True, "The refund at acl-12 came in June.\nThe refund at abl-1l2 came in June.")]
+    assert [r["line_no"] for r in pages(spark, *rows, *clean()).found().where("kind = 'misread'").collect()] == [2]
 
-        assert score(O.decode(lines, heads, numbers)) == pytest.approx(max(map(score, product(O.STATES, repeat=4))))
-    assert O.decode([], {}, {}) == []
 
 
 def test_a_heading_of_clean_pages_is_no_running_head(spark):
