@@ -161,6 +161,9 @@ WORD = r"[[\p{L}&&[^\p{IsHan}]]\d!|$@†'’]+"
 #: A run of digits and letters read for digits, with at least one of each, or such a letter alone.
 ODD_NUMBER = r"(?<![\p{IsLatin}\d])(?=[\dOolISBZ.,/-]*[OolISBZ])(?=[\dOolISBZ.,/-]*\d)[\dOolISBZ][\dOolISBZ.,/-]*(?![\p{IsLatin}])|(?<![\p{IsLatin}\d'])[OolSBZ](?![\p{IsLatin}\d'])"
 
+#: What every odd number has, found more cheaply.
+MAYBE_ODD = r"[\d.,/-][OolISBZ]|[OolISBZ][\d.,/-]|(?<![\p{IsLatin}\d'])[OolSBZ](?![\p{IsLatin}\d'])"
+
 
 class ScannedPages:
     """The labelled lines and repaired paragraphs of a table of pages.
@@ -184,13 +187,11 @@ class ScannedPages:
 
     def _zones(self) -> DataFrame:
         """(part_id, line_no, letters, figure): what the lines near the ends of scanned pages are like on other pages."""
-        spread = self.parts.select("source", "part_id", "page", "scanned", "lines", F.posexplode("lines").alias("line_no", "line"))
-        # How many lines that aren't blank stand before and after a line, as far as it matters.
-        shown = lambda part: F.size(F.filter(part, lambda x: F.trim(x) != ""))
-        before = shown(F.slice("lines", 1, F.col("line_no")))
-        after = shown(F.slice("lines", F.col("line_no") + 2, F.greatest(F.size("lines") - F.col("line_no") - 1, F.lit(0))))
-        near = F.col("scanned") & ((before < ZONE) | (after < ZONE))
-        keyed = spread.where(F.trim("line") != "").withColumn("zone", near).drop("lines").withColumn("key", head_key(F.col("line"))).withColumn("hash", F.xxhash64("key"))
+        # The lines that aren't blank, each with its place among them.
+        shown = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
+        visible = self.parts.select("source", "part_id", "page", "scanned", shown.alias("shown")).select("source", "part_id", "page", "scanned", F.size("shown").alias("n"), F.posexplode("shown").alias("rank", "x"))
+        near = F.col("scanned") & ((F.col("rank") < ZONE) | (F.col("rank") >= F.col("n") - ZONE))
+        keyed = visible.select("source", "part_id", "page", "scanned", near.alias("zone"), "x.line_no", "x.line").withColumn("key", head_key(F.col("line"))).withColumn("hash", F.xxhash64("key"))
         # A running head stands on a good share of the pages, two or more, of nearly every source that has it, near the end, and on no clean page.
         page = F.when(F.col("zone"), F.col("part_id"))
         sizes = self.parts.where("scanned").groupBy("source").agg(F.count("*").alias("pages"))
@@ -252,9 +253,13 @@ class ScannedPages:
         found = lambda text, pattern, group: F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group)
         zipped = F.arrays_zip(F.col("own").alias("own"), rest.alias("next"), F.slice(before, 1, F.size("own")).alias("last"))
         # Of the neighbours only the parts of words at the line ends are kept.
+        # A look at the last character spares most lines the search.
+        broken_off = lambda text: F.coalesce(F.right(F.rtrim(text), F.lit(1)).isin(*MARKS) | text.rlike(rf"[{MARKS}][\t　 ]+$"), F.lit(False))
         near = linked.select("part_id", "scanned", F.explode(zipped).alias("z")).select(
-            "part_id", "scanned", "z.own.line_no", "z.own.line", found(F.col("z.own.line"), ending, 1).alias("left"), found(F.col("z.own.line"), ending, 2).alias("mark"),
-            found(F.col("z.next"), opening, 1).alias("right"), found(F.col("z.last"), ending, 1).alias("left_before"),
+            "part_id", "scanned", "z.own.line_no", "z.own.line", "z.next", "z.last", broken_off(F.col("z.own.line")).alias("off"), broken_off(F.col("z.last")).alias("last_off")
+        ).select(
+            "part_id", "scanned", "line_no", "line", F.when(F.col("off"), found(F.col("line"), ending, 1)).otherwise("").alias("left"), F.when(F.col("off"), found(F.col("line"), ending, 2)).otherwise("").alias("mark"),
+            F.when(F.col("off"), found(F.col("next"), opening, 1)).otherwise("").alias("right"), F.when(F.col("last_off"), found(F.col("last"), ending, 1)).otherwise("").alias("left_before"),
         )
         near = written(near)
         broken = near.withColumn("joined", F.when((F.col("left") != "") & (F.col("right") != "") & F.col("right").rlike(r"^\p{Ll}|^[\d!|$@†]+\p{Ll}"), F.concat("left", "right")))
@@ -286,9 +291,8 @@ class ScannedPages:
         ).select("part_id", "line_no", F.lit(True).alias("hyphen"))
 
         # Misread words and characters. The parts of broken words are not words of their own.
-        kept = F.regexp_replace(
-            F.when(F.col("left_before") != "", F.regexp_replace("line", opening, "")).otherwise(F.col("line")), ending, ""
-        )
+        begun = F.when(F.col("left_before") != "", F.regexp_replace("line", opening, "")).otherwise(F.col("line"))
+        kept = F.when(F.col("left") != "", F.regexp_replace(begun, ending, "")).otherwise(begun)
         tokens = scanned.select("part_id", "line_no", F.explode(F.array_distinct(words(kept))).alias("token"))
         distinct = tokens.select("token").distinct().withColumn("word", F.lower("token")).withColumn("form", folded(F.col("token")))
         unknown = distinct.join(vocabulary, "word", "left_anti")
@@ -312,7 +316,7 @@ class ScannedPages:
         # A name may break within a line of Chinese text, so a letter alone at its ends is no number.
         inner = F.when(F.col("line").rlike(r"\p{IsHan}"), F.regexp_replace("line", r"^[A-Za-z](?![\p{IsLatin}\d.,])|(?<![\p{IsLatin}\d.,])[A-Za-z]$", "")).otherwise(F.col("line"))
         # The letters of a code such as ab-1234 are none of its number.
-        by_number = scanned.where(F.regexp_replace(inner, r"\b\p{Ll}{2,}-(?=\d)", "").rlike(ODD_NUMBER)).select("part_id", "line_no")
+        by_number = scanned.where(F.col("line").rlike(MAYBE_ODD)).where(F.regexp_replace(inner, r"\b\p{Ll}{2,}-(?=\d)", "").rlike(ODD_NUMBER)).select("part_id", "line_no")
         self.near = near
         misread = by_word.select("part_id", "line_no").unionByName(by_tail).unionByName(strange).unionByName(by_number).distinct().withColumn("misread", F.lit(True))
 
