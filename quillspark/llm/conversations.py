@@ -1,6 +1,11 @@
 """Conversations from message rows.
 
-Rows are put into sessions by their channel (``session_id``) and ordered by
+``sessionized`` is for messages with times: rows of a channel are put in order,
+a session ends where nothing follows within a gap that is calibrated on the gaps
+of all channels, the one who begins a session is its user, and sessions without
+replies are dropped.
+
+``conversations`` is for events that carry their session and number.  Rows are put into sessions by their channel (``session_id``) and ordered by
 ``seq``, the clock of a session; the calibrated inactivity gap is one step of
 it, since a session numbers its events without gaps.  Roles follow from the
 event types, and sessions without reciprocal replies, with gaps, clashes or
@@ -13,9 +18,13 @@ second, much smaller window.  No task needs all rows of a session.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BLOCK = 10_000
 #: Event types that carry messages, and their roles.
 ROLES = {"turn_start": "user", "answer": "assistant"}
@@ -117,3 +126,81 @@ def conversations(rows: DataFrame) -> DataFrame:
         "session_id", (F.col("before") + F.col("place")).alias("message_no"), "seq",
         F.when(F.col("start"), ROLES["turn_start"]).otherwise(ROLES["answer"]).alias("role"), "text",
     )
+
+
+#: Seconds of a channel that one window takes; what lies between two of them is compared by their ends.
+STRETCH = 86_400
+SECOND = 1_000_000
+#: Steps of the histogram of gaps to each doubling.
+FINE = 4
+
+
+def _tick() -> Column:
+    return F.floor(F.col("us") / (STRETCH * SECOND))
+
+
+def gaps(rows: DataFrame) -> DataFrame:
+    """Messages (channel, us, tie, ...) with ``gap``, the microseconds since the message before in their channel, null for the first.
+
+    No window takes more than a day of a channel; days are compared by their last times.
+    """
+    ticked = rows.withColumn("tick", _tick())
+    inside = Window.partitionBy("channel", "tick").orderBy("us", "tie")
+    across = Window.partitionBy("channel").orderBy("tick")  # a row for each day
+    ends = ticked.groupBy("channel", "tick").agg(F.max("us").alias("last")).withColumn("before", F.lag("last").over(across)).drop("last")
+    return ticked.join(ends, ["channel", "tick"]).withColumn("gap", F.col("us") - F.coalesce(F.lag("us").over(inside), "before")).drop("before")
+
+
+def calibrated_gap(spaced: DataFrame) -> float:
+    """The gap (microseconds) that separates sessions: where the histogram of the gaps' logarithms falls best into two parts (Otsu's criterion).
+
+    The histogram has some 260 rows at most. Gaps under a second count as one. With fewer than two different ones nothing is separated.
+    """
+    found = spaced.where("gap is not null").groupBy(F.floor(FINE * F.log2(F.greatest("gap", F.lit(SECOND)))).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
+    bins, counts = [r["bin"] for r in found], [r["n"] for r in found]
+    total, whole = sum(counts), sum(b * n for b, n in zip(bins, counts))
+    best, cut_at, n, weight = -1.0, math.inf, 0, 0
+    for b, k, following in zip(bins, counts, bins[1:]):
+        n, weight = n + k, weight + b * k
+        spread = n * (total - n) * (weight / n - (whole - weight) / (total - n)) ** 2
+        if spread > best:
+            best, cut_at = spread, 2.0 ** ((b + 1 + following) / 2 / FINE)
+    return cut_at
+
+
+def sessionized(messages: DataFrame, channel: str, at: str, speaker: str, text: str, gap: float | None = None) -> DataFrame:
+    """(channel, session_no, message_no, at, role, text) of the sessions that have replies.
+
+    ``gap`` in microseconds, calibrated where it isn't given.  Messages at the
+    same time are ordered by their content.  The speaker of a session's first
+    message is its user, all others are assistants.  A session is dropped if no
+    assistant speaks in it or if its last message with visible text isn't an
+    assistant's; messages without visible text are left out.  Rows with a null
+    channel or time belong to none; a null speaker is a speaker of its own.
+    Repeated rows count once.
+    """
+    rows = messages.select(
+        F.col(channel).alias("channel"), F.col(at).alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.coalesce(F.col(speaker).cast("string"), F.lit("")).alias("speaker"), F.col(text).alias("text")
+    ).where(F.col("channel").isNotNull() & F.col("us").isNotNull() & visible(F.col("text"))).distinct()
+    spaced = gaps(rows.withColumn("tie", F.struct("speaker", "text")))
+    if gap is None:
+        spaced = written(spaced)
+        gap = calibrated_gap(spaced)
+    begins = spaced.withColumn("begins", (F.col("gap").isNull() | (F.col("gap") > gap)).cast("int"))
+    inside = Window.partitionBy("channel", "tick").orderBy("us", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy("channel").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    sums = begins.groupBy("channel", "tick").agg(F.sum("begins").alias("n"))
+    before = sums.select("channel", "tick", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
+    placed = begins.join(before, ["channel", "tick"]).withColumn("session_no", F.col("before") + F.sum("begins").over(inside))
+    place = F.struct("us", "tie")
+    sides = placed.groupBy("channel", "session_no").agg(F.min_by("speaker", place).alias("user"), F.max_by("speaker", place).alias("last"))
+    answered = sides.where("last <> user").select("channel", "session_no", "user")
+    kept = placed.join(answered, ["channel", "session_no"])
+    sizes = kept.groupBy("channel", "session_no", "tick").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("channel", "session_no").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("channel", "session_no", "tick", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("channel", "session_no", "tick").orderBy("us", "tie")
+    return kept.join(starts, ["channel", "session_no", "tick"]).select(
+        "channel", "session_no", (F.col("start") + F.row_number().over(within)).alias("message_no"), "at",
+        F.when(F.col("speaker") == F.col("user"), "user").otherwise("assistant").alias("role"), "text",
+    )

@@ -14,7 +14,9 @@ counts a swap as one edit.
 
 Initials and words written without vowels lose more than two letters.  They are
 looked up as views of full names, and count only if all full names they fit are
-the same owner.  Links close to groups, and every pair of a group is reported.
+the same owner.  A name without vowels may also be a whole one (Lynch, Byrd), so
+it goes through the segment join as well; one with an initial does not.  Links
+close to groups, and every pair of a group is reported.
 """
 
 from __future__ import annotations
@@ -195,13 +197,24 @@ def cuts(length: int) -> Iterator[tuple[int, int, int]]:
             yield shift * SEGMENTS + i, edges[i], edges[i + 1]
 
 
+def shortened(text: str) -> Iterator[tuple[int, int, str]]:
+    """A short string and what is left of it without a letter: two such within an edit, of which one is too short to cut, agree in one of these."""
+    for part in {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))} - {""}:
+        yield 0, -1, part
+
+
 def indexed(text: str) -> Iterator[tuple[int, int, str]]:
+    if len(text) < SEGMENTS:
+        yield from shortened(text)
+        return
     for number, begin, end in cuts(len(text)):
         yield len(text), number, text[begin:end]
 
 
 def probed(text: str) -> Iterator[tuple[int, int, str]]:
-    """Substrings at which a segment of a string within EDITS edits may lie."""
+    """Substrings at which a segment of a string within EDITS edits may lie; of a string too short to cut, within one edit."""
+    if len(text) <= SEGMENTS:
+        yield from shortened(text)
     for length in range(len(text) - EDITS, len(text) + EDITS + 1):
         if length < SEGMENTS:
             continue
@@ -268,27 +281,27 @@ def bare(word: str) -> str:
     return word[0] + re.sub("[aeiou]", "", word[1:])
 
 
-@F.pandas_udf(T.StructType([T.StructField("own", T.StringType()), T.StructField("full", VIEW)]))
+@F.pandas_udf(T.StructType([T.StructField("own", T.StringType()), T.StructField("full", VIEW), T.StructField("typed", T.BooleanType())]))
 def views(lines: pd.Series, words: pd.Series) -> pd.DataFrame:
-    """``own``: the view by which a shortened name is looked up; ``full``: the views of a full name."""
+    """``own``: the view by which a shortened name is looked up; ``full``: the views of a full name; ``typed``: whether no word is an initial."""
 
     def one(line, given):
         given = list(given)
         if len(given) < 2:
-            return None, []
+            return None, [], True
         short = [i for i, w in enumerate(given) if len(w) == 1 or w == UNNAMED or (len(w) > 1 and w.isalpha() and bare(w) == w)]
         if len(short) == len(given):
-            return None, []
+            return None, [], True
         if short:
-            return "|".join([line, *given]), []
+            return "|".join([line, *given]), [], all(len(given[i]) > 1 and given[i] != UNNAMED for i in short)
         made = []
         for i, w in enumerate(given):
             for form in (w[0], bare(w), re.sub("[aeiou]", "", w), *([UNNAMED] if line == "person" and not i else [])):
                 if form and form != w:
                     made.append("|".join([line, *given[:i], form, *given[i + 1 :]]))
-        return None, list(dict.fromkeys(made))
+        return None, list(dict.fromkeys(made)), True
 
-    return pd.DataFrame([one(*row) for row in zip(lines, words)], columns=["own", "full"])
+    return pd.DataFrame([one(*row) for row in zip(lines, words)], columns=["own", "full", "typed"])
 
 
 class NameGroups:
@@ -309,7 +322,7 @@ class NameGroups:
         self.roots = cut(self._roots())
 
     def _strong(self) -> DataFrame:
-        full = self.names.where(F.col("view.own").isNull())
+        full = self.names.where(F.col("view.typed"))
 
         def entries(function):
             # Entries travel as hashes; a collision only adds a candidate.
@@ -331,12 +344,19 @@ class NameGroups:
     def _roots(self) -> DataFrame:
         """(name, root): the groups of full names, with shortened ones that fit a single group."""
         grouped = components(self.strong)
-        rooted = self.names.join(grouped.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+        rooted = self.names.join(grouped.withColumnRenamed("node", "name"), "name", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "name"))
         full = rooted.where(F.col("view.own").isNull()).select("root", F.explode("view.full").alias("own")).distinct()
         single = full.groupBy("own").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high")
-        short = rooted.where(F.col("view.own").isNotNull()).select("name", F.col("view.own").alias("own"))
-        found = short.join(single, "own", "left").select("name", F.coalesce("low", "own").alias("root"))
-        return rooted.where(F.col("view.own").isNull()).select("name", "root").unionByName(found)
+        short = rooted.where(F.col("view.own").isNotNull()).select("name", "root", "linked", F.col("view.own").alias("own"))
+        found = cut(short.join(single, "own", "left").select("name", "root", "linked", "low", "own"))
+        alone = found.where("not linked").select("name", F.coalesce("low", "own").alias("root"))
+        named = rooted.where(F.col("view.own").isNull()).select("name", "root").unionByName(alone).unionByName(found.where("linked").select("name", "root"))
+        # Names without vowels that are within edits of others stay with them, and bring the group that their view fits.
+        both = found.where("linked and low is not null and low <> root").select("root", "low").distinct()
+        if both.isEmpty():
+            return named
+        joined = components(both, "root", "low").withColumnsRenamed({"node": "root", "root": "first"})
+        return named.join(joined, "root", "left").select("name", F.coalesce("first", "root").alias("root"))
 
     def groups(self) -> DataFrame:
         """(name, group_id, group_size): the smallest name of each name's group."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from .conversations import conversations, judged
+from .conversations import conversations, judged, sessionized
 from .encode import count_tokens, encode_documents
 from .linkage import duplicates
 from .names import NameGroups
@@ -67,6 +67,26 @@ def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(table(spark, folder, "session_events"))
 
 
+_EVENTS = "SELECT DISTINCT user_id AS channel, ts AS at, coalesce(event_type, '') AS speaker, props AS text FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND regexp_matches(props, '[^\\s]')"
+_SESSIONS = f"""WITH r AS ({_EVENTS}), o AS (SELECT *, epoch_us(at) - lag(epoch_us(at)) OVER w AS gap FROM r WINDOW w AS (PARTITION BY channel ORDER BY at, speaker, text)),
+n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY at, speaker, text ROWS UNBOUNDED PRECEDING) AS session_no FROM o),
+m AS (SELECT *, row_number() OVER w AS message_no, first_value(speaker) OVER w AS opener, last_value(speaker) OVER (PARTITION BY channel, session_no ORDER BY at, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closer
+FROM n WINDOW w AS (PARTITION BY channel, session_no ORDER BY at, speaker, text ROWS UNBOUNDED PRECEDING))
+SELECT channel, CAST(session_no AS BIGINT) AS session_no, message_no, at, CASE WHEN speaker = opener THEN 'user' ELSE 'assistant' END AS role, text FROM m WHERE opener <> closer"""
+
+
+@registry.add("p6_sessions", _SESSIONS)
+def p6_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of each user as messages, cut where four hours pass without one."""
+    return sessionized(table(spark, folder, "events"), "user_id", "ts", "event_type", "props", gap=4 * 3600e6)
+
+
+@registry.add("p6_sessions_calibrated")
+def p6_sessions_calibrated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the gap that the events themselves give."""
+    return sessionized(table(spark, folder, "events"), "user_id", "ts", "event_type", "props")
+
+
 @registry.add("p7_ids")
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), "doc_id", "text")

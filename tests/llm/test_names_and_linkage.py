@@ -37,6 +37,20 @@ def test_an_initial_that_fits_two_owners_joins_neither(spark):
     assert N.NameGroups(spark.createDataFrame([(n,) for n in names], "k string"), "k").pairs().count() == 0
 
 
+def test_short_names_and_names_without_vowels(spark):
+    groups = [["ab bakery", "ac bakery", "abc bakery"], ["a noodles"], ["b noodles"], ["li cinema", "l cinema"], ["kaven lynch market", "kaven lynch mart", "kaven lnych market"], ["flynn byrd books", "flynn byrb books", "flynn byrd bks"]]
+    groups += [["grtwd travel", "grtwda travel"]]
+    found = {tuple(r) for r in N.NameGroups(spark.createDataFrame([(n,) for g in groups for n in g], "k string"), "k").pairs().collect()}
+    assert found == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+
+
+@pytest.mark.parametrize("a", ["a", "ab", "abc"])
+def test_an_edit_of_a_short_name_is_found(a):
+    for b in {a[:i] + c + a[i + k :] for i in range(len(a) + 1) for k in (0, 1) for c in ("", "x")} - {a, ""}:
+        if min(len(a), len(b)) < N.SEGMENTS and max(len(a), len(b)) > 1:
+            assert set(N.indexed(a)) & set(N.probed(b)) or set(N.indexed(b)) & set(N.probed(a)), (a, b)
+
+
 def test_empty(spark):
     assert N.NameGroups(spark.createDataFrame([], "k string"), "k").pairs().count() == 0
 

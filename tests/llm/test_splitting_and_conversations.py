@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -116,3 +117,33 @@ def test_random_sessions_equal_a_walk(spark, monkeypatch, seed):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert C.judged(none).count() == 0 and C.conversations(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sessions_by_time(spark, seed):
+    rng = random.Random(seed)
+    start = datetime(2026, 1, 1, 20)
+    rows, now = [], {c: start for c in "abc"}
+    for _ in range(300):
+        c = rng.choice("aaabc")
+        now[c] += timedelta(seconds=rng.choice([0, 3, 20, 60]) if rng.random() < 0.85 else rng.randrange(30_000, 200_000))
+        rows.append((c, now[c], rng.choice(["me", "bot", None]), rng.choice(["x", "y", " ", "z"])))
+    frame = spark.createDataFrame([*rows, *rows[:20], (None, start, "me", "x"), ("a", None, "me", "x")], "room string, at timestamp, who string, said string")
+    messages = sorted({(c, t, w or "", x) for c, t, w, x in rows if x.strip()})
+    spaced = C.gaps(frame.where("room is not null and at is not null").selectExpr("room as channel", "unix_micros(at) as us", "struct(who, said) as tie"))
+    assert 60e6 < C.calibrated_gap(spaced) < 30_000e6
+    sessions = []
+    for message in messages:
+        if not sessions or sessions[-1][-1][0] != message[0] or (message[1] - sessions[-1][-1][1]).total_seconds() > 3600:
+            sessions.append([])
+        sessions[-1].append(message)
+    expected, numbers = set(), {}
+    for session in sessions:
+        c = session[0][0]
+        numbers[c] = numbers.get(c, 0) + 1
+        if session[-1][2] != session[0][2]:
+            expected |= {(c, numbers[c], i, "user" if w == session[0][2] else "assistant", x) for i, (_, _, w, x) in enumerate(session, 1)}
+    for gap in (None, 3600e6):
+        got = C.sessionized(frame, "room", "at", "who", "said", gap).collect()
+        assert expected and {(r["channel"], r["session_no"], r["message_no"], r["role"], r["text"]) for r in got} == expected and len(got) == len(expected)
+    assert C.sessionized(frame.limit(0), "room", "at", "who", "said").count() == 0
