@@ -32,9 +32,10 @@ SEEN = {
     "break": {"letters": (0.997, 0.001, 0.001, 0.001), "figure": (0.996, 0.001, 0.001, 0.001, 0.001), "length": (0.98, 0.01, 0.01), "mark": (0.99, 0.01)},
 }
 INDENT = (0.8, 0.15, 0.05)
-#: Lines that what is taken for granted counts for, in each state. What heads and numbers are known by is held firmly: nothing else
-#: in a page says which they are, so these values would follow any mistake.
-STRENGTH, FIRM = 200.0, {"letters": 20_000.0, "figure": 20_000.0}
+#: Lines that what is taken for granted counts for, in each state.
+STRENGTH = 200.0
+#: What heads and numbers are known by is held as it is: nothing else in a page says which they are, so these values would follow any mistake.
+HELD = ("letters", "figure")
 
 
 @dataclass
@@ -96,7 +97,7 @@ class LineModel:
             if before is not None and np.array_equal(steps, before):
                 break
             before = steps
-            model = LineModel(share(starts + STRENGTH * self.start), share(steps + STRENGTH * self.step), {name: share(counts + FIRM.get(name, STRENGTH) * self.seen[name]) for name, counts in seen.items()})
+            model = LineModel(share(starts + STRENGTH * self.start), share(steps + STRENGTH * self.step), {name: self.seen[name] if name in HELD else share(counts + STRENGTH * self.seen[name]) for name, counts in seen.items()})
         return model
 
     def decode(self, pages: np.ndarray) -> np.ndarray:

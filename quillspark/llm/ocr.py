@@ -50,7 +50,7 @@ ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 NUMBERED = [
     ("pages", re.compile(r"(?:第\s*([\dOolISBZ]+)\s*页|page\s+([\dOolISBZ]+)\s+(?:of|0f)|([\dOolISBZ]+)\s*/\s*[\dOolISBZ]+$).*", re.I)),
     ("framed", re.compile(r"(?:p\.\s*|[-—–·•~\[(]\s*)([\dOolISBZ]+)\s*[-—–·•~\])]?$", re.I)),
-    ("roman", re.compile(r"([ivxlc1]+)$")),
+    ("roman", re.compile(r"(?=1*[ivxlc])([ivxlc1]+)$")),
     ("plain", re.compile(r"([\dOolISBZ]{1,4})$")),
 ]
 
