@@ -92,8 +92,24 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), F.lit(1.0)).otherwise(1 - dot / (norm(a) * norm(b)))
 
 
-def shortened(text: Column, most: int = 20_000) -> Column:
-    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+# The most characters of a tool's answer, and the note that the rest was left out.
+MOST_SHOWN, CUT_NOTE = 20_000, ("\n…[已截断，原文共 ", " 字符]")
+
+
+def shortened(text: Column, most: int = MOST_SHOWN) -> Column:
+    """A long text cut, with a note of its whole length."""
+    note = F.concat(F.lit(CUT_NOTE[0]), F.char_length(text).cast("string"), F.lit(CUT_NOTE[1]))
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), note)).otherwise(text)
+
+
+def shown_money(amount: Column) -> Column:
+    """An amount with two decimals and marks between thousands, its sign written out."""
+    return F.format_number(amount.cast(MONEY), 2)
+
+
+def shown_value(value: Column, agg: str) -> Column:
+    """An aggregate as it is shown: counts as whole numbers with their unit, all others as money."""
+    return F.concat(F.format_number(value.cast("long"), 0), F.lit(" 笔")) if agg == "count" else shown_money(value)
 
 
 # Words that mark a request as a single one, a correction, or a preference.

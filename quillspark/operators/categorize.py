@@ -66,6 +66,13 @@ def per_class(tagged: DataFrame, truth: DataFrame, classes: list[str] = CATEGORI
     return counted.join(F.broadcast(listed), "category").select("category", "hits", "predicted", "support", share("predicted").alias("precision"), share("support").alias("recall"))
 
 
+def accuracy(tagged: DataFrame, truth: DataFrame) -> DataFrame:
+    """(correct, total, accuracy) over all rows; a row without a true category is right only if it has none."""
+    joined = tagged.select("txn_id", F.col("category").alias("got")).join(truth.select("txn_id", F.col("category").alias("want")), "txn_id", "left")
+    right = F.count(F.when(F.col("got").eqNullSafe(F.col("want")), 1))
+    return joined.agg(right.alias("correct"), F.count("*").alias("total"), F.when(F.count("*") > 0, F.round(right / F.count("*"), 6)).alias("accuracy"))
+
+
 def top_misclassified(tagged: DataFrame, truth: DataFrame, limit: int = 10) -> DataFrame:
     joined = tagged.join(truth.select("txn_id", F.col("category").alias("want")), "txn_id", "left").where(~F.col("category").eqNullSafe(F.col("want")))
     return joined.groupBy("merchant").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "merchant").limit(limit)

@@ -35,22 +35,84 @@ def retrieval_metrics(evidence: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
+def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, one column for each share): percentiles with linear interpolation, exact, null values left out.
+
+    Distinct values are counted where they are and dealt by range, so a group
+    may have any number of them.
+    """
+    ranked = cumulative(rows.where(F.col(value).isNotNull()).select(group, value), group, value)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    picked, made = [], []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("total") - 1)
+        picked += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high")]
+        rest = F.lit(share) * (F.col("__total") - 1)
+        made.append((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (rest - F.floor(rest))).alias(name))
+    return ranked.groupBy(group).agg(F.max("total").alias("__total"), *picked).select(group, *made)
+
+
 def experiment_summary(runs: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """By mode and group: planned, succeeded, failed, latencies, and each metric's mean over successes and with failures as 0.
 
     ``runs``: mode, run_group, ok, eligible, latency_ms and the metrics (null where not scored).
     """
     ok = F.col("ok")
-    latency = lambda p, rows: six(F.percentile(rows, p))
-    columns = [
-        F.count("*").alias("planned"), F.count(F.when(ok, 1)).alias("succeeded"), F.count(F.when(~ok, 1)).alias("failed"), F.count(F.when(F.col("eligible"), 1)).alias("metric_planned"),
-        latency(0.5, F.col("latency_ms")).alias("latency_p50"), latency(0.95, F.col("latency_ms")).alias("latency_p95"),
-        latency(0.5, F.when(ok, F.col("latency_ms"))).alias("successful_p50"), latency(0.95, F.when(ok, F.col("latency_ms"))).alias("successful_p95"),
-    ]
+    columns = [F.count("*").alias("planned"), F.count(F.when(ok, 1)).alias("succeeded"), F.count(F.when(~ok, 1)).alias("failed"), F.count(F.when(F.col("eligible"), 1)).alias("metric_planned")]
     for m in metrics:
         scored = F.when(ok, F.col(m))
         columns += [six(F.avg(scored)).alias(m), six(F.sum(scored) / F.nullif(F.count(F.when(F.col("eligible"), 1)), F.lit(0))).alias(f"{m}_failure_as_zero")]
-    return runs.groupBy("mode", "run_group").agg(*columns)
+    keyed = runs.withColumn("__group", F.struct("mode", "run_group"))
+    # All runs and the successful ones in one pass.
+    both = keyed.select(F.explode(F.array(F.struct("__group", F.lit(False).alias("only_ok")), F.when(ok, F.struct("__group", F.lit(True).alias("only_ok"))))).alias("of"), "latency_ms").where(F.col("of").isNotNull())
+    halves = percentiles(both, "of", "latency_ms", {"p50": 0.5, "p95": 0.95})
+    latencies = halves.groupBy("of.__group").agg(
+        *(six(F.max(F.when(F.col("of.only_ok") == only, F.col(p)))).alias(f"{name}_{p}") for name, only in (("latency", False), ("successful", True)) for p in ("p50", "p95"))
+    )
+    return keyed.groupBy("__group").agg(*columns).join(latencies, "__group", "left").select("__group.*", "*").drop("__group")
+
+
+def rank_summary(cases: DataFrame) -> DataFrame:
+    """(case_group, cases, found, file_1, heading_1, heading_3, mean_rank): shares over all cases, the mean over those found.
+
+    ``cases``: case_group, file_rank and heading_rank, null where it wasn't found.
+    """
+    within = lambda rank, k: six(F.avg((F.coalesce(F.col(rank), F.lit(k + 1)) <= k).cast("double")))
+    return cases.groupBy("case_group").agg(
+        F.count("*").alias("cases"), F.count("heading_rank").alias("found"), within("file_rank", 1).alias("file_1"), within("heading_rank", 1).alias("heading_1"), within("heading_rank", 3).alias("heading_3"),
+        six(F.avg("heading_rank")).alias("mean_rank"),
+    )
+
+
+# Fixed value: the least mean length of a passage by which answers can be judged.
+LEAST_CONTEXT = 80
+
+
+def context_gate(passages: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, passages, mean_length, problem): groups whose passages are missing or too short on average to hold an answer.
+
+    The mean is over single passages, so many short ones don't add up to enough.
+    """
+    mean = F.avg(F.char_length(text))
+    problem = F.when(F.count(text) == 0, "none").when(mean < LEAST_CONTEXT, "short")
+    return passages.groupBy(group).agg(F.count(text).alias("passages"), six(mean).alias("mean_length"), problem.alias("problem"))
+
+
+def repeated_cases(cases: DataFrame, *columns: str) -> DataFrame:
+    """(column, value, count) of values that must be unique and aren't, such as identifiers and questions."""
+    named = cases.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("c")).select("c.*")
+    return named.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("count")).where(F.col("count") > 1)
+
+
+def context_accounting(steps: DataFrame) -> DataFrame:
+    """(task_id, steps, context_chars, returned_chars, saved_chars): what a delegated task read, what it gave back, and the difference, which may be negative.
+
+    ``steps``: task_id, content, is_call (a tool was called) and is_answer (given back).
+    """
+    length = F.coalesce(F.char_length("content"), F.lit(0)).cast("long")
+    total = lambda which: F.coalesce(F.sum(F.when(which, length)), F.lit(0))
+    counted = steps.groupBy("task_id").agg(F.count(F.when(F.col("is_call"), 1)).alias("steps"), total(F.lit(True)).alias("context_chars"), total(F.col("is_answer")).alias("returned_chars"))
+    return counted.withColumn("saved_chars", F.col("context_chars") - F.col("returned_chars"))
 
 
 def route_metrics(cases: DataFrame) -> DataFrame:
@@ -143,13 +205,11 @@ def agent_summary(runs: DataFrame) -> DataFrame:
     ``runs``: case_group, ok, latency_ms, required_recall, successful_recall, route_correct (null where not graded).
     """
     graded = F.col("route_correct").isNotNull()
-    columns = [
-        F.count("*").alias("planned"), F.count(F.when(F.col("ok"), 1)).alias("succeeded"), F.count(F.when(graded, 1)).alias("graded"),
-        six(F.percentile("latency_ms", 0.5)).alias("latency_p50"), six(F.percentile("latency_ms", 0.95)).alias("latency_p95"),
-    ]
+    columns = [F.count("*").alias("planned"), F.count(F.when(F.col("ok"), 1)).alias("succeeded"), F.count(F.when(graded, 1)).alias("graded")]
     for m in ("required_recall", "successful_recall", "route_correct"):
         columns.append(six(F.avg(F.when(graded, F.when(F.col("ok"), F.col(m)).otherwise(0.0)))).alias(m))
-    return runs.groupBy("case_group").agg(*columns)
+    latencies = percentiles(runs, "case_group", "latency_ms", {"p50": 0.5, "p95": 0.95}).select("case_group", six(F.col("p50")).alias("latency_p50"), six(F.col("p95")).alias("latency_p95"))
+    return runs.groupBy("case_group").agg(*columns).join(latencies, "case_group", "left")
 
 
 def routing_by_group(samples: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def islands(txns: DataFrame, keys: list[str], window_days: int) -> DataFrame:
     return numbered.withColumn("charges", F.sum("n").over(whole)).select(*keys, "date", "island", "charges")
 
 
-def duplicate_charges(txns: DataFrame, window_days: int = WINDOW_DAYS, keys: tuple[str, ...] = ("merchant", "amount"), tie: str = "seq") -> DataFrame:
-    """Clusters of two or more charges of one merchant and amount: (keys, times, txn_ids, dates), ids in order of date.
+def duplicate_members(txns: DataFrame, window_days: int = WINDOW_DAYS, keys: tuple[str, ...] = ("merchant", "amount"), tie: str = "seq") -> DataFrame:
+    """(keys, island, date, tie, txn_id): the charges of each cluster of two or more, one row each, whatever the size of a cluster.
 
     Charges chain while neighbours are at most ``window_days`` apart. Null keys
     form keys of their own; rows without a date are left out.
@@ -43,8 +43,13 @@ def duplicate_charges(txns: DataFrame, window_days: int = WINDOW_DAYS, keys: tup
     clusters = islands(rows, keys, window_days).where("charges >= 2")
     own = clusters.select(*(F.col(k).alias(f"__{k}") for k in [*keys, "date"]), "island")
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    joined = rows.join(own, [F.col("date") == F.col("__date"), *same]).select(*keys, "date", F.col(tie).alias("__tie"), "txn_id", "island")
-    grouped = joined.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("date", "__tie", "txn_id"))).alias("c"))
+    return rows.join(own, [F.col("date") == F.col("__date"), *same]).select(*keys, "island", "date", F.col(tie).alias("tie"), "txn_id")
+
+
+def duplicate_charges(txns: DataFrame, window_days: int = WINDOW_DAYS, keys: tuple[str, ...] = ("merchant", "amount"), tie: str = "seq") -> DataFrame:
+    """Clusters as they are shown: (keys, times, txn_ids, dates), ids in order of date. A cluster is one row here; ``duplicate_members`` is for clusters of any size."""
+    keys = list(keys)
+    grouped = duplicate_members(txns, window_days, tuple(keys), tie).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("date", "tie", "txn_id"))).alias("c"))
     return grouped.select(*keys, F.size("c").alias("times"), F.col("c.txn_id").alias("txn_ids"), F.col("c.date").alias("dates"))
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import MEMORY_LINE, as_money, half_up, json_object, memory_kind, money, shortened, shown_number, worth_remembering
-from ..operators import metrics, query
+from ..functions.columns import CORRECTION, MEMORY_LINE, ONE_OFF, PREFERENCE, as_money, half_up, json_object, memory_kind, money, shortened, shown_money, shown_number, shown_value, worth_remembering
+from ..operators import metrics, query, traps
 from ..session import checkpoint_root, forget
 from ..sources.ledger import lineitem_ledger, orders_ledger
 from ..sources.tables import table
 from ..streaming.projections import CONSUMERS, Projection, event_of, run_projection, validated
 from . import sql as S
-from .ledger import duplicates_sql
+from .ledger import duplicates_sql, planted
 from .registry import Registry
 
 registry = Registry()
@@ -77,9 +77,60 @@ def experiment_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @add("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(stddev_samp(value), 6) AS spread, round(median(value), 6) AS middle FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").groupBy("event_type")
+    e = table(spark, folder, "events")
     six = lambda x: F.round(x, 6)
-    return e.agg(six(F.percentile("value", 0.5)).alias("p50"), six(F.percentile("value", 0.95)).alias("p95"), six(F.stddev_samp("value")).alias("spread"), six(F.median("value")).alias("middle"))
+    found = metrics.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95, "middle": 0.5})
+    spread = e.groupBy("event_type").agg(six(F.stddev_samp("value")).alias("spread"))
+    return spread.join(found, "event_type", "left").select("event_type", six(F.col("p50")).alias("p50"), six(F.col("p95")).alias("p95"), "spread", six(F.col("middle")).alias("middle"))
+
+
+@add(
+    "rank_summary",
+    "SELECT event_type AS case_group, count(*) AS cases, count(h) AS found, round(avg(CAST(coalesce(f, 99) <= 1 AS DOUBLE)), 6) AS file_1, round(avg(CAST(coalesce(h, 99) <= 1 AS DOUBLE)), 6) AS heading_1, "
+    "round(avg(CAST(coalesce(h, 99) <= 3 AS DOUBLE)), 6) AS heading_3, round(avg(h), 6) AS mean_rank FROM (SELECT event_type, nullif(event_id % 5, 0) AS f, nullif(event_id % 9, 0) AS h FROM events) GROUP BY 1",
+)
+def rank_summary(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    zero = F.lit(0).cast("long")
+    return metrics.rank_summary(e.select(F.col("event_type").alias("case_group"), F.nullif(F.col("event_id") % 5, zero).alias("file_rank"), F.nullif(F.col("event_id") % 9, zero).alias("heading_rank")))
+
+
+@add("context_gate", "SELECT source, count(text) AS passages, round(avg(length(text)), 6) AS mean_length, CASE WHEN count(text) = 0 THEN 'none' WHEN avg(length(text)) < 80 THEN 'short' END AS problem FROM knowledge_chunks GROUP BY 1")
+def context_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.context_gate(table(spark, folder, "knowledge_chunks"), "source", "text")
+
+
+@add("repeated_cases", "SELECT 'content_hash' AS \"column\", content_hash AS value, count(*) AS count FROM import_batches WHERE content_hash IS NOT NULL GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'id', id, count(*) FROM import_batches WHERE id IS NOT NULL GROUP BY 2 HAVING count(*) > 1")
+def repeated_cases(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.repeated_cases(table(spark, folder, "import_batches"), "id", "content_hash")
+
+
+_IS = "coalesce(contains(payload, '\"type\": \"{t}\"') OR contains(payload, '\"type\":\"{t}\"'), FALSE)"
+_CALL, _ANSWER = _IS.format(t="tool_call"), _IS.format(t="answer")
+
+
+@add(
+    "context_accounting",
+    f"SELECT session_id AS task_id, count(*) FILTER ({_CALL}) AS steps, CAST(coalesce(sum(length(payload)), 0) AS BIGINT) AS context_chars, CAST(coalesce(sum(length(payload)) FILTER ({_ANSWER}), 0) AS BIGINT) AS returned_chars, "
+    f"CAST(coalesce(sum(length(payload)), 0) - coalesce(sum(length(payload)) FILTER ({_ANSWER}), 0) AS BIGINT) AS saved_chars FROM session_events GROUP BY 1",
+)
+def context_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session as a delegated task: its tool calls, what it read, and its answers."""
+    rows = table(spark, folder, "session_events")
+    return metrics.context_accounting(rows.select(F.col("session_id").alias("task_id"), F.col("payload").alias("content"), F.expr(_CALL).alias("is_call"), F.expr(_ANSWER).alias("is_answer")))
+
+
+_LONG = "repeat(text, 3)"
+
+
+@add("shorten_texts", f"SELECT doc_id, CASE WHEN length({_LONG}) > 20000 THEN substring({_LONG}, 1, 20000) || chr(10) || '…[已截断，原文共 ' || length({_LONG}) || ' 字符]' ELSE {_LONG} END AS shown FROM documents")
+def shorten_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", shortened(F.expr(_LONG)).alias("shown"))
+
+
+@add("shown_values", "SELECT id, format('{:,.2f}', amount) AS money, format('{:,}', CAST(id * 37 AS BIGINT)) || ' 笔' AS counted FROM ledger_transactions")
+def shown_values(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "ledger_transactions").select("id", shown_money(F.col("amount")).alias("money"), shown_value(F.col("id") * 37, "count").alias("counted"))
 
 
 CASES = "(1, 'routing', 'a,b;c', 'a,c', 'a', 'x'), (2, 'routing', 'a;b', 'a,x', 'a', 'x'), (3, 'unanswerable', 'a', '', '', ''), (4, 'routing', 'a', 'b', '', 'c')"
@@ -150,32 +201,28 @@ def p95_by_category(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _traps_sql(source: str) -> str:
-    return f"""SELECT (SELECT count(*) FROM (SELECT 1 FROM {source} t GROUP BY merchant, date, amount HAVING count(*) >= 2)) AS doubled_days,
-(SELECT count(*) FROM {source} t WHERE amount < 0) AS refunds, (SELECT count(*) FROM (SELECT merchant FROM {source} t GROUP BY merchant HAVING count(*) >= 12 AND max(amount) <= 15)) AS small_regular,
-(SELECT count(*) FROM (SELECT merchant FROM (SELECT merchant, amount, ntile(2) OVER (PARTITION BY merchant ORDER BY date, seq) AS half FROM {source} t) GROUP BY merchant HAVING avg(amount) FILTER (half = 2) > 1.2 * avg(amount) FILTER (half = 1) AND avg(amount) FILTER (half = 1) > 0)) AS risen"""
-
-
-def _traps(rows: DataFrame) -> DataFrame:
-    """What a bill was made to contain, found in the rows alone."""
-    halves = rows.withColumn("half", F.ntile(2).over(Window.partitionBy("merchant").orderBy("date", "seq"))).groupBy("merchant").agg(
-        F.count("*").alias("n"), F.max("amount").alias("most"), F.avg(F.when(F.col("half") == 1, F.col("amount"))).alias("early"), F.avg(F.when(F.col("half") == 2, F.col("amount"))).alias("late")
-    )
-    days = rows.groupBy("merchant", "date", "amount").agg(F.count("*").alias("n"), F.count(F.when(F.col("amount") < 0, 1)).alias("refunds"))
-    totals = days.agg(F.count(F.when(F.col("n") >= 2, 1)).alias("doubled_days"), F.sum("refunds").alias("refunds"), F.lit(1).alias("one"))
-    merchants = halves.agg(
-        F.count(F.when((F.col("n") >= 12) & (F.col("most") <= 15), 1)).alias("small_regular"), F.count(F.when((F.col("early") > 0) & (F.col("late") > F.lit(1.2) * F.col("early")), 1)).alias("risen"), F.lit(1).alias("one")
-    )
-    return totals.join(merchants, "one").drop("one")
+    return f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY date, seq) <= count(*) OVER (PARTITION BY merchant) // 2 AS first FROM {source} t),
+m AS (SELECT merchant, count(*) AS n, max(amount) AS most, min(amount) AS least, avg(amount) FILTER (first) AS early, avg(amount) FILTER (NOT first) AS late FROM h GROUP BY merchant),
+c AS (SELECT category, amount, row_number() OVER (PARTITION BY category ORDER BY amount) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM {source} t WHERE category IS NOT NULL),
+k AS (SELECT category, max(amount) AS top, max(amount) FILTER (i = least((n * 95) // 100, n - 1)) AS p FROM c GROUP BY category)
+SELECT (SELECT count(*) FROM (SELECT 1 FROM {source} t GROUP BY merchant, date, amount HAVING count(*) >= 2)) AS doubled_days, (SELECT count(*) FROM {source} t WHERE amount < 0) AS refunds,
+(SELECT count(*) FROM m WHERE n >= 12 AND most <= 15) AS small_regular, (SELECT count(*) FROM m WHERE early > 0 AND late > 1.2 * early) AS risen,
+(SELECT count(*) FROM k WHERE p > 0 AND top > 3 * p) AS far_outliers, (SELECT count(*) FROM m WHERE least > 0 AND most >= 10 * least) AS wide_spread"""
 
 
 @add("trap_check", _traps_sql(S.SERIES))
 def trap_check(spark: SparkSession, _: str) -> DataFrame:
-    return _traps(spark.sql(S.SPARK_SERIES))
+    return traps.trap_check(spark.sql(S.SPARK_SERIES))
 
 
 @add("trap_check_lines", _traps_sql(S.LINES))
 def trap_check_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _traps(lineitem_ledger(spark, folder))
+    return traps.trap_check(lineitem_ledger(spark, folder))
+
+
+@add("trap_check_planted", _traps_sql(S.PLANTED))
+def trap_check_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return traps.trap_check(planted(spark, folder))
 
 
 @add("rate_limit_window", "SELECT event_id, recent, recent > 3 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events))")
@@ -231,8 +278,8 @@ _HAS = lambda words: "(" + " OR ".join(f"contains(said, '{w}')" for w in words)
 
 @add(
     "scalar_memory",
-    f"SELECT said, length(trim(said)) >= 4 AND NOT {_HAS(['这次', '本次', '今天', '刚刚', '刚才', '眼下', '这一次', '帮我看看', '帮我查'])} AS kept, "
-    f"CASE WHEN {_HAS(['应该', '不是', '改成', '纠正', '归到', '算作', '属于'])} THEN '纠正' WHEN {_HAS(['我喜欢', '我习惯', '我住', '我不用', '我不要', '别把', '不要'])} THEN '偏好' ELSE '事实' END AS kind, "
+    f"SELECT said, length(trim(said)) >= 4 AND NOT {_HAS(ONE_OFF)} AS kept, "
+    f"CASE WHEN {_HAS(CORRECTION)} THEN '纠正' WHEN {_HAS(PREFERENCE)} THEN '偏好' ELSE '事实' END AS kind, "
     "CASE WHEN regexp_matches(trim(regexp_replace(trim(n), '笔$', '')), '^-?[0-9,]+([.][0-9]+)?$') THEN TRY_CAST(replace(trim(regexp_replace(trim(n), '笔$', '')), ',', '') AS DOUBLE) END AS number, "
     f"coalesce(nullif(regexp_extract(answer, '\\{{.*\\}}'), ''), '{{}}') AS object FROM (VALUES {_SAID}) t(said, n, answer)",
 )

@@ -13,6 +13,7 @@ from ..operators.query import Filters
 from ..schema import CATEGORIES, FALLBACK, RULES, UNCATEGORIZED
 from ..sources.ledger import events_ledger, lineitem_ledger, orders_ledger, parsed_rows, stored_ledger
 from ..sources.tables import table
+from ..streaming import projections
 from . import sql as S
 from .registry import Registry
 
@@ -80,7 +81,7 @@ def q_uncategorized(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(
     "q_describe",
-    "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, array_to_string(list_sort(list(DISTINCT account)), ',') AS accounts, count(category) AS categorized "
+    "SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT account) AS accounts, count(category) AS categorized "
     f"FROM {S.ORDERS} t",
 )
 def q_describe(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,6 +277,14 @@ def dup_charges_series(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(sequences.duplicate_charges(series(spark)))
 
 
+@add("dup_members", f"WITH d AS ({duplicates_sql(S.LEDGER, 'merchant, amount', 'seq')}) SELECT merchant, amount, CAST(times AS BIGINT) AS times, unnest(string_split(txn_ids, ',')) AS txn_id FROM d")
+def dup_members(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each charge of a cluster, with the number of its cluster's charges; no cluster is gathered."""
+    members = sequences.duplicate_members(stored_ledger(spark, folder))
+    sizes = members.groupBy("merchant", "amount", "island").agg(F.count("*").alias("times"))
+    return members.join(sizes, ["merchant", "amount", "island"]).select("merchant", "amount", "times", "txn_id")
+
+
 @add("dup_charges_account", duplicates_sql(f"(SELECT * FROM {S.LEDGER} x WHERE amount > 0)", "account, merchant_key, amount", "txn_id"))
 def dup_charges_account(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(sequences.account_duplicates(table(spark, folder, "ledger_transactions")))
@@ -404,6 +413,45 @@ def upcoming_charges_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return forecast.upcoming_charges(stored_ledger(spark, folder), TODAY, 60)
 
 
+# The same over series planted for the customers of the folder, which grow with it.
+_PLANTED_DAY = date(2026, 1, 3)
+
+
+def planted(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "customer").createOrReplaceTempView("customers_of_series")
+    return spark.sql("SELECT * FROM " + S.SPARK_PLANTED.replace("FROM customer WHERE", "FROM customers_of_series WHERE"))
+
+
+@add("recurring_planted", f"{S.recurring(S.PLANTED)} SELECT merchant, occurrences, median_gap, first_amount, last_amount FROM c")
+def recurring_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.recurring(planted(spark, folder)).select("merchant", "occurrences", "median_gap", "first_amount", "last_amount")
+
+
+@add("subscriptions_planted", _subscriptions_sql(S.PLANTED))
+def subscriptions_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.subscriptions(planted(spark, folder))
+
+
+@add("subscription_total_planted", f"SELECT subscriptions, coalesce(yearly, 0.00) AS yearly FROM ({_subscription_total_sql(S.PLANTED)})")
+def subscription_total_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.subscription_total(planted(spark, folder))
+
+
+@add("price_increases_planted", _price_increases_sql(S.PLANTED))
+def price_increases_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.price_increases(planted(spark, folder))
+
+
+@add("upcoming_charges_planted", _upcoming_sql(S.PLANTED, _PLANTED_DAY, 30))
+def upcoming_charges_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast.upcoming_charges(planted(spark, folder), _PLANTED_DAY, 30)
+
+
+@add("dup_charges_planted", duplicates_sql(S.PLANTED, "merchant, amount", "seq"))
+def dup_charges_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat(sequences.duplicate_charges(planted(spark, folder)))
+
+
 @add("month_bounds", "SELECT DISTINCT strftime(date, '%Y-%m') AS month, CAST(date_trunc('month', date) AS DATE) AS first, last_day(date) AS last FROM " + S.ORDERS + " t")
 def month_bounds(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("date")
@@ -463,3 +511,21 @@ def import_states(spark: SparkSession, folder: str) -> DataFrame:
 def import_validation(spark: SparkSession, _: str) -> DataFrame:
     rows = spark.sql("SELECT *, 'card' AS account FROM (VALUES ('a', 'X', 1.00, '其他'), ('b', ' ', 1.00, NULL), (' ', 'Y', 2.00, NULL), ('c', 'Z', 0.005, NULL), ('d', 'Z', 1.50, 'nope'), ('e', 'Z', 100000000000000000.00, NULL)) AS t(txn_id, merchant, amount, category)")
     return rows.select("txn_id", ledger.row_error().alias("error"))
+
+
+@add("category_accuracy", "SELECT count(*) FILTER (category IS NOT DISTINCT FROM want) AS correct, count(*) AS total, round(count(*) FILTER (category IS NOT DISTINCT FROM want) / count(*), 6) AS accuracy FROM (SELECT category, CASE WHEN id % 3 = 0 THEN '其他' ELSE category END AS want FROM ledger_transactions)")
+def category_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "ledger_transactions").select(F.col("id").alias("txn_id"), "category")
+    return categorize.accuracy(rows, rows.withColumn("category", F.when(F.col("txn_id") % 3 == 0, "其他").otherwise(F.col("category"))))
+
+
+@add("missing_events", "SELECT t.id, t.batch_id, b.created_at FROM ledger_transactions t JOIN import_batches b ON b.id = t.batch_id WHERE t.id NOT IN (SELECT ledger_id FROM event_deliveries WHERE ledger_id IS NOT NULL)")
+def missing_events(spark: SparkSession, folder: str) -> DataFrame:
+    found = projections.missing_events(*(table(spark, folder, t) for t in ("ledger_transactions", "import_batches", "event_deliveries")))
+    return found.select("id", "batch_id", "created_at")
+
+
+@add("delivery_status", "SELECT 'delivered' AS state, count(DISTINCT ledger_id) AS events FROM event_deliveries WHERE ledger_id IS NOT NULL UNION ALL SELECT 'pending', count(*) FROM ledger_transactions WHERE id NOT IN (SELECT ledger_id FROM event_deliveries WHERE ledger_id IS NOT NULL)")
+def delivery_status(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows of the ledger have an event that was delivered, and how many wait for one."""
+    return projections.delivery_status(*(table(spark, folder, t) for t in ("ledger_transactions", "event_deliveries")))

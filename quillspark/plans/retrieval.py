@@ -213,6 +213,27 @@ def children_rows(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.split_children(table(spark, folder, "documents"))
 
 
+# White space as Unicode has it, for either engine.
+_SPACE = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _rejoined(pieces: DataFrame, number: str, most: int) -> DataFrame:
+    """Of each document the letters of its pieces in order, how long the longest is, and whether numbers run from 0."""
+    bare = F.regexp_replace("text", _SPACE, "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, bare.alias("t")))), lambda x: x["t"]), "")  # bounded by a text's length
+    return pieces.groupBy("doc_id").agg(F.md5(joined).alias("letters"), (F.max(F.char_length("text")) <= most).alias("fits"), (F.min(number) == 0).alias("whole"))
+
+
+@add("children_joined", f"SELECT doc_id, md5(regexp_replace(text, '{_SPACE}', '', 'g')) AS letters, TRUE AS fits, TRUE AS whole FROM documents WHERE regexp_replace(text, '{_SPACE}', '', 'g') <> ''")
+def children_joined(spark: SparkSession, folder: str) -> DataFrame:
+    return _rejoined(chunks.split_children(table(spark, folder, "documents")), "child_no", chunks.CHILD)
+
+
+@add("long_joined", f"SELECT doc_id, md5(regexp_replace(text, '{_SPACE}', '', 'g')) AS letters, TRUE AS fits, TRUE AS whole FROM documents WHERE text IS NOT NULL")
+def long_joined(spark: SparkSession, folder: str) -> DataFrame:
+    return _rejoined(chunks.split_long(table(spark, folder, "documents")), "part_no", chunks.MOST)
+
+
 @add("merge_native_ocr", "SELECT part_id, text || chr(10) || 'seen once' AS merged FROM document_parts")
 def merge_native_ocr(spark: SparkSession, folder: str) -> DataFrame:
     """Recognized lines that the native text holds already, and one that it doesn't."""

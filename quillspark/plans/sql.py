@@ -44,6 +44,23 @@ SPARK_SERIES = (
     f"UNION ALL SELECT merchant, date, amount, CAST(number AS BIGINT) FROM (VALUES {SINGLE_ROWS}) AS t(merchant, date, amount, number))"
 )
 
+# Series planted for the customers: each third one has a monthly subscription, whose price rises for some in the second half; each
+# third one buys at odd times, and is charged twice now and then.
+_PLANTED = (
+    "(SELECT CAST(seq AS {s}) AS txn_id, date, merchant, CAST(cents * 0.01 AS DECIMAL(20,2)) AS amount, 'card' AS account, CAST(NULL AS {s}) AS category, seq FROM ("
+    "SELECT concat('SUB #', c_custkey) AS merchant, CAST({month} AS DATE) AS date, 599 + 100 * (c_custkey % 40) + CASE WHEN c_custkey % 9 = 0 AND i >= 6 THEN 150 + c_custkey % 7 ELSE 0 END AS cents, "
+    "CAST(c_custkey * 100 + i AS BIGINT) AS seq FROM (SELECT c_custkey, {range} AS i FROM customer WHERE c_custkey % 3 = 0) x "
+    "UNION ALL SELECT concat('SHOP #', c_custkey), CAST({day} AS DATE), 250 + (c_custkey * {pair}) % 9000, CAST(c_custkey * 100 + i AS BIGINT) FROM (SELECT c_custkey, {range} AS i FROM customer WHERE c_custkey % 3 = 1) y) z)"
+)
+PLANTED = _PLANTED.format(
+    s="VARCHAR", pair="(i // 2)", range="unnest(generate_series(0, 11))", month="DATE '2025-01-01' + CAST(c_custkey % 28 AS INTEGER) + to_months(CAST(i AS INTEGER))",
+    day="DATE '2025-01-01' + CAST(i // 2 * (5 + c_custkey % 31) + i % 2 * (c_custkey % 6) AS INTEGER)",
+)
+SPARK_PLANTED = _PLANTED.format(
+    s="STRING", pair="(i div 2)", range="explode(sequence(0, 11))", month="add_months(date_add(DATE '2025-01-01', CAST(c_custkey % 28 AS INT)), i)",
+    day="date_add(DATE '2025-01-01', CAST(i div 2 * (5 + c_custkey % 31) + i % 2 * (c_custkey % 6) AS INT))",
+)
+
 
 def half_up(numerator: str, denominator: str) -> str:
     """Exact division of integers, half away from zero; the denominator is positive."""

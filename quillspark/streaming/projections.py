@@ -39,7 +39,7 @@ APPLIED = "event_id string, payload_hash string, source_hash string, ledger_id b
 RECEIPTS = "kind string, key string, content string"
 GROUP = ["account", "merchant_key", "amount"]
 #: Folders that receipts and applied rows are laid out in.
-BUCKETS = 64
+BUCKETS = 16
 SUMMARY = "account string, month string, gross_expense decimal(20,2), credits decimal(20,2), net_expense decimal(20,2), transaction_count bigint"
 FINDINGS = "account string, merchant_key string, amount decimal(20,2), times int, txn_ids array<string>, dates array<date>, id string"
 
@@ -107,6 +107,13 @@ def missing_events(txns: DataFrame, batches: DataFrame, published: DataFrame) ->
     return txns.join(there, "id", "left_anti").join(known, "batch_id")
 
 
+def delivery_status(txns: DataFrame, published: DataFrame) -> DataFrame:
+    """(state, events): ledger rows with a delivered event, and those that wait for one."""
+    there = published.where(F.col("ledger_id").isNotNull()).select(F.col("ledger_id").alias("id")).distinct()
+    count = lambda rows, state: rows.agg(F.lit(state).alias("state"), F.count("*").alias("events"))
+    return count(there, "delivered").unionByName(count(txns.join(there, "id", "left_anti"), "pending"))
+
+
 def buckets_of(rows: DataFrame, *key: str) -> list[int]:
     """The folders that rows fall into, at most BUCKETS."""
     return [r[0] for r in rows.select(bucket(*key)).distinct().collect()]

@@ -39,7 +39,7 @@ def test_detectors_find_the_traps(year):
 
 def test_tools(spark, year, tmp_path):
     tools = FinanceTools(lambda: year, today=lambda: date(2026, 8, 20))
-    assert tools.describe_data().first()["accounts"] == "card"
+    assert tools.describe_data().first()["accounts"] == 1
     assert tools.query_transactions(categories=["订阅"], group_by="month").groups.count() == 12
     assert tools.project_spending().is_partial and not tools.project_spending("2026-07").is_partial
     assert {r["merchant"] for r in tools.upcoming_charges(30).collect()} >= {"NETFLIX.COM", "PACIFIC PROPERTY MGMT"}

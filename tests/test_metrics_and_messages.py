@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import QueryError
 from quillspark.operators import metrics as M
+from quillspark.operators import traps
 from quillspark.operators.messages import canonical_json, canonical_sha256, conflicting_deliveries, deliver_once, identifier, repeated_deliveries
 
 DELIVERIES = "delivery_id long, event_id string, ledger_id long, payload string, payload_hash string, account string, event string"
@@ -161,3 +162,33 @@ def test_identifiers_of_other_kinds_stay_whole(spark):
     deliveries = spark.createDataFrame([(i, x, None, '{"a":1}', None) for i, x in enumerate(others[:4] + ["zz-ab"])], "delivery_id long, event_id string, ledger_id long, payload string, payload_hash string")
     receipts = spark.createDataFrame([], "consumer string, event_id string, payload_hash string")
     assert [r["delivery_id"] for r in repeated_deliveries(deliveries, receipts).collect()] == [4]
+
+
+def test_percentiles_interpolate(spark):
+    values = {"a": [1.0, 5.0, 2.0, 2.0, None], "b": [7.0], "c": [None]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    got = {r["g"]: (r["low"], r["mid"], r["high"]) for r in M.percentiles(rows, "g", "v", {"low": 0.0, "mid": 0.5, "high": 0.95}).collect()}
+    assert got == {"a": (1.0, 2.0, pytest.approx(4.55)), "b": (7.0, 7.0, 7.0)}
+    assert M.percentiles(rows.limit(0), "g", "v", {"p": 0.5}).count() == 0
+
+
+def test_small_summaries(spark):
+    cases = spark.createDataFrame([("g", 1, 2), ("g", None, None), ("h", 3, 4)], "case_group string, file_rank int, heading_rank int")
+    assert {tuple(r) for r in M.rank_summary(cases).collect()} == {("g", 2, 1, 0.5, 0.0, 0.5, 2.0), ("h", 1, 1, 0.0, 0.0, 0.0, 4.0)}
+    passages = spark.createDataFrame([("a", "x" * 100), ("b", "x" * 40), ("b", "x" * 40), ("c", None)], "g string, t string")
+    assert {(r["g"], r["problem"]) for r in M.context_gate(passages, "g", "t").collect()} == {("a", None), ("b", "short"), ("c", "none")}
+    steps = spark.createDataFrame([("t", "abcd", True, False), ("t", "ab", False, True), ("u", None, False, True), ("v", "abc", False, True)], "task_id string, content string, is_call boolean, is_answer boolean")
+    assert {tuple(r) for r in M.context_accounting(steps).collect()} == {("t", 1, 6, 2, 4), ("u", 0, 0, 0, 0), ("v", 0, 3, 3, 0)}
+    repeated = spark.createDataFrame([("1", "q"), ("2", "q"), ("3", None)], "id string, question string")
+    assert [tuple(r) for r in M.repeated_cases(repeated, "id", "question").collect()] == [("question", "q", 2)]
+
+
+def test_traps_of_a_bill(spark):
+    rows = [("s", f"2026-{m:02d}-01", "10.00" if m < 7 else "14.00", "订阅") for m in range(1, 13)] + [("d", "2026-01-05", "30.00", "购物")] * 2 + [("d", "2026-02-05", "-1.00", "购物"), ("w", "2026-01-01", "1.00", "购物"), ("w", "2026-01-02", "3000.00", "购物")]
+    bill = spark.createDataFrame([(str(i), d, m, a, c, i) for i, (m, d, a, c) in enumerate(rows)], "txn_id string, date string, merchant string, amount string, category string, seq long").withColumn("amount", F.col("amount").cast("decimal(20,2)"))
+    found = traps.trap_check(bill).first().asDict()
+    assert found == {"doubled_days": 1, "refunds": 1, "small_regular": 1, "risen": 2, "wide_spread": 1, "far_outliers": 0}
+    labels = bill.select("txn_id", F.when(F.col("merchant") == "w", "x").otherwise("y").alias("category"))
+    assert traps.trap_check(bill, labels).first()["far_outliers"] == 0 and traps.trap_check(bill.limit(0)).first()["risen"] == 0
+    many = bill.unionByName(spark.createDataFrame([(f"m{i}", "2026-03-01", "v", "1.00", "购物", 100 + i) for i in range(40)], "txn_id string, date string, merchant string, amount string, category string, seq long").withColumn("amount", F.col("amount").cast("decimal(20,2)")))
+    assert traps.trap_check(many).first()["far_outliers"] == 1
