@@ -458,15 +458,20 @@ class LinkageStore:
         record without identifier that it fits, if that belongs to no other
         transaction.  So batches one after another give what all at once give.
         """
-        lines = written(normalised(batch).dropDuplicates(["id"]))
+        lines = normalised(batch)
+        repeated = not batch.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").isEmpty()
+        lines = written(lines.dropDuplicates(["id"]) if repeated else lines)
         related = self.related(lines)
         both = [rows.withColumn("fresh", F.lit(fresh)) for rows, fresh in ((related, False), (lines.withColumn("root", F.col("id")).withColumn("named", F.col("value").isNotNull()), True))]
         records = both[0].unionByName(both[1])
         records = written(self._filed(records, files))
         stored = records.where("not fresh")
-        new = records.where("fresh").join(stored.select("id"), "id", "left_anti")
-        known = stored.join(lines.select("id"), "id", "left_semi").where("root <> id").select(F.col("root").alias("original_id"), F.col("id").alias("duplicate_id"))
-        held = stored.unionByName(new)
+        known = stored.join(lines.select("id"), "id", "left_semi").select("id", "root")
+        new, held = records.where("fresh"), records
+        if not known.isEmpty():  # a batch that was stored before, or part of one
+            new = new.join(stored.select("id"), "id", "left_anti")
+            held = stored.unionByName(new)
+        known = known.where("root <> id").select(F.col("root").alias("original_id"), F.col("id").alias("duplicate_id"))
         pairs = candidates(held)
         if weights is None:
             weights = self.weights()
