@@ -88,7 +88,7 @@ def test_long_and_short_documents_count_alike(docs, monkeypatch):
     rows = lambda: sorted(map(tuple, R.build_index(docs, {"body": "text"}).postings.collect()))
     short = rows()
     monkeypatch.setattr(R, "SHORT", 0)
-    assert rows() == short and ("body", "利率", 2, 2, 8) in short
+    assert rows() == short and ("body", "利率", 2, 2, 9) in short
 
 
 def test_nearest_and_parents(spark, monkeypatch):
