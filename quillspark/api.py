@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .errors import QueryError
 from .operators import forecast, query, retrieval, sequences
-from .operators.ledger import Correction, LedgerStore
+from .operators.ledger import Correction, ImportResult, LedgerStore
 from .operators.query import Filters, QueryResult
 from .streaming.projections import Projection
 
@@ -96,6 +96,12 @@ class FinanceTools:
             raise QueryError("corrections need a stored ledger")
         return self.ledger.correct_category(merchant, category, expected_version, request_id)
 
+    def import_ledger(self, rows: DataFrame, source_name: str, data: bytes, tagged: DataFrame | None = None) -> ImportResult:
+        """Import the rows read from a file, or the same rows with categories."""
+        if self.ledger is None:
+            raise QueryError("imports need a stored ledger")
+        return self.ledger.import_file(rows, source_name, data, tagged)
+
     def list_accounts(self) -> DataFrame:
         return query.accounts(self.bill())
 

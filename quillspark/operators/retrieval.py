@@ -189,6 +189,11 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
     are shuffled. The queries are a parameter, at most MOST_QUERIES; a table of
     queries goes to ``nearest_all``.
     """
+    return _top(_candidates(vectors, queries, k, key, vector), k)
+
+
+def _candidates(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int | None, key: str, vector: str) -> DataFrame:
+    """(query_id, id, distance): of every batch the k nearest of each query, or all."""
     if len(queries) > MOST_QUERIES:
         raise QueryError(f"at most {MOST_QUERIES} queries at once; give them as a table")
     ids = np.array([q for q, _ in queries], np.int64)
@@ -197,10 +202,10 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch) and len(ids):
-                yield best_rows(batch[key].to_numpy(), _as_matrix(batch[vector], matrix.shape[1]), ids, matrix, k)
+                yield best_rows(batch[key].to_numpy(), _as_matrix(batch[vector], matrix.shape[1]), ids, matrix, k or len(batch))
 
     kind = dict(vectors.dtypes)[key]
-    return _top(vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(best, f"query_id bigint, id {kind}, distance double"), k)
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(best, f"query_id bigint, id {kind}, distance double")
 
 
 def nearest_all(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -287,8 +292,7 @@ def dense_ranks(children: DataFrame, question: list[float], per_channel: int = P
     gives the nearest ``per_channel`` parents.
     """
     if exhaustive:
-        by_parent = children.select("child_id", "parent_id", "vector")
-        distances = nearest(by_parent, [(0, question)], 1 << 30, "child_id", "vector")
+        distances = _candidates(children, [(0, question)], None, "child_id", "vector")
         best = distances.join(children.select(F.col("child_id").alias("id"), "parent_id"), "id").groupBy("parent_id").agg(F.min("distance").alias("distance"))
         return ranked(best.select(F.col("parent_id").alias("doc_id"), (-F.col("distance")).alias("score")), "semantic", per_channel)
     near = nearest(children, [(0, question)], per_channel, "child_id", "vector")

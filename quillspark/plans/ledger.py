@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import labelled, normalized_merchant, rule_category
+from ..functions.columns import STATES, labelled, normalized_merchant, rule_category
 from ..operators import categorize, forecast, ledger, query, sequences
 from ..operators.query import Filters
 from ..schema import CATEGORIES, FALLBACK, RULES, UNCATEGORIZED
+from ..session import checkpoint_root, forget
 from ..sources.ledger import events_ledger, lineitem_ledger, orders_ledger, parsed_rows, stored_ledger
 from ..sources.tables import table
 from ..streaming import projections
@@ -162,7 +164,7 @@ def ingest_flip_sign_incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- merchants and categories -----------------------------------------------------------------------------------------
 
-_STATES = "'AL','AK','AZ','AR','CA','CO','CT','DE','DC','FL','GA','HI','ID','IL','IN','IA','KS','KY','LA','ME','MD','MA','MI','MN','MS','MO','MT','NE','NV','NH','NJ','NM','NY','NC','ND','OH','OK','OR','PA','RI','SC','SD','TN','TX','UT','VT','VA','WA','WV','WI','WY'"
+_STATES = ",".join(f"'{code}'" for code in STATES)
 
 
 def _key_sql(merchant: str) -> str:
@@ -529,3 +531,60 @@ def missing_events(spark: SparkSession, folder: str) -> DataFrame:
 def delivery_status(spark: SparkSession, folder: str) -> DataFrame:
     """How many rows of the ledger have an event that was delivered, and how many wait for one."""
     return projections.delivery_status(*(table(spark, folder, t) for t in ("ledger_transactions", "event_deliveries")))
+
+
+# --- the stored ledger ------------------------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession) -> ledger.LedgerStore:
+    """A ledger of its own for one query, gone with the session."""
+    folder = f"{checkpoint_root(spark)}/ledger-{uuid.uuid4().hex}"
+    forget(spark, folder)
+    return ledger.LedgerStore(spark, folder)
+
+
+_OLD = f"(SELECT count(*) FROM {S.ORDERS} t WHERE seq % 3 <> 0)"
+_ALL = f"(SELECT count(*) FROM {S.ORDERS} t)"
+
+
+@add(
+    "import_repeat",
+    f"SELECT 1 AS step, {_OLD} AS imported, 0 AS skipped, FALSE AS repeated UNION ALL SELECT 2, 0, {_OLD}, TRUE UNION ALL SELECT 3, 0, {_OLD}, TRUE UNION ALL SELECT 4, {_ALL} - {_OLD}, {_OLD}, FALSE",
+)
+def import_repeat(spark: SparkSession, folder: str) -> DataFrame:
+    """Two thirds of the orders imported, the same again, once more by content alone, then all orders."""
+    store, rows = _store(spark), orders_ledger(spark, folder).withColumn("category", F.lit(None).cast("string"))
+    old = rows.where(F.col("seq") % 3 != 0)
+    steps = [store.import_rows(old, "one"), store.import_rows(old, "copy"), store.import_rows(old.orderBy(F.desc("seq")), "reordered"), store.import_rows(rows, "all", "hash of all")]
+    made = [(i, r.imported, r.skipped, r.repeated_file) for i, r in enumerate(steps, 1)]
+    return spark.createDataFrame(made, "step int, imported long, skipped long, repeated boolean")
+
+
+_TAGS = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
+
+
+@add("import_tagged", f"SELECT {_TAGS}[1 + seq % {len(CATEGORIES)}] AS category, count(*) AS rows, CAST(sum(amount) AS DECIMAL(20,2)) AS amount FROM {S.ORDERS} t GROUP BY 1")
+def import_tagged(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders as a file that was categorized before it was imported."""
+    store, rows = _store(spark), orders_ledger(spark, folder).withColumn("category", F.lit(None).cast("string"))
+    tagged = rows.withColumn("category", F.element_at(F.array(*map(F.lit, CATEGORIES)), (1 + F.col("seq") % len(CATEGORIES)).cast("int")))
+    store.import_file(rows, "orders.csv", b"orders", tagged)
+    return store.transactions().groupBy("category").agg(F.count("*").alias("rows"), F.sum("amount").cast("decimal(20,2)").alias("amount"))
+
+
+_FIRST = "(SELECT merchant_key AS k, first(category ORDER BY id) AS c FROM ledger_transactions WHERE merchant_key = (SELECT min(merchant_key) FROM ledger_transactions) GROUP BY 1)"
+
+
+@add(
+    "correction_log",
+    f"SELECT k AS merchant_key, c AS before_category, '旅行' AS category, 0 AS before_version, 1 AS version, TRUE AS changed, 'r1' AS request_id FROM {_FIRST} UNION ALL SELECT k, '旅行', '旅行', 1, 1, FALSE, 'r2' FROM {_FIRST} "
+    f"UNION ALL SELECT k, '旅行', '娱乐', 1, 2, TRUE, 'r3' FROM {_FIRST}",
+)
+def correction_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit of four corrections of the first merchant: one, the same request again, one that changes nothing, another."""
+    store, rows = _store(spark), table(spark, folder, "ledger_transactions")
+    first = rows.agg(F.min("merchant_key")).first()[0]
+    store.import_rows(stored_ledger(spark, folder).join(rows.where(F.col("merchant_key") == first).select(F.col("id").alias("seq")), "seq", "left_semi"), "bill")
+    for category, version, request in (("旅行", 0, "r1"), ("旅行", 0, "r1"), ("旅行", 1, "r2"), ("娱乐", 1, "r3")):
+        store.correct_category(first, category, version, request)
+    return store.audits().drop("created_at")

@@ -151,6 +151,27 @@ def child_to_parent(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.parents(_nearest(spark, folder, 30), owners)
 
 
+_ASKED = f"""SELECT e.vec_id AS id, e.vec_id // 5 AS parent_id, round(1 - list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 9) AS distance FROM {_VECTORS} e, (SELECT v FROM {_VECTORS} ORDER BY vec_id LIMIT 1) q"""
+
+
+def _dense(spark: SparkSession, folder: str, exhaustive: bool) -> DataFrame:
+    """The parents nearest to the first vector; five vectors make a parent."""
+    vectors = table(spark, folder, "embeddings")
+    first = vectors.orderBy("vec_id").select("embedding").first()
+    children = vectors.select(F.col("vec_id").alias("child_id"), F.floor(F.col("vec_id") / 5).alias("parent_id"), F.col("embedding").alias("vector"))
+    return retrieval.dense_ranks(children, list(first["embedding"]) if first else [], exhaustive=exhaustive).select(F.col("doc_id"), "channel", "rank")
+
+
+@add("dense_rank", f"SELECT parent_id AS doc_id, 'semantic' AS channel, CAST(row_number() OVER (ORDER BY min(place), parent_id) AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY distance, id) AS place FROM ({_ASKED})) WHERE place <= 30 GROUP BY parent_id")
+def dense_rank(spark: SparkSession, folder: str) -> DataFrame:
+    return _dense(spark, folder, False)
+
+
+@add("exhaustive_rank", f"SELECT * FROM (SELECT parent_id AS doc_id, 'semantic' AS channel, CAST(row_number() OVER (ORDER BY min(distance), parent_id) AS INTEGER) AS rank FROM ({_ASKED}) GROUP BY parent_id) WHERE rank <= 30")
+def exhaustive_rank(spark: SparkSession, folder: str) -> DataFrame:
+    return _dense(spark, folder, True)
+
+
 @add("cosine_pairs", f"SELECT a.vec_id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS distance FROM {_VECTORS} a JOIN {_VECTORS} b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
