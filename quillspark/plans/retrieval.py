@@ -139,9 +139,9 @@ def _nearest(spark: SparkSession, folder: str, k: int) -> DataFrame:
     return retrieval.nearest_all(vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k)
 
 
-@add("knn_cosine", f"SELECT query_id, id, round(distance, 6) AS distance, rank FROM ({_RANKED}) WHERE rank <= 10")
+@add("knn_cosine", f"SELECT query_id, id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance, rank FROM ({_RANKED}) WHERE rank <= 10")
 def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return _nearest(spark, folder, 10).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return _nearest(spark, folder, 10).select("query_id", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), "rank")  # no -0.0
 
 
 @add("child_to_parent", f"WITH p AS (SELECT query_id, id // 5 AS parent_id, min(rank) AS r FROM ({_RANKED}) WHERE rank <= 30 AND id % 7 <> 0 GROUP BY 1, 2) SELECT query_id, parent_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r, parent_id) AS INTEGER) AS rank FROM p")
