@@ -18,6 +18,7 @@ file); nothing is trained here.
 from __future__ import annotations
 
 import base64
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -216,7 +218,14 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> str:
+    """The name by which tasks find a file of the driver, sent to every executor once. Files of different content need different names."""
+    spark.sparkContext.addFile(vocabulary)
+    return os.path.basename(vocabulary)
+
+
 def _encoded(batches, vocabulary: str, make):
+    vocabulary = SparkFiles.get(vocabulary)
     for batch in batches:
         texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
         at = 0
@@ -245,8 +254,10 @@ def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str = DEF
             columns += [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (slice_start, slice_first - begin[per_text])]
         return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
+    name = shipped(docs.sparkSession, vocabulary)
+
     def encode(batches):
-        yield from _encoded(batches, vocabulary, make)
+        yield from _encoded(batches, name, make)
 
     return docs.select(key, text).mapInArrow(encode, T.StructType(fields))
 
@@ -258,8 +269,10 @@ def count_tokens(docs: DataFrame, key: str, text: str, vocabulary: str = DEFAULT
     def make(keys, _, begin, *__):
         return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(begin), pa.int64())], names=[key, "n_tokens"])
 
+    name = shipped(docs.sparkSession, vocabulary)
+
     def count(batches):
-        yield from _encoded(batches, vocabulary, make)
+        yield from _encoded(batches, name, make)
 
     return docs.select(key, text).mapInArrow(count, schema)
 

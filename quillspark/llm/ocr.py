@@ -362,11 +362,17 @@ class ScannedPages:
         pages = dressed.groupBy("source", "page", "part_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["line_no"] - b["line_no"]).alias("rows"))
         made = pages.select("source", "page", "part_id", F.posexplode(page_paragraphs("rows")).alias("no", "p")).select("source", "page", "part_id", "no", "p.*")
         made = cut(made)
-        # Only marks go through the window over a source, not its text.
-        order = Window.partitionBy("source").orderBy("page", "part_id", "no")
-        goes_on = F.col("open_start") & F.coalesce(F.lag("open_end").over(order), F.lit(False)) & (F.col("no") == 0)
-        marks = made.select("source", "page", "part_id", "no", "open_start", "open_end").withColumn("goes_on", goes_on)
-        numbered = marks.withColumn("paragraph_no", F.sum((~F.col("goes_on")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        # Only marks are put in order, not text; they are dealt by range, so no task needs all of a source.
+        place = ["page", "part_id", "no"]
+        marks = made.select("source", *place, "open_start", "open_end")
+        dealt = cut(marks.repartitionByRange("source", *place).withColumn("block", F.spark_partition_id()))
+        inside, across = Window.partitionBy("source", "block").orderBy(*place), Window.partitionBy("source").orderBy("block")
+        ends = dealt.groupBy("source", "block").agg(F.max_by("open_end", F.struct(*place)).alias("last")).withColumn("before", F.lag("last").over(across)).drop("last")
+        flagged = dealt.join(ends, ["source", "block"]).withColumn("open_before", F.coalesce(F.lag("open_end").over(inside), "before", F.lit(False)))
+        begun = flagged.withColumn("begins", (~(F.col("open_start") & F.col("open_before") & (F.col("no") == 0))).cast("int"))
+        sums = begun.groupBy("source", "block").agg(F.sum("begins").alias("n"))
+        earlier = sums.select("source", "block", F.coalesce(F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+        numbered = begun.join(earlier, ["source", "block"]).withColumn("paragraph_no", F.col("earlier") + F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         parts = numbered.select("source", "page", "part_id", "no", "paragraph_no").join(made.select("source", "page", "part_id", "no", "text", "joins"), ["source", "page", "part_id", "no"])
         grouped = parts.groupBy("source", "paragraph_no").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(F.struct("page", "part_id", "no", "text", "joins"))).alias("parts"))
         text = F.aggregate(
