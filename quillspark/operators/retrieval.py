@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..errors import QueryError
 from ..functions.text import tokens
+from ..session import written
 from ..storage import fingerprint_of, read_mark, write_mark
 from .chunks import split_children
 
@@ -45,7 +46,9 @@ class TextIndex:
         """
         name = uuid.uuid4().hex
         self.postings.repartitionByRange("field", "token", "doc_id").sortWithinPartitions("field", "token", "doc_id").write.parquet(f"{folder}/{name}/postings")
-        self.terms.repartitionByRange("field", "token").sortWithinPartitions("field", "token").write.parquet(f"{folder}/{name}/terms")
+        stored = self.totals.sparkSession.read.parquet(f"{folder}/{name}/postings")
+        terms = stored.groupBy("field", "token").agg(F.count("*").alias("df"))
+        terms.repartitionByRange("field", "token").sortWithinPartitions("field", "token").write.parquet(f"{folder}/{name}/terms")
         self.totals.write.parquet(f"{folder}/{name}/totals")
         write_mark(self.totals.sparkSession, f"{folder}/mark", f"{name} {fingerprint}")
 
@@ -53,22 +56,15 @@ class TextIndex:
 def build_index(docs: DataFrame, fields: dict[str, str]) -> TextIndex:
     """Index the columns of ``fields`` (field name to column) of a table with ``doc_id``."""
     named = F.explode(F.array(*(F.struct(F.lit(name).alias("field"), tokens(F.col(column)).alias("tokens")) for name, column in fields.items())))
-    split = docs.select("doc_id", named.alias("f")).select("doc_id", "f.field", "f.tokens", F.size("f.tokens").alias("length"))
-    # Counted within the document, so that only one row for each token and document is shuffled.
-    counts = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-    short = F.size("tokens") <= SHORT
-    few = split.where(short).select("field", "doc_id", "length", F.explode(counts).alias("c")).select("field", "c.token", "doc_id", F.col("c.tf").cast("long").alias("tf"), "length")
-    many = split.where(~short).select("field", "doc_id", "length", F.explode("tokens").alias("token")).groupBy("field", "token", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    postings = few.unionByName(many.select("field", "token", "doc_id", "tf", "length"))
+    # Texts are read into tokens once; everything else is counted from those.
+    split = written(docs.select("doc_id", named.alias("f")).select("doc_id", "f.field", "f.tokens", F.size("f.tokens").alias("length")))
+    one = split.select("field", "doc_id", "length", F.explode("tokens").alias("token"))
+    postings = one.groupBy("field", "token", "doc_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     terms = postings.groupBy("field", "token").agg(F.count("*").alias("df"))
     totals = split.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("average"))
     return TextIndex(postings, terms, totals)
 
 
-#: Tokens up to which a document counts its own by comparing each with each.
-SHORT = 200
-
-
 def load_index(spark: SparkSession, folder: str) -> tuple[TextIndex, str] | None:
     """The stored index and its fingerprint; None where none was ever stored. A damaged one is an error."""
     mark = read_mark(spark, f"{folder}/mark")

@@ -84,11 +84,11 @@ def test_index_is_reused_until_the_texts_change(docs, spark, tmp_path):
     assert R.load_index(spark, str(tmp_path / "none")) is None
 
 
-def test_long_and_short_documents_count_alike(docs, monkeypatch):
-    rows = lambda: sorted(map(tuple, R.build_index(docs, {"body": "text"}).postings.collect()))
-    short = rows()
-    monkeypatch.setattr(R, "SHORT", 0)
-    assert rows() == short and ("body", "利率", 2, 2, 9) in short
+def test_postings_carry_lengths(docs):
+    index = R.build_index(docs, {"body": "text"})
+    rows = {(r["token"], r["doc_id"]): (r["tf"], r["length"]) for r in index.postings.collect()}
+    assert rows["利率", 2] == (2, 9) and rows["rate", 5] == (1, 3)
+    assert {r["token"]: r["df"] for r in index.terms.collect()}["利率"] == 2
 
 
 def test_nearest_and_parents(spark, monkeypatch):
