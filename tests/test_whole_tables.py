@@ -48,4 +48,4 @@ def test_rules_over_every_key(spark, folder):
 
 
 def test_traps_of_the_lines(spark, folder):
-    assert __spark_entry__.queries()["trap_check_lines"](spark, folder).first().asDict() == {"doubled_days": 0, "refunds": 1, "small_regular": 0, "risen": 0}
+    assert __spark_entry__.queries()["trap_check_lines"](spark, folder).first().asDict() == {"doubled_days": 0, "refunds": 1, "small_regular": 0, "risen": 0, "far_outliers": 0, "wide_spread": 0}
