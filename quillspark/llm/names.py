@@ -9,8 +9,9 @@ string is cut into three segments, at least one of which survives two edits, so
 every string looks up its position-shifted substrings in an inverted index of
 the segments of other names in the same line of business.  A second set of cuts,
 one place further, keeps swaps of neighbours that cross a cut of the first.
-Candidates are verified by banded edit distance, then by the distance that
-counts a swap as one edit.
+Where they meet, candidates whose letters differ by more than the allowed edits
+are left out, before any pair is written.  The rest are verified by banded edit
+distance, then by the distance that counts a swap as one edit.
 
 Initials and words written without vowels lose more than two letters.  They are
 looked up as views of full names, and count only if all full names they fit are
@@ -189,6 +190,28 @@ def within(a: list[str], b: list[str], most: int) -> bool:
     return any(swap_distance(p, q, most) <= most for p, q in {(x[0], y[0]), (x[-1], y[-1])})
 
 
+#: Letters counted in ``letters``, three bits each: those that stay apart in ``sound`` and have no part in "ph", and two for all other characters.
+COUNTED = {c: i for i, c in enumerate("abdegijklmnorstuvxz")}
+
+
+def letters(words: list[str]) -> int:
+    """Which letters the words have at least once, twice and three times, alike for both forms and for each order of the words.
+
+    An edit takes away one bit at most and adds one at most, a swap none.
+    """
+    seen: dict[int, int] = {}
+    for c in "".join(words).translate(SOUNDS):
+        if c not in "phf":
+            at = COUNTED.get(c, len(COUNTED) + ord(c) % 2)
+            seen[at] = seen.get(at, 0) + 1
+    return sum((1 << min(n, 3)) - 1 << 3 * at for at, n in seen.items())
+
+
+@F.pandas_udf(T.LongType())
+def letters_of(words: pd.Series) -> pd.Series:
+    return pd.Series([letters(list(w)) for w in words], dtype="int64")
+
+
 def cuts(length: int) -> Iterator[tuple[int, int, int]]:
     """(number of segment, start, end) of the segments of a string, for both sets of cuts."""
     for shift in (0, 1):
@@ -317,28 +340,33 @@ class NameGroups:
         # Cut here, else the planner reads every row's name before it takes the distinct ones.
         distinct = cut(rows.select(F.col(name).alias("name")).where(F.col("name") != "").distinct())
         read = distinct.withColumn("read", read_names("name")).select("name", "read.line", "read.words").where(F.size("words") > 0)
-        self.names = cut(read.withColumn("view", views("line", "words")))
+        # The id stands for the name in what is shuffled; it stays as it is, since this is cut.
+        self.names = cut(read.withColumns({"view": views("line", "words"), "letters": letters_of("words"), "id": F.monotonically_increasing_id()}))
         self.strong = cut(self._strong())
         self.roots = cut(self._roots())
 
-    def _strong(self) -> DataFrame:
+    def _candidates(self) -> DataFrame:
+        """(a, b): ids of names that meet in the index and whose letters don't tell them apart."""
         full = self.names.where(F.col("view.typed"))
 
-        def entries(function):
+        def entries(function, side):
             # Entries travel as hashes; a collision only adds a candidate.
-            rows = full.select("name", F.col("line").alias("l"), F.explode(function("line", "words")).alias("e"))
-            return rows.select("name", F.xxhash64("l", "e.length", "e.number", "e.part").alias("entry"))
+            rows = full.select("id", "letters", F.col("line").alias("l"), F.explode(function("line", "words")).alias("e"))
+            return rows.select(F.xxhash64("l", "e.length", "e.number", "e.part").alias("entry"), F.col("id").alias(side), F.col("letters").alias(f"of_{side}"))
 
-        pairs = (
-            entries(index_entries).withColumnRenamed("name", "a")
-            .join(entries(probe_entries).withColumnRenamed("name", "b"), "entry")
-            .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        words = self.names.select("name", "line", "words")
-        both = pairs.join(words.select(F.col("name").alias("a"), "line", F.col("words").alias("x")), "a").join(
-            words.select(F.col("name").alias("b"), F.col("line").alias("other"), F.col("words").alias("y")), "b"
+        # In the join, not after it: in a large line of business most names that share a segment have nothing else in common, and their pairs grow with the square of the names.
+        lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y))) <= EDITS
+        met = entries(index_entries, "a").join(entries(probe_entries, "b"), "entry").where((F.col("a") != F.col("b")) & lacks("of_a", "of_b") & lacks("of_b", "of_a"))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def _strong(self) -> DataFrame:
+        words = self.names.select("id", "line", F.struct("name", "words").alias("n"))
+        both = self._candidates().join(words.select(F.col("id").alias("a"), "line", F.col("n").alias("m")), "a").join(
+            words.select(F.col("id").alias("b"), F.col("line").alias("other"), "n"), "b"
         )
-        close = both.where((F.col("line") == F.col("other")) & (nearly("x", "y") | nearly("y", "x")))
+        both = both.where("line = other").select("line", F.least("m", "n").alias("m"), F.greatest("m", "n").alias("n"))
+        both = both.select("line", F.col("m.name").alias("a"), F.col("m.words").alias("x"), F.col("n.name").alias("b"), F.col("n.words").alias("y"))
+        close = both.where(nearly("x", "y") | nearly("y", "x"))
         return close.where(same_owner("line", "x", "y")).select("a", "b")
 
     def _roots(self) -> DataFrame:

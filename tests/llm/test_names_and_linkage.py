@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
 import pytest
@@ -79,6 +79,27 @@ def test_two_edits_always_meet_in_the_index():
     assert total > 2000 and missed <= total * 0.003  # two swaps across cuts of both sets
 
 
+def test_names_with_other_letters_are_no_candidates(spark):
+    owners = ["".join(p) for p in product("bdgklm", "ou", "nrstvz", "ei")]  # 144 that all end alike
+    names = [f"{o}kaven books" for o in owners] + ["bonekavne books"]
+    rows = N.NameGroups(spark.createDataFrame([(n,) for n in names], "k string"), "k")
+    name = {r["id"]: r["name"] for r in rows.names.collect()}
+    met = {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in rows._candidates().collect()}
+    near = {p for p in combinations(sorted(names), 2) if N.swap_distance(*(n.split()[0] for n in p), 2) <= 2}
+    assert near <= met and len(met) < len(names) * (len(names) - 1) / 2 * 0.9
+    assert {tuple(sorted((r["a"], r["b"]))) for r in rows.strong.collect()} == near
+
+
+def test_letters_never_tell_two_edits_apart():
+    rng = random.Random(6)
+    for _ in range(3000):
+        a = "".join(rng.choice("abeknzwcyqphfé1") for _ in range(rng.randrange(2, 16)))
+        b = edit(rng, edit(rng, a) or "a") or "a"
+        for x, y in ((a, b), (N.sound([a]), N.sound([b])), (a[3:] + a[:3], b)):
+            x, y = N.letters([x]), N.letters([y])
+            assert (x & ~y).bit_count() <= 2 and (y & ~x).bit_count() <= 2 and x < 1 << 63, (a, b)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abc", max_size=8), st.text(alphabet="abc", max_size=8))
 def test_banded_distance_equals_the_full_table(a, b):
