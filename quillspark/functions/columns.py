@@ -69,7 +69,10 @@ def normalized_merchant(merchant: Column) -> Column:
     state = F.element_at(words, -1).isin(STATES) & (F.size(words) >= 3)
     named = F.when(state, F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(1)))).otherwise(words)
     plain = F.filter(named, lambda w: ~w.rlike(r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]"))
-    return F.coalesce(F.nullif(F.lower(F.array_join(plain, " ")), F.lit("")), F.lower(F.regexp_replace(merchant, r"(?U)^\s+|\s+$", "")))
+    key = F.coalesce(F.nullif(F.lower(F.array_join(plain, " ")), F.lit("")), F.lower(F.regexp_replace(merchant, r"(?U)^\s+|\s+$", "")))
+    # Most names are ASCII words between single blanks, without a digit, star or slash or a state at their end: nothing is taken out of them.
+    whole = merchant.rlike(r"^[!-)+-.:-~]+( [!-)+-.:-~]+)*\z") & ~F.substring_index(merchant, " ", -1).isin(STATES)
+    return F.when(whole, F.lower(merchant)).otherwise(key)
 
 
 def rule_category(key: Column) -> Column:

@@ -355,11 +355,11 @@ def _streamed(spark: SparkSession, folder: str, consumer: str) -> DataFrame:
     forget(spark, root)
     # Small row groups, so that several tasks can read a file; rows are dealt before they are events, which are longer.
     small = {"parquet.block.size": 8 << 20}
-    event_of(table(spark, folder, "ledger_transactions").repartition(3)).select("value").write.options(**small).parquet(f"{root}/events/first")
+    event_of(table(spark, folder, "ledger_transactions").repartition(6)).select("value").write.options(**small).parquet(f"{root}/events/first")
     projection = Projection(spark, f"{root}/state", consumer)
     messages = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{root}/events")
     run_projection(messages, projection, f"{root}/checkpoint").awaitTermination()
-    spark.read.parquet(f"{root}/events/first").coalesce(3).write.options(**small).parquet(f"{root}/events/again")  # in as many files as the first time
+    spark.read.parquet(f"{root}/events/first").coalesce(6).write.options(**small).parquet(f"{root}/events/again")  # in as many files as the first time
     run_projection(messages, projection, f"{root}/checkpoint").awaitTermination()
     return projection.result()
 

@@ -260,3 +260,28 @@ def test_known_texts_are_not_read_again(spark, tmp_path, monkeypatch):
         with pytest.raises(TypeError):
             projection.process(spaced, 3)
     assert projection.result().first()["transaction_count"] == 2
+
+
+def test_a_new_batch_reads_the_folder_of_one_message(spark, tmp_path):
+    projection = Projection(spark, str(tmp_path), "summary")
+    projection.process(messages(spark, *(event(i) for i in range(1, 60))), 0)
+    new = messages(spark, *(event(i) for i in range(100, 160)))
+    first = new.limit(1).select(F.lit("event").alias("kind"), F.get_json_object("value", "$.event_id").alias("key"))
+    (wanted,) = P.buckets_of(first, "kind", "key")
+    for folder in (tmp_path / "summary" / "receipts").glob("bucket=*"):
+        if int(folder.name[7:]) != wanted:
+            for file in folder.rglob("*.parquet"):
+                file.write_bytes(b"unreadable")
+    assert not projection._known(new, 1)
+
+
+def test_sorted_text_is_that_of_a_whole_reading(spark):
+    canonical = lambda e, **more: json.dumps(e, sort_keys=True, separators=(",", ":"), **more)
+    whole = canonical(event(1, merchant="CAFÉ 咖啡 😀 ~/"), ensure_ascii=False).replace('"occurred_at":1.5', '"occurred_at":1.7589E9')
+    texts = [canonical(event(1)), json.dumps(event(1)), canonical(event(1, merchant='A "B" \\ \n')), canonical(event(1, merchant="é"), ensure_ascii=True), canonical(event(1, extra=1)), "{}", "x", "[1]", ""]
+    swaps = [("E9", v) for v in ("E9", "E7", "E300", "E09", "E+9", "e9")] + [("1.7589E9", v) for v in ("1758900000", "1758900000.0", "17589000.50", "1.0", "0.001", "-0.0", '"1.7589E9"', "null")]
+    swaps += [('"id":1', v) for v in ('"id":01', '"id":1.0', '"id":-0', '"id":"1"', '"id":9223372036854775807')] + [("}}", v) for v in ("}} ", "}}}", "}}{}", '},"x":1}')] + [("{", "{ "), ("~", "\\u007e"), ("/", "\\/"), ("~", "\u2028")]
+    rows = spark.createDataFrame([(t,) for t in (*texts, *(whole.replace(a, b, 1) for a, b in swaps))], "value string").withColumn("e", F.from_json("value", P.ENVELOPE))
+    # A second column keeps the optimizer from folding the two into one.
+    for r in rows.select("value", P.sorted_text().alias("found"), F.to_json(F.try_parse_json("value")).alias("text")).collect():
+        assert r["found"] == r["text"], r["value"]
